@@ -160,7 +160,7 @@ def write(pages: DataFrame, folder: str, min_revisit_bytes: int = 0) -> DataFram
                 if sink is None:
                     path = f"{base}/{uuid.uuid4().hex}.warc.gz"
                     filesystem.create_dir(base, recursive=True)
-                    sink = filesystem.open_output_stream(path)
+                    sink = filesystem.open_output_stream(path, compression=None)
                 body = (html or "").encode()
                 block = b"" if revisit else body
                 headers = [
@@ -205,7 +205,7 @@ def read(archives: DataFrame, folder: str) -> DataFrame:
         rows, held = [], 0
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                with filesystem.open_input_stream(path) as source:
+                with filesystem.open_input_stream(path, compression=None) as source:
                     for headers, block in read_records(source):
                         kind, want = headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha1:")
                         if kind == "response" and payload_digest(block) != want:
