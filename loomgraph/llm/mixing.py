@@ -145,13 +145,12 @@ def resampled(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: in
     scratch = Scratch(documents.sparkSession, "resampled")
     rows = mix_documents(documents, scratch, weights, most).groupBy("doc_key").agg(F.sum("copies").cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
     taken = scratch.save(rows.where(F.col("_copies") > 0), "taken").withColumnRenamed("doc_key", "_key")
-    names = documents.columns
     once, repeated = taken.where(F.col("_rows") == 1), taken.where(F.col("_rows") > 1)
-    keyed = documents.withColumn("_own", doc_key())
+    keyed = documents.select(doc_key().alias("_own"), F.struct(*documents.columns).alias("_row"))
 
     def drawn(side: DataFrame, rows: DataFrame) -> DataFrame:
         side = F.broadcast(side) if side.count() <= BROADCAST_KEYS else side
-        return rows.join(side, F.col("_own") == F.col("_key")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
+        return rows.join(side, F.col("_own") == F.col("_key")).select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
     out = drawn(once, keyed)
     if not repeated.isEmpty():
