@@ -18,6 +18,8 @@ WIDTH, PERCENT = 5, 80
 FREQUENT_LEAST, FREQUENT_MOST = 8, 500_000
 #: Ids broadcast at most; beyond, the join is shuffled.
 BROADCAST_IDS = 1_000_000
+#: Partners that one task compares with a set, about.
+HUB_BLOCK = 300
 #: Postings of a list that one join task compares with others, about.
 LIST_BLOCK = 1000
 
@@ -99,28 +101,42 @@ def _may_link(a: str, b: str, percent: int) -> Column:
 
 
 def _verified(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int, scratch: Scratch, label: str) -> DataFrame:
-    """The pairs (a, b) whose sets are alike. nodes: node, doc_key, n."""
+    """The pairs (a, b) whose sets are alike. nodes: node, doc_key.
+
+    Texts, which take less room than their sets, are dealt by b in one shuffle: b's own text first, then those of its
+    partners. A b of many partners is dealt to several tasks, each with a copy of its text.
+    """
     pairs = scratch.save(pairs.distinct(), f"pairs-{label}")
-    total = pairs.count()
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("uses"))
-    need = scratch.save(nodes.select("node", "doc_key").join(ends, "node"), f"need-{label}")
-    wanted = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
-    texts = _keyed(documents).select("doc_key", "text").join(wanted, "doc_key").select("node", "uses", "text")
+    parts = F.ceil(F.count(F.lit(1)) / HUB_BLOCK).cast("int").alias("parts")
+    hubs = pairs.groupBy("b").agg(parts)
+    members = pairs.join(hubs.where("parts > 1").hint("shuffle_hash"), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int").alias("salt"))
+    heads = hubs.select(F.col("b").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    rows = members.unionByName(heads).withColumnRenamed("a", "node")
+    rows = scratch.save(rows.join(nodes.select("node", "doc_key").hint("shuffle_merge"), "node"), f"rows-{label}")
+    wanted = F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+    texts = _keyed(documents).select("doc_key", "text")
+    texts = texts.dropDuplicates(["doc_key"]) if _has_repeats(documents) else texts
+    shuffled = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.join(wanted, "doc_key").select("b", "salt", (F.col("node") != F.col("b")).alias("partner"), "node", "text")
+    dealt = dealt.repartition(shuffled, "b", "salt").sortWithinPartitions("b", "salt", "partner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = np.zeros(0, np.uint64)
         for batch in slices(batches):
             values, at = shingle_sets(batch.column("text"), width)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("uses"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))], names=["node", "uses", "tokens"])
+            left, right = [], []
+            for i, (b, node) in enumerate(zip(batch.column("b").to_pylist(), batch.column("node").to_pylist(), strict=True)):
+                own = values[at[i] : at[i + 1]]
+                if node == b:
+                    head = own
+                    continue
+                shared = np.intersect1d(head, own, assume_unique=True).size
+                if 100 * shared >= percent * (len(head) + len(own) - shared):
+                    left.append(node)
+                    right.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    sets = texts.mapInArrow(run, "node long, uses long, tokens array<long>")
-    sets = scratch.save(sets, f"sets-{label}").dropDuplicates(["node"]) if _has_repeats(documents) else scratch.save(sets, f"sets-{label}")
-    with_a = join_hot(pairs.select("a", "b"), sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"), "uses"), ["a"], "uses", total).drop("uses")
-    both = join_hot(with_a, sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"), "uses"), ["b"], "uses", total)
-    shared = F.size(F.array_intersect("ta", "tb"))
-    union = F.size("ta") + F.size("tb") - shared
-    out = scratch.save(both.where(100 * shared >= percent * union).select("a", "b"), f"links-{label}")
-    scratch.drop(f"sets-{label}")
-    return out
+    return scratch.save(dealt.mapInArrow(run, "a long, b long"), f"links-{label}")
 
 
 def _has_repeats(documents: DataFrame) -> bool:
@@ -157,7 +173,7 @@ def components(links: DataFrame, scratch: Scratch, label: str = "cc") -> DataFra
 def _star_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """Each posting with the hub of its list, the posting that comes earliest in its set's order."""
     me = lists.select("node", "hub", F.struct("n", "pos").alias("x"), F.struct(F.col("hub.n").alias("n"), F.col("hub.pos").alias("pos")).alias("y"))
-    return me.where((F.col("node") != F.col("hub.node")) & _may_link("x", "y", percent)).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+    return me.where((F.col("node") != F.col("hub.node")) & _may_link("x", "y", percent)).select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
 
 
 def _cross_pairs(lists: DataFrame, found: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -178,7 +194,7 @@ def _cross_pairs(lists: DataFrame, found: DataFrame, percent: int, scratch: Scra
     x, y = left.alias("x"), right.alias("y")
     met = (F.col("x.token") == F.col("y.token")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.block") == F.col("y.block"))
     new = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.major")) | (F.col("x.node") < F.col("y.node")))
-    return x.join(y.hint("shuffle_merge"), met & new & _may_link("x", "y", percent)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    return x.join(y.hint("shuffle_merge"), met & new & _may_link("x", "y", percent)).select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))
 
 
 def link_classes(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
