@@ -93,11 +93,19 @@ def _sets(documents: DataFrame, width: int, percent: int) -> DataFrame:
 # ---- candidates and links ---------------------------------------------------------------------------------------
 
 
-def _may_link(a: str, b: str, percent: int) -> Column:
-    """Whether sets whose first common shingle stands at these places can be alike: by length and by what is left behind it."""
-    na, nb, pa_, pb = (F.col(f"{x}.{c}") for c in ("n", "pos") for x in (a, b))
+def _shared_least(na: Column, nb: Column, percent: int) -> Column:
+    """Least number of leading shingles that alike sets of these sizes share.
+
+    Alike sets share `need` shingles. Of these at most n - probe_length(n) lie behind a set's leading ones, and those before
+    the end of the shorter-reaching lead are in both leads.
+    """
     need = F.ceil(F.lit(percent) * (na + nb) / F.lit(100.0 + percent) - 1e-9)
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - pa_, nb - pb) >= need)
+    spare = lambda n: F.ceil(F.lit(percent) * n / F.lit(100.0) - 1e-9) - 1
+    return need - F.greatest(spare(na), spare(nb))
+
+
+def _sizes_agree(na: Column, nb: Column, percent: int) -> Column:
+    return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
 
 
 def _verified(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int, scratch: Scratch, label: str) -> DataFrame:
@@ -106,7 +114,7 @@ def _verified(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, width: i
     Texts, which take less room than their sets, are dealt by b in one shuffle: b's own text first, then those of its
     partners. A b of many partners is dealt to several tasks, each with a copy of its text.
     """
-    pairs = scratch.save(pairs.distinct(), f"pairs-{label}")
+    pairs = scratch.save(pairs, f"pairs-{label}")
     parts = F.ceil(F.count(F.lit(1)) / HUB_BLOCK).cast("int").alias("parts")
     hubs = pairs.groupBy("b").agg(parts)
     members = pairs.join(hubs.where("parts > 1").hint("shuffle_hash"), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int").alias("salt"))
@@ -171,9 +179,14 @@ def components(links: DataFrame, scratch: Scratch, label: str = "cc") -> DataFra
 
 
 def _star_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Each posting with the hub of its list, the posting that comes earliest in its set's order."""
-    me = lists.select("node", "hub", F.struct("n", "pos").alias("x"), F.struct(F.col("hub.n").alias("n"), F.col("hub.pos").alias("pos")).alias("y"))
-    return me.where((F.col("node") != F.col("hub.node")) & _may_link("x", "y", percent)).select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
+    """Each posting's set with the hub of its list, the posting that comes earliest in its set's order.
+
+    A pair that meets in fewer lists than half of what alike sets share is left to the later comparison across classes.
+    """
+    rows = lists.select(F.col("node").alias("a"), F.col("hub.node").alias("b"), F.col("n").alias("na"), F.col("hub.n").alias("nb"))
+    rows = rows.where((F.col("a") != F.col("b")) & _sizes_agree(F.col("na"), F.col("nb"), percent))
+    met = rows.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("met"))
+    return met.where(2 * F.col("met") >= _shared_least(F.col("na"), F.col("nb"), percent)).select("a", "b")
 
 
 def _cross_pairs(lists: DataFrame, found: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -181,7 +194,7 @@ def _cross_pairs(lists: DataFrame, found: DataFrame, percent: int, scratch: Scra
 
     A list whose postings are all of one class is skipped, and of another list the postings of its largest class meet
     only those of the others. A posting skips the list's blocks of sets too short or too long for it. Long lists are
-    dealt to several tasks.
+    dealt to several tasks. Pairs that meet in too few lists to be alike go.
     """
     known = lists.select("token", "node", "n", "pos", "c").join(found.hint("shuffle_merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = scratch.save(known.withColumn("block", F.floor(F.log("n") / math.log(100 / percent)).cast("int")), "known")
@@ -194,7 +207,12 @@ def _cross_pairs(lists: DataFrame, found: DataFrame, percent: int, scratch: Scra
     x, y = left.alias("x"), right.alias("y")
     met = (F.col("x.token") == F.col("y.token")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.block") == F.col("y.block"))
     new = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.major")) | (F.col("x.node") < F.col("y.node")))
-    return x.join(y.hint("shuffle_merge"), met & new & _may_link("x", "y", percent)).select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))
+    pairs = x.join(y.hint("shuffle_merge"), met & new & _sizes_agree(F.col("x.n"), F.col("y.n"), percent))
+    turned = F.col("x.node") < F.col("y.node")
+    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.when(turned, F.col("x.n")).otherwise(F.col("y.n")).alias("na"), F.when(turned, F.col("y.n")).otherwise(F.col("x.n")).alias("nb"))
+    # a pair of two classes meets in every list that holds both, so this count is all that their leads share
+    counted = pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("met"))
+    return counted.where(F.col("met") >= _shared_least(F.col("na"), F.col("nb"), percent)).select("a", "b")
 
 
 def link_classes(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
