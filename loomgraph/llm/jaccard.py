@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Scratch, distinct_by_owner, hash_strings, join_hot, mix, ship, shingle_hashes, slices, split_words, table
+from loomgraph.llm.common import Scratch, distinct_by_owner, hash_strings, join_hot, mix, release, ship, shingle_hashes, slices, split_words, table
 
 WIDTH, PERCENT = 5, 80
 #: Shingles found in at least so many documents are put last in the order of shingles, by their count; the most frequent
@@ -93,15 +93,19 @@ def _sets(documents: DataFrame, width: int, percent: int) -> DataFrame:
 # ---- candidates and links ---------------------------------------------------------------------------------------
 
 
+def _need(na: Column, nb: Column, percent: int) -> Column:
+    """Shingles that alike sets of these sizes share, at least."""
+    return F.ceil(F.lit(percent) * (na + nb) / F.lit(100.0 + percent) - 1e-9)
+
+
 def _shared_least(na: Column, nb: Column, percent: int) -> Column:
     """Least number of leading shingles that alike sets of these sizes share.
 
-    Alike sets share `need` shingles. Of these at most n - probe_length(n) lie behind a set's leading ones, and those before
+    Of the shingles that they share at most n - probe_length(n) lie behind a set's leading ones, and those before
     the end of the shorter-reaching lead are in both leads.
     """
-    need = F.ceil(F.lit(percent) * (na + nb) / F.lit(100.0 + percent) - 1e-9)
     spare = lambda n: F.ceil(F.lit(percent) * n / F.lit(100.0) - 1e-9) - 1
-    return need - F.greatest(spare(na), spare(nb))
+    return _need(na, nb, percent) - F.greatest(spare(na), spare(nb))
 
 
 def _sizes_agree(na: Column, nb: Column, percent: int) -> Column:
@@ -178,11 +182,13 @@ def components(links: DataFrame, scratch: Scratch, label: str = "cc") -> DataFra
     return scratch.save(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), f"{label}-done")
 
 
-def _star_pairs(lists: DataFrame, percent: int) -> DataFrame:
+def _star_pairs(lists: DataFrame, percent: int, total: int, scratch: Scratch) -> DataFrame:
     """Each posting's set with the hub of its list, the posting that comes earliest in its set's order.
 
     A pair that meets in fewer lists than half of what alike sets share is left to the later comparison across classes.
     """
+    hubs = lists.groupBy("token").agg(F.min(F.struct("pos", "n", "node")).alias("hub"), F.first("c").alias("c"))
+    lists = join_hot(lists.drop("c"), scratch.save(hubs, "hubs"), ["token"], "c", total)
     rows = lists.select(F.col("node").alias("a"), F.col("hub.node").alias("b"), F.col("n").alias("na"), F.col("hub.n").alias("nb"))
     rows = rows.where((F.col("a") != F.col("b")) & _sizes_agree(F.col("na"), F.col("nb"), percent))
     met = rows.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("met"))
@@ -194,7 +200,7 @@ def _cross_pairs(lists: DataFrame, found: DataFrame, percent: int, scratch: Scra
 
     A list whose postings are all of one class is skipped, and of another list the postings of its largest class meet
     only those of the others. A posting skips the list's blocks of sets too short or too long for it. Long lists are
-    dealt to several tasks. Pairs that meet in too few lists to be alike go.
+    dealt to several tasks.
     """
     known = lists.select("token", "node", "n", "pos", "c").join(found.hint("shuffle_merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = scratch.save(known.withColumn("block", F.floor(F.log("n") / math.log(100 / percent)).cast("int")), "known")
@@ -207,12 +213,23 @@ def _cross_pairs(lists: DataFrame, found: DataFrame, percent: int, scratch: Scra
     x, y = left.alias("x"), right.alias("y")
     met = (F.col("x.token") == F.col("y.token")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.block") == F.col("y.block"))
     new = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.major")) | (F.col("x.node") < F.col("y.node")))
-    pairs = x.join(y.hint("shuffle_merge"), met & new & _sizes_agree(F.col("x.n"), F.col("y.n"), percent))
-    turned = F.col("x.node") < F.col("y.node")
-    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.when(turned, F.col("x.n")).otherwise(F.col("y.n")).alias("na"), F.when(turned, F.col("y.n")).otherwise(F.col("x.n")).alias("nb"))
-    # a pair of two classes meets in every list that holds both, so this count is all that their leads share
-    counted = pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("met"))
-    return counted.where(F.col("met") >= _shared_least(F.col("na"), F.col("nb"), percent)).select("a", "b")
+    # a pair's first common shingle leaves enough behind it in both sets; later ones need not be met
+    behind = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= _need(F.col("x.n"), F.col("y.n"), percent)
+    pairs = x.join(y.hint("shuffle_merge"), met & new & _sizes_agree(F.col("x.n"), F.col("y.n"), percent) & behind)
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def _leads_agree(pairs: DataFrame, leads: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs whose leading shingles have as many in common as alike sets must have. leads: node, n, prefix."""
+    pairs = scratch.save(pairs, "met")
+    total = pairs.count()
+    both = pairs
+    for side in ("a", "b"):
+        uses = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("uses"))
+        right = leads.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("prefix").alias(f"p{side}")).join(uses.hint("shuffle_merge"), side)
+        both = join_hot(both, right, [side], "uses", total).drop("uses")
+    shared = F.size(F.array_intersect("pa", "pb"))
+    return both.where(shared >= _shared_least(F.col("na"), F.col("nb"), percent)).select("a", "b")
 
 
 def link_classes(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
@@ -231,19 +248,28 @@ def link_classes(documents: DataFrame, width: int = WIDTH, percent: int = PERCEN
     ship(spark)
     scratch = scratch or Scratch(spark, "jaccard")
     documents = documents.select("doc_id", "text")
-    sets = scratch.save(_sets(documents, width, percent), "sets")
+    full = scratch.save(_sets(documents, width, percent), "full")
+    sets = scratch.save(full.drop("prefix"), "sets")
     one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "doc_key")).alias("one")
-    nodes = sets.where(F.col("n") > 0).groupBy("k1", "k2", "n").agg(one, F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("copies"))
+    nodes = full.where(F.col("n") > 0).groupBy("k1", "k2", "n").agg(one, F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("copies"))
     nodes = nodes.select("k1", "k2", "n", F.col("one.doc_id").alias("first_id"), F.col("one.doc_key").alias("doc_key"), "prefix", "copies", F.monotonically_increasing_id().alias("node"))
-    nodes = scratch.save(nodes, "nodes")
-    postings = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    tokens = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("pos", "n", "node")).alias("hub")).where(F.col("c") > 1)
-    tokens = scratch.save(tokens, "tokens")
+    leads = scratch.save(nodes, "leads")
+    nodes = scratch.save(leads.drop("prefix"), "nodes")
+    scratch.drop("full")
+    postings = leads.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+    tokens = scratch.save(postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1), "tokens")
     total = int(tokens.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
     lists = scratch.save(join_hot(postings, tokens, ["token"], "c", total), "lists")
-    links = _verified(documents, nodes, _star_pairs(lists, percent), width, percent, scratch, "star")
+    scratch.drop("tokens")
+    release(spark)
+    links = _verified(documents, nodes, _star_pairs(lists, percent, total, scratch), width, percent, scratch, "star")
+    release(spark)
     found = components(links, scratch, "stars")
-    more = _verified(documents, nodes, _cross_pairs(lists, found, percent, scratch), width, percent, scratch, "cross")
+    pairs = _leads_agree(_cross_pairs(lists, found, percent, scratch), leads, percent, scratch)
+    more = _verified(documents, nodes, pairs, width, percent, scratch, "cross")
+    for done in ("lists", "known", "mixed", "hubs", "leads", "met"):
+        scratch.drop(done)
+    release(spark)
     if not more.isEmpty():
         found = components(links.unionByName(more), scratch, "all")
     own = found.join(nodes.select("node", "first_id").hint("shuffle_merge"), "node")
@@ -272,6 +298,9 @@ def drop_near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int
     dropped = join_hot(classes, best, ["component_id"], "c", total).where(F.col("doc_key") != F.col("best.doc_key")).select("doc_key").distinct()
     dropped = scratch.save(dropped, "dropped")
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))
+    for done in ("classes", "best", "classed", "sets", "nodes", "least"):
+        scratch.drop(done)
+    release(spark)
     gone = dropped.select(F.col("doc_key").alias("_gone"))
     gone = F.broadcast(gone) if dropped.count() <= BROADCAST_IDS else gone
     kept = documents.join(gone, key == F.col("_gone"), "left_anti")
