@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: Java and RE2 regex of a word: ASCII white space separates words.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one step of an Arrow task holds in arrays.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
 #: A key is hot when it has more than total / HOT_SHARE rows: at most HOT_SHARE keys are broadcast.
 HOT_SHARE = 500
 HOT_LEAST = 200
@@ -103,16 +103,20 @@ def rank_within(df: DataFrame, keys: list[str], order: list[Column], parts: int,
 # ---- Arrow side -------------------------------------------------------------------------------------------------
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches, cut between rows so that each has about SLICE_BYTES of text; one long text stays whole."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, cut between rows so that each has about `most` bytes of text; one long text stays whole.
+
+    What Arrow holds without need goes back to the system after each batch, as workers live on from task to task.
+    """
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         ends, start = np.cumsum(size, dtype=np.int64), 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + SLICE_BYTES, "right")))
+            stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()
 
 
 def split_words(text: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:

@@ -143,7 +143,7 @@ def fingerprint_edits(documents: DataFrame, k: int = K, width: int = WIDTH) -> D
                     bucket, held = number, 0
                 waiting.append((doc_id, text))
                 held += len(text)
-                if guest or held > SLICE_BYTES // 2:
+                if guest or held > SLICE_BYTES:
                     if len(waiting) > 1:
                         yield finish()
                     held = len(text)

@@ -16,6 +16,8 @@ WIDTH, PERCENT = 5, 80
 #: Shingles found in at least so many documents are put last in the order of shingles, by their count; the most frequent
 #: ones up to FREQUENT_MOST, which bounds what is broadcast (16 bytes each). The order affects speed, never the result.
 FREQUENT_LEAST, FREQUENT_MOST = 8, 500_000
+#: Bytes of text within which a shingle has to occur twice to be counted.
+FREQUENT_BYTES = 6 << 20
 #: Ids broadcast at most; beyond, the join is shuffled.
 BROADCAST_IDS = 1_000_000
 #: Partners that one task compares with a set, about.
@@ -44,7 +46,7 @@ def _frequent(documents: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]
     """Shingles in many documents, ascending, and their counts, from those that occur twice or more within a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=FREQUENT_BYTES):
             values, _ = shingle_sets(batch.column("text"), width)
             values, counts = np.unique(values, return_counts=True)
             often = counts > 1

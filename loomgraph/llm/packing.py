@@ -31,18 +31,24 @@ _ODD_SPACE = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]{2}|^[\s\p{Z}\x0b\x1c-\x1f\x{85}]|[\s
 _SPECIAL = "<|endoftext|>"
 
 
-@lru_cache(2)
-def _encoders(ranks_path: str, json_path: str):
+@lru_cache(1)
+def _library(json_path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(json_path)
+
+
+@lru_cache(1)
+def _encoder(ranks_path: str):
     import tiktoken
     from public_tokenizers import PATTERN
-    from tokenizers import Tokenizer
 
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     width = np.zeros(max(ranks.values()) + 2, np.int64)
     for token, rank in ranks.items():
         width[rank] = len(token)
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), width, Tokenizer.from_file(json_path)
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), width
 
 
 def encode(text: pa.Array, ranks_path: str, json_path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +58,7 @@ def encode(text: pa.Array, ranks_path: str, json_path: str) -> tuple[np.ndarray,
     distinct chunk of the slice is encoded once. Texts with odd white space are encoded whole, and those with a
     special token's string by the `tokenizers` library itself, whose ids the ranks reproduce.
     """
-    encoding, width, library = _encoders(ranks_path, json_path)
+    encoding, width = _encoder(ranks_path)
     text = pc.fill_null(text, "")
     n = len(text)
     special = pc.match_substring(text, _SPECIAL).to_numpy(zero_copy_only=False)
@@ -61,7 +67,7 @@ def encode(text: pa.Array, ranks_path: str, json_path: str) -> tuple[np.ndarray,
     whole: dict[int, np.ndarray] = {}
     for i in np.flatnonzero(~plain):
         value = text[int(i)].as_py()
-        ids = library.encode(value, add_special_tokens=False).ids if special[i] else encoding.encode_ordinary(value)
+        ids = _library(json_path).encode(value, add_special_tokens=False).ids if special[i] else encoding.encode_ordinary(value)
         whole[int(i)] = np.array([*ids, END_ID], np.uint32)
     rows = np.flatnonzero(plain)
     lengths = np.zeros(n, np.int64)
