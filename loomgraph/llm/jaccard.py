@@ -235,12 +235,13 @@ def _leads_agree(pairs: DataFrame, leads: DataFrame, percent: int, scratch: Scra
 
 
 def link_classes(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, doc_key, n_shingles and component_id of every row of documents: its class under links.
+    """doc_id, doc_key, n_shingles, component_id and class_key of every row of documents: its class under links.
 
     Rows link when 100 * shared >= percent * union of their sets of `width`-word shingles (A-Z lower-cased, ASCII white
     space); a text of fewer words has its whole sequence as one shingle, and a text without words, or null, links with
-    nothing. component_id is the smallest doc_id of the class, null only if all its ids are. Rows of equal sets are one
-    node, so copies make no pairs. Links are exact but for equal 64-bit hashes of different shingles.
+    nothing. component_id is the smallest doc_id of the class, null only if all its ids are; class_key tells classes apart
+    even if ids repeat or are null, and is null for a text without words. Rows of equal sets are one node, so copies make
+    no pairs. Links are exact but for equal 64-bit hashes of different shingles.
 
     Frequent shingles come last in the global order, so lists of the leading shingles are mostly short. First each posting is
     compared with the hub of its list only, and shares the hub's class if they are alike; then what is in one class is
@@ -276,13 +277,14 @@ def link_classes(documents: DataFrame, width: int = WIDTH, percent: int = PERCEN
         found = components(links.unionByName(more), scratch, "all")
     own = found.join(nodes.select("node", "first_id").hint("shuffle_merge"), "node")
     least = own.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("c"))
-    classes = join_hot(own, scratch.save(least, "least"), ["component"], "c", int(found.count())).select("node", "component_id")
+    classes = join_hot(own, scratch.save(least, "least"), ["component"], "c", int(found.count())).select("node", "component", "component_id")
     classed = nodes.select("k1", "k2", "n", "node", "first_id", "copies").join(classes.hint("shuffle_merge"), "node", "left")
-    classed = scratch.save(classed.select("k1", "k2", "n", "copies", F.coalesce("component_id", "first_id").alias("component_id")), "classed")
+    classed = scratch.save(classed.select("k1", "k2", "n", "copies", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("component", "node").alias("class_key")), "classed")
     rows = sets.select("doc_id", "doc_key", "n", "k1", "k2")
     joined = join_hot(rows.where(F.col("n") > 0), classed, ["k1", "k2", "n"], "copies", int(sets.count()))
-    names = ["doc_id", "doc_key", F.col("n").alias("n_shingles"), "component_id"]
-    return joined.select(names).unionByName(rows.where(F.col("n") == 0).withColumn("component_id", F.col("doc_id")).select(names))
+    names = ["doc_id", "doc_key", F.col("n").alias("n_shingles"), "component_id", "class_key"]
+    alone = rows.where(F.col("n") == 0).withColumn("component_id", F.col("doc_id")).withColumn("class_key", F.lit(None).cast("long"))
+    return joined.select(names).unionByName(alone.select(names))
 
 
 def drop_near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -294,10 +296,10 @@ def drop_near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int
     scratch = Scratch(spark, "neardup")
     classes = scratch.save(link_classes(documents, width, percent, scratch), "classes").where(F.col("n_shingles") > 0)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "doc_key")
-    best = classes.groupBy("component_id").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("c"))
-    best = scratch.save(best.where((F.col("c") > 1) & F.col("component_id").isNotNull()), "best")
+    best = classes.groupBy("class_key").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("c"))
+    best = scratch.save(best.where(F.col("c") > 1), "best")
     total = int(best.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
-    dropped = join_hot(classes, best, ["component_id"], "c", total).where(F.col("doc_key") != F.col("best.doc_key")).select("doc_key").distinct()
+    dropped = join_hot(classes, best, ["class_key"], "c", total).where(F.col("doc_key") != F.col("best.doc_key")).select("doc_key").distinct()
     dropped = scratch.save(dropped, "dropped")
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))
     for done in ("classes", "best", "classed", "sets", "nodes", "least"):

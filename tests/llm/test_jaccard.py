@@ -75,3 +75,12 @@ def test_one_of_each_class_stays(documents):
     got = sorted((r["doc_id"], r["text"]) for r in drop_near_duplicates(documents(rows)).collect() if r["text"])
     assert got == [(3, base + " more"), (8, "quite another text with some words")]
     assert {r["doc_id"] for r in drop_near_duplicates(documents(rows)).collect()} == {3, 8, 9, 10}
+
+
+def test_repeated_and_missing_ids_neither_merge_nor_hide_classes(documents):
+    base, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "wv")
+    rows = [(1, base), (1, other), (4, other + " more"), (None, "a " + " ".join(f"x{i}" for i in range(60))), (None, "b " + " ".join(f"x{i}" for i in range(60))), (None, "quite another text with some words")]
+    got = [(r["doc_id"], r["text"]) for r in drop_near_duplicates(documents(rows)).collect()]
+    assert sorted(t for i, t in got if i is not None) == [other, base]
+    assert len([t for i, t in got if i is None and "x1 x2" in t]) == 1 and len(got) == 4
+    assert {r["class_key"] is None for r in link_classes(documents([(1, None), (2, "")])).collect()} == {True}
