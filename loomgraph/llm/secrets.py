@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
 from collections.abc import Iterator
@@ -23,13 +24,11 @@ KINDS = ("assign", "access", "hex", "guess")
 #: Names that make what follows a credential; the guess cost decides whether it is one.
 CONTEXT = re.compile(
     r"(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret(?:[_-]?key)?|(?:access|auth|bearer|refresh|session|id)?[_-]?token|(?:api|access|private|encryption|signing|license|account)[_-]?key|credentials?|auth(?:orization)?|pin(?:code)?|client[_-]secret)"
-    r"[\"']?\x20*(?::=|=>|[:=]|\x20is\x20)\x20*(?:Bearer\x20+|Basic\x20+)?(?:\"([^\"\s]{4,256})\"|'([^'\s]{4,256})'|([^\s\"'<>]{4,256}))"
-    r"|(?<![A-Za-z])Bearer\x20+([A-Za-z0-9+/_.=~-]{8,256})|[a-z][a-z0-9+.-]*://[^\s/:@]+:([^\s/@]{4,128})@", re.I | re.A)
+    r"[\"']?\x20*(?::=|=>|[:=]|\x20is\x20)\x20*(?:Bearer\x20+|Basic\x20+)?(?:\"([^\"\s]{4,})\"|'([^'\s]{4,})'|([^\s\"'<>]{4,}))"
+    r"|(?<![A-Za-z])Bearer\x20+([A-Za-z0-9+/_.=~-]{4,})|[a-z][a-z0-9+.-]*://[^\s/:@]+:([^\s/@]{4,})@", re.I | re.A)
 
 #: log10 of the guesses from which a value in a credential's place is reported.
 LEAST_COST = 8.0
-#: Values longer than this are segmented over their first code points, which bounds the cost from below.
-COST_CHARS = 64
 
 #: Common words and passwords in the order of their rank; the rank is the guess count of a word.
 WORDS = (
@@ -57,12 +56,13 @@ def _class_size(text: str) -> int:
     return 16 if re.fullmatch(r"[0-9a-f]{8,}|[0-9A-F]{8,}", text) else max(size, 10)
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, limit: float = math.inf) -> float:
     """log10 of the guesses for the cheapest segmentation into words, dates, repeats, keyboard walks, sequences and brute-force spans.
 
-    A k-segment cover costs the product of its segments' guesses times k!: an attacker doesn't know their order.
+    A k-segment cover costs the product of its segments' guesses times k!: an attacker doesn't know their order. Covers
+    are searched cheapest first, each position's segments being found when it is reached; a cost of `limit` or more is a
+    lower bound, as the search ends when no cheaper cover is left.
     """
-    value = value[:COST_CHARS]
     n = len(value)
     if not n:
         return 0.0
@@ -70,55 +70,53 @@ def guess_cost(value: str) -> float:
     plain = lower.translate(_LEET)
     near = _neighbours()
     brute = math.log10(_class_size(value))
-    edges: list[dict[int, float]] = [{} for _ in range(n + 1)]  # by end: start -> cost
+    dates = {m.start(): m.end() for m in _DATE.finditer(value)}
 
-    def edge(start: int, end: int, cost: float) -> None:
-        if cost < edges[end].get(start, math.inf):
-            edges[end][start] = max(cost, 0.0)
-
-    for i in range(n):
+    @lru_cache(None)
+    def segments(i: int) -> list[tuple[int, float]]:
+        """(end, cost) of the segments that start at i, other than brute force."""
+        out = []
         for j in range(i + 3, min(n, i + 16) + 1):
             rank = RANK.get(lower[i:j]) or RANK.get(plain[i:j])
             if rank:
                 upper = sum(c.isupper() for c in value[i:j])
                 changed = sum(a != b for a, b in zip(lower[i:j], plain[i:j], strict=True)) if lower[i:j] not in RANK else 0
-                edge(i, j, math.log10(rank + 1) + (math.log10(2) if upper in (1, j - i) else 0.3 * upper) + 0.5 * changed)
-    for m in _DATE.finditer(value):
-        edge(m.start(), m.end(), math.log10(365 * 120) if len(m[0]) > 4 else math.log10(120))
-    i = 0
-    while i < n:  # repeats of one to eight code points
-        for unit in range(1, 9):
-            k = 1
-            while value[i + k * unit : i + (k + 1) * unit] == value[i : i + unit] and i + (k + 1) * unit <= n:
-                k += 1
+                out.append((j, math.log10(rank + 1) + (math.log10(2) if upper in (1, j - i) else 0.3 * upper) + 0.5 * changed))
+        if i in dates:
+            out.append((dates[i], math.log10(365 * 120) if dates[i] - i > 4 else math.log10(120)))
+        for unit in range(1, 9):  # repeats of one to eight code points
+            j = i + unit
+            while j < n and value[j] == value[j - unit]:
+                j += 1
+            k = (j - i) // unit
             if k >= (3 if unit == 1 else 2):
-                edge(i, i + k * unit, unit * brute + math.log10(k))
-        i += 1
-    start = 0
-    for i in range(1, n + 1):  # keyboard walks and runs of consecutive code points
-        if i == n or lower[i] not in near.get(lower[i - 1], ()):
-            for a in range(start, i - 2):
-                edge(a, i, math.log10(47) + (i - a - 1) * math.log10(2.5))
-            start = i
-    start, step = 0, 0
-    for i in range(1, n + 1):
-        here = ord(value[i]) - ord(value[i - 1]) if i < n else 0
-        if i == n or here not in (1, -1) or (step and here != step):
-            for a in range(start, i - 2):
-                edge(a, i, math.log10(40) + math.log10(i - a))
-            start, step = (i - 1, here) if i < n and here in (1, -1) else (i, 0)
-        else:
-            step = here
-    # best[k][j]: cheapest cover of the first j code points by k segments, a run of brute force being one segment
-    most = min(n, 10)
-    best = [[math.inf] * (n + 1) for _ in range(most + 1)]
-    best[0][0] = 0.0
-    for k in range(1, most + 1):
-        before, row = best[k - 1], best[k]
-        for j in range(1, n + 1):
-            least = min((before[i] + cost for i, cost in edges[j].items()), default=math.inf)
-            row[j] = min(least, min(before[i] + (j - i) * brute for i in range(j)))
-    return min(best[k][n] + math.lgamma(k + 1) / math.log(10) for k in range(1, most + 1))
+                out.append((i + k * unit, unit * brute + math.log10(k)))
+        j = i + 1  # keyboard walks and runs of consecutive code points
+        while j < n and lower[j] in near.get(lower[j - 1], ()):
+            j += 1
+        if j - i >= 3:
+            out.append((j, math.log10(47) + (j - i - 1) * math.log10(2.5)))
+        step = ord(value[i + 1]) - ord(value[i]) if i + 1 < n else 0
+        j = i + 1
+        while j < n and step in (1, -1) and ord(value[j]) - ord(value[j - 1]) == step:
+            j += 1
+        if j - i >= 3:
+            out.append((j, math.log10(40) + math.log10(j - i)))
+        return out
+
+    # states: cost, end, number of segments, whether the last one is brute force; a run of brute force is one segment
+    heap, done = [(0.0, 0, 0, False)], set()
+    while True:
+        cost, i, k, run = heapq.heappop(heap)
+        if i == n or cost >= limit:
+            return cost
+        if (i, k, run) in done:
+            continue
+        done.add((i, k, run))
+        more = math.log10(k + 1)
+        heapq.heappush(heap, (cost + brute + (0.0 if run else more), i + 1, k + (not run), True))
+        for j, price in segments(i):
+            heapq.heappush(heap, (cost + more + price, j, k + 1, False))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -140,13 +138,11 @@ def guessed_spans(text: str, base: list[tuple[int, int, int]], least_cost: float
             group = m.lastindex
             if not group:
                 continue
-            start, value = m.start(group), m[group].rstrip(".,;)]}!?")
+            start, value = m.start(group), m[group] if group in (1, 2, 5) else m[group].rstrip(".,;)]}!?")
             end = start + len(value)
             if any(a <= start and end <= b for a, _, b in base) or _MASK.fullmatch(value):
                 continue
-            if group in (3, 4) and not (re.search(r"\d", value) or re.search(r"[^\w.,;:'-]", value) or re.search(r"[a-z][A-Z]", value)):
-                continue  # an unquoted plain word is prose
-            if guess_cost(value) >= least_cost:
+            if guess_cost(value, least_cost) >= least_cost:
                 out.append((start, 3, end))
     return out
 

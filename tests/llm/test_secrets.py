@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -53,3 +55,12 @@ def test_redaction(documents):
     df = documents([(1, "a token=abcdef1 b"), (2, "clean"), (3, None)]).selectExpr("*", "5 AS spans")
     got = {r["doc_id"]: r for r in secrets.redact_column(df).collect()}
     assert got[1]["text"] == "a [SECRET] b" and got[1]["n_chars"] == 12 and got[2]["text"] == "clean" and got[3]["text"] is None and got[3]["spans"] == 5
+
+
+def test_values_reach_to_their_delimiter_at_any_length():
+    rng = random.Random(3)
+    long = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(3000))
+    for text in (f'private_key="{long}" x', f"pwd: '{long}' x", f"Authorization: Bearer {long} x", f"say Bearer {long} x", f"https://bob:{long}@host/x", f"pwd: {'a' * 64 + long} x", "pwd: xqkzjvbwpfhm x"):
+        at = max((len(w), text.index(w), w) for w in re.findall(r"[A-Za-z0-9]{12,}", text))
+        assert secrets.guessed_spans(text, []) == [(at[1], 3, at[1] + at[0])], text[:40]
+    assert secrets.guess_cost("a" * 10**6, 8.0) < 8.0 <= secrets.guess_cost("a" * 10**6 + long, 8.0)
