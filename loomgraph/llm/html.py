@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -23,36 +25,67 @@ CLOSES_P = BLOCK - {"body", "html", "tbody", "td", "tfoot", "th", "thead", "tr",
 #: Never part of a main text.
 BARRED = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "option", "object", "embed", "canvas", "audio", "video", "map", "search", "head", "template", "fieldset"}
 SCORED = {"p", "pre", "blockquote", "td", "li", "dd", "figcaption"}
+#: What a container passes on of its score to its parent, and how much more an ancestor has to hold to take its place.
+DAMPING, MUCH_MORE = 0.5, 1.4
+_SAME = {"li": ("li",), "tr": ("tr",), "option": ("option",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|</[^>]*(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|style|aria-hidden)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_BAD = re.compile(
-    r"(?<![a-z])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|combx|comments?|commentlist|community|consent|contact|cookies?|disqus|footer|footnote-nav|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|"
-    r"outbrain|pagination|pager|popup|promo\w*|related|remark|replies|respond|rss|shar(?:e|ing)|shoutbox|sidebar|skyscraper|social|sponsor\w*|subscribe|taboola|tags|toolbar|widget)(?![a-z])", re.I)
-_GOOD = re.compile(r"(?<![a-z])(?:article|body|content|entry|hentry|main|page|post|story|text)(?![a-z])", re.I)
+#: Parts of a class, id or role that mark what is no main text: menus, headers and footers, sidebars, notices, adverts, forms, comments.
+BAD = frozenset(
+    "breadcrumb breadcrumbs menu menubar nav navbar navigation pager paginate pagination toolbar tabs skip toc "
+    "banner contentinfo footer header masthead "
+    "aside complementary related sidebar sidenav widget "
+    "alert consent cookie cookies dialog disclaimer gdpr modal notice notification overlay paywall popup toast "
+    "ad ads advert advertisement adverts advertising promo promoted promotion sponsor sponsored "
+    "form login newsletter respond search signup subscribe subscription "
+    "comment commentlist comments discussion replies reply share sharing social tags".split()
+)
+#: Before a bad part these say that it is missing, or only stands beside: no-sidebar, has-sidebar.
+_BESIDE = frozenset("has hide no non with without".split())
+#: A header of one of these holds its headline.
+_OWN_HEADER = frozenset("article entry post story".split())
+GOOD = frozenset("article body content entry main page post story text".split())
 _SPACE = re.compile(r"\s+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
-class Node:
-    __slots__ = ("tag", "marks", "parent", "children", "score", "barred", "hidden")
+@lru_cache(4096)
+def _judged(token: str) -> tuple[bool, bool]:
+    """Whether a class, id or role marks no main text, and whether it marks a main text. Good parts never lift a bad one."""
+    parts = [p.lower() for p in _PART.findall(token)]
+    bad = any(p in BAD and not (i and parts[i - 1] in _BESIDE) and not (p == "header" and _OWN_HEADER.intersection(parts)) for i, p in enumerate(parts))
+    return bad, not bad and any(p in GOOD for p in parts)
 
-    def __init__(self, tag: str, marks: str, parent: Node | None, hidden: bool = False):
-        self.tag, self.marks, self.parent, self.children = tag, marks, parent, []
-        self.score, self.hidden = 0.0, hidden
-        self.barred = hidden or tag in BARRED or tag in RAW or (bool(marks) and tag not in ("body", "html", "article", "main") and bool(_BAD.search(marks)) and not _GOOD.search(marks)) or (tag == "header" and not _within(parent, "article"))
 
+class Node:
+    __slots__ = ("tag", "parent", "children", "in_article", "good", "bad", "barred", "text", "links", "commas", "score", "mass")
 
-def _within(node: Node | None, tag: str) -> bool:
-    while node is not None:
-        if node.tag == tag:
-            return True
-        node = node.parent
-    return False
+    def __init__(self, tag: str, marks: str, parent: Node | None, hidden: bool = False):
+        self.tag, self.parent, self.children = tag, parent, []
+        self.in_article = tag == "article" or (parent is not None and parent.in_article)
+        judged = [_judged(token) for token in marks.split()]
+        self.bad, self.good = any(b for b, _ in judged), any(g for _, g in judged)
+        self.barred = hidden or tag in BARRED or tag in RAW or (self.bad and tag not in ("body", "html", "article", "main")) or (tag == "header" and not self.in_article)
+        self.text = self.links = self.commas = 0
+        self.score = self.mass = 0.0
 
 
 def parse(html: str) -> Node:
-    """A tree of elements and decoded strings; unclosed and crossed tags are tolerated, raw elements keep no text."""
+    """A tree of elements and decoded strings; unclosed and crossed tags are tolerated, raw elements keep no text.
+
+    How many elements of a name are open is counted, so that no search for one that isn't open walks up the tree.
+    """
     root = here = Node("html", "", None)
+    open_tags: Counter[str] = Counter()
+
+    def close(node: Node) -> None:
+        """Leaves node and all that is open in it."""
+        nonlocal here
+        while here is not node.parent:
+            open_tags[here.tag] -= 1
+            here = here.parent
+
     at, end = 0, len(html)
     while at < end:
         match = _TOKEN.search(html, at)
@@ -66,14 +99,14 @@ def parse(html: str) -> Node:
         if not tag:
             continue
         if match[1]:
-            node = here
+            node = here if open_tags[tag] else None
             while node is not None and node.tag != tag:
                 if node.tag in ("table", "td", "th") and tag not in BLOCK:
                     node = None
                     break
                 node = node.parent
             if node is not None and node.parent is not None:
-                here = node.parent
+                close(node)
             continue
         if tag == "html":
             continue
@@ -85,48 +118,57 @@ def parse(html: str) -> Node:
                     marks += " " + value
                 elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
                     hidden = True
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and open_tags["p"]:
             node = here
             while node is not None and node.tag not in ("td", "th", "table", "article", "section", "div", "body", "html", "main"):
                 if node.tag == "p":
-                    here = node.parent
+                    close(node)
                     break
                 node = node.parent
         if tag == "body" and here.tag == "head":
-            here = here.parent
-        if tag in ("li", "dd", "dt", "td", "th", "tr", "option"):
-            same = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
+            close(here)
+        same = _SAME.get(tag, ())
+        if any(open_tags[x] for x in same):
             node = here
             while node is not None and node.tag not in ("ul", "ol", "dl", "table", "tr" if tag in ("td", "th") else "table", "menu", "body", "html", "select"):
                 if node.tag in same:
-                    here = node.parent
+                    close(node)
                     break
                 node = node.parent
         node = Node(tag, marks, here, hidden)
         here.children.append(node)
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)[^>]*(?:>|$)", re.I).search(html, at)
-            at = close.end() if close else end
+            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)[^>]*(?:>|$)", re.I).search(html, at)
+            at = stop.end() if stop else end
         elif tag not in VOID and not (match[3] or "").rstrip().endswith("/"):
             here = node
+            open_tags[tag] += 1
     return root
 
 
-def _measure(node: Node) -> tuple[int, int, int]:
-    """Characters of text, those in links, and commas, without barred parts."""
-    text = links = commas = 0
-    todo: list[tuple[object, bool]] = [(node, False)]
+def _bottom_up(root: Node) -> list[Node]:
+    """The nodes outside barred parts, each after all that it holds."""
+    out, todo = [], [root]
     while todo:
-        item, linked = todo.pop()
-        if isinstance(item, str):
-            n = len(_SPACE.sub(" ", item).strip())
-            text += n
-            commas += item.count(",") + item.count("，") + item.count("、")
-            links += n if linked else 0
-        elif not item.barred or item is node:
-            linked = linked or item.tag == "a"
-            todo += [(c, linked) for c in item.children]
-    return text, links, commas
+        node = todo.pop()
+        if not node.barred:
+            out.append(node)
+            todo += [c for c in node.children if not isinstance(c, str)]
+    return out[::-1]
+
+
+def _add_up(nodes: list[Node]) -> None:
+    """Characters of text, those in links, and commas, without barred parts: sums from the leaves to the root."""
+    for node in nodes:
+        for c in node.children:
+            if isinstance(c, str):
+                n = len(_SPACE.sub(" ", c).strip())
+                node.text += n
+                node.commas += c.count(",") + c.count("，") + c.count("、")
+            elif not c.barred:
+                node.text, node.links, node.commas = node.text + c.text, node.links + c.links, node.commas + c.commas
+        if node.tag == "a":
+            node.links = node.text
 
 
 def _blocks(nodes: list[Node]) -> list[str]:
@@ -158,79 +200,93 @@ def _blocks(nodes: list[Node]) -> list[str]:
     return out
 
 
+def _points(node: Node) -> float:
+    """A paragraph's points: one, one a comma and one a hundred characters, less the share of its text in links.
+
+    A paragraph is an element of a paragraph's name, of which only its own strings count if it holds others, or a
+    container with strings of its own.
+    """
+    own = [c for c in node.children if isinstance(c, str)]
+    if node.tag in SCORED and not any(not isinstance(c, str) and c.tag in SCORED for c in node.children):
+        length, links, commas = node.text, node.links, node.commas
+    elif node.tag in SCORED or (node.tag in ("div", "section", "article", "main", "body", "html") and any(c.strip() for c in own)):
+        length, links, commas = sum(len(c.strip()) for c in own), 0, sum(c.count(",") for c in own)
+    else:
+        return 0.0
+    return (1 + commas + length / 100) * (1 - links / length) if length else 0.0
+
+
+def _density(node: Node) -> float:
+    return node.links / node.text if node.text else 1.0
+
+
+def _score(nodes: list[Node]) -> list[Node]:
+    """Passes points up: all of a paragraph's to its parent (a container's own strings count for itself), then DAMPING of them at
+    each level, to the root. mass is what a node's whole subtree earned. Returns the nodes with a score."""
+    scored = []
+    for node in nodes:
+        points = _points(node)
+        node.mass = points + sum(c.mass for c in node.children if not isinstance(c, str) and not c.barred)
+        paragraph = node.tag in SCORED and node.parent is not None
+        if not paragraph:
+            node.score += points
+        if node.score:
+            node.score += 8.0 * (node.tag in ("article", "main")) + 5.0 * node.good - 5.0 * node.bad
+            scored.append(node)
+        if node.parent is not None:
+            node.parent.score += DAMPING * max(node.score, 0.0) + points * paragraph
+        node.score *= 1 - (_density(node) if node.text else 0)
+    return scored
+
+
+def _container(scored: list[Node]) -> Node:
+    """The best node; an article or main that holds it, or else the nearest ancestor in which much more was earned."""
+    best = max(reversed(scored), key=lambda n: n.score)
+    chain = [best]
+    while chain[-1].parent is not None:
+        chain.append(chain[-1].parent)
+    for node in chain:
+        if node.tag in ("article", "main"):
+            return node
+    for node in chain[1:]:
+        if node.mass >= MUCH_MORE * best.mass and _density(node) < 0.3:
+            best = node
+    return best
+
+
 def extract(html: str) -> str:
     """The main text's blocks, one a line; empty if no element has text of its own."""
-    root = parse(html)
-    scored: list[Node] = []
-    todo = [root]
-    while todo:
-        node = todo.pop()
-        if node.barred:
-            continue
-        own = [c for c in node.children if not isinstance(c, str)]
-        todo += own
-        paragraph = node.tag in SCORED or (node.tag in ("div", "section", "article", "main", "body", "html") and any(isinstance(c, str) and c.strip() for c in node.children))
-        if not paragraph:
-            continue
-        if node.tag in SCORED and any(c.tag in SCORED for c in own):
-            length, links, commas = 0, 0, 0
-            for c in node.children:
-                if isinstance(c, str):
-                    length, commas = length + len(c.strip()), commas + c.count(",")
-        elif node.tag in SCORED:
-            length, links, commas = _measure(node)
-        else:
-            text = " ".join(c for c in node.children if isinstance(c, str)).strip()
-            length, links, commas = len(text), 0, text.count(",")
-        if not length:
-            continue
-        points = (1 + commas + min(length / 100, 30)) * (1 - links / length)
-        target = node.parent if node.tag in SCORED and node.parent is not None else node
-        share = 1.0
-        for _ in range(3):
-            if target is None:
-                break
-            if not target.score and target not in scored:
-                target.score = 8.0 if target.tag in ("article", "main") else 0.0
-                target.score += 5.0 * bool(_GOOD.search(target.marks)) - 5.0 * bool(_BAD.search(target.marks))
-                scored.append(target)
-            target.score += points * share
-            share /= 2 if share == 1.0 else 1.5
-            target = target.parent
+    nodes = _bottom_up(parse(html))
+    _add_up(nodes)
+    scored = _score(nodes)
     if not scored:
         return ""
-    final = {}
-    for node in scored:
-        length, links, _ = _measure(node)
-        final[id(node)] = node.score * (1 - links / length if length else 0)
-    best = max(scored, key=lambda n: final[id(n)])
-    # an article that holds the best container is the container
-    node = best.parent
-    while node is not None:
-        if node.tag in ("article", "main") and not node.barred:
-            best = node
-            break
-        node = node.parent
-    if best.tag in ("article", "main"):
-        siblings = [best] if best.parent is None else [c for c in best.parent.children if c is best or (isinstance(c, Node) and c.tag == best.tag and final.get(id(c), 0) >= max(10, 0.2 * final.get(id(best), 0)))]
-        return "\n".join(_blocks(siblings))
+    best = _container(scored)
+    least = max(10, 0.2 * best.score)
+    if best.parent is None:
+        return "\n".join(_blocks([best]))
     kept = []
-    least = max(10, 0.2 * final.get(id(best), 0))
-    for c in best.parent.children if best.parent is not None else [best]:
+    for c in best.parent.children:
         if c is best:
             kept.append(c)
         elif isinstance(c, Node) and not c.barred:
-            length, links, _ = _measure(c)
-            density = links / length if length else 1
-            if final.get(id(c), 0) >= least or (c.tag == "p" and density < 0.25 and length > 80) or (c.tag in ("h1", "h2", "h3") and best.tag != "body" and length and not density):
+            if best.tag in ("article", "main"):
+                good = c.tag == best.tag and c.score >= least
+            else:
+                heading = c.tag in ("h1", "h2", "h3") and best.tag != "body" and c.text and not c.links
+                good = c.score >= least or (c.tag == "p" and _density(c) < 0.25 and c.text > 80) or heading
+            if good:
                 kept.append(c)
     return "\n".join(_blocks(kept))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of each row; a null html, and a page without a text, gives an empty text.
+    """page_id, url, text and n_chars of each row.
 
-    Malformed or cut-off markup is read as far as it goes; nested markup of any depth is walked without recursion.
+    A null or empty html, and a page without a text, gives an empty text; a null page_id or url is passed on. Malformed or cut-off
+    markup is read as far as it goes. A page of any length or depth is read whole, without recursion and in time proportional to
+    its length. Of equally good containers the first in the page wins. Repeated rows are read each, an empty table gives no rows,
+    and other columns, whatever their names, are not read.
     """
     ship(pages.sparkSession)
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
@@ -244,6 +300,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """extract_pages over all `pages`; its docstring gives the results for nulls, empty and long pages, repeats and empty tables."""
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
