@@ -64,3 +64,54 @@ def test_values_reach_to_their_delimiter_at_any_length():
         at = max((len(w), text.index(w), w) for w in re.findall(r"[A-Za-z0-9]{12,}", text))
         assert secrets.guessed_spans(text, []) == [(at[1], 3, at[1] + at[0])], text[:40]
     assert secrets.guess_cost("a" * 10**6, 8.0) < 8.0 <= secrets.guess_cost("a" * 10**6 + long, 8.0)
+
+
+def every_cover(value):
+    """The cheapest of all segmentations, one after another."""
+    import math
+
+    at, brute, n = secrets.segments_from(value), math.log10(secrets._class_size(value)), len(value)
+    best = math.inf
+
+    def walk(i, cost, k, run):
+        nonlocal best
+        if i == n:
+            best = min(best, cost + math.log10(math.factorial(k)))
+            return
+        for j, price in at(i):
+            walk(j, cost + price, k + 1, False)
+        if not run:
+            for j in range(i + 1, n + 1):
+                walk(j, cost + brute * (j - i), k + 1, True)
+
+    walk(0, 0.0, 0, False)
+    return best if n else 0.0
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from(["pass", "word", "123", "aaa", "qwe", "2021", "X", "k7", "ab", "admin", "!"]), max_size=4).map("".join).filter(lambda v: len(v) <= 11))
+def test_cost_is_that_of_the_cheapest_of_all_covers(value):
+    assert abs(secrets.guess_cost(value) - every_cover(value)) < 1e-9
+
+
+def test_words_of_the_corpus_are_cheap_and_passwords_in_copies_are_not(documents):
+    rows = [(i, "the necessary blanket of strawberries lies beside the river; pwd: xqkzjvbwpfhm end") for i in range(20)]
+    ranks = secrets.learn_words(documents(rows))
+    assert {"necessary", "strawberries", "river"} <= set(ranks) and "xqkzjvbwpfhm" not in ranks
+    assert secrets.guess_cost("strawberries", ranks=ranks) < 3 < secrets.LEAST_COST < secrets.guess_cost("strawberries")
+    got = spans_of(documents([*rows, (50, "token is necessary, token: necessary"), (51, "pwd: xqkzjvbwpfhm")]))
+    assert got[0]["n_guess"] == 1 and got[50]["n_guess"] == 0 and got[50]["n_weak"] == got[50]["n_values"] == 2 and got[51]["n_guess"] == 1
+    assert secrets.learn_words(documents(rows).limit(0)) == secrets.RANK
+
+
+def test_the_cost_of_each_base_value_is_asked_for(documents):
+    got = spans_of(documents([(1, "token=abcdef1 and secret: tR7qLm29xZ0 then api_key=aaaaaaaa"), (2, "password=")]))
+    assert (got[1]["n_assign"], got[1]["n_values"], got[1]["n_guess"], got[1]["n_weak"]) == (3, 3, 0, 2) and got[2]["n_values"] == 0
+
+
+def test_long_values_are_redacted_whole_and_many_spans_in_time(documents):
+    rng = random.Random(4)
+    long = "".join(rng.choice(string.ascii_letters) for _ in range(360))
+    text = " ".join(f"token=abc{i}def pwd: tR7#qL{i}m29!xZ" for i in range(20_000)) + " " + "g" * 300_000 + " : " + f"pwd: '{long}' x" + " token" * 50_000
+    got = secrets.redact_column(documents([(1, text)])).first()["text"]
+    assert long[-104:] not in got and got.count("[SECRET]") == 40_001
