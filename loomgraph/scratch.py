@@ -7,20 +7,46 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local: list[str] = []
 
-class Scratch:
-    """Tables of one run under spark.checkpoint.dir; under a temporary folder only where that is unset."""
 
-    _local = None
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process on one machine."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, the folder that driver and executors share.
+
+    Where it is unset a local session gets a temporary folder; on a cluster that would be a folder of each machine's own, so it is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not root:
+        if not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _local:
+            _local.append("file://" + tempfile.mkdtemp(prefix="loomgraph-"))
+        root = _local[0]
+    return root.rstrip("/")
+
+
+def delete_at_end(spark: SparkSession, uri: str) -> None:
+    """Has the folder deleted when the session's JVM ends: frames that read it may live till then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+
+
+class Scratch:
+    """Tables of one run under the shared folder, deleted at the end of the session."""
 
     def __init__(self, spark: SparkSession, name: str):
-        root = spark.conf.get("spark.checkpoint.dir", "") or ""
-        if not root:
-            Scratch._local = Scratch._local or "file://" + tempfile.mkdtemp(prefix="loomgraph-")
-            root = Scratch._local
         self.spark = spark
-        self.path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        delete_at_end(spark, self.path)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.count += 1
