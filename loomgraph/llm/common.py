@@ -6,6 +6,7 @@ import gc
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.scratch import delete_at_end, is_local, shared_root
+
 #: Java and RE2 regex of a word: ASCII white space separates words.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one step of an Arrow task holds in arrays.
@@ -34,30 +37,37 @@ def fold_of(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, the folder that driver and executors share; a temporary one only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not root:
-        root = getattr(scratch_root, "local", None) or "file://" + tempfile.mkdtemp(prefix="loomgraph-")
-        scratch_root.local = root
-    return root.rstrip("/")
+def doc_key() -> Column:
+    """128 bits of id and text: equal only for repeated rows."""
+    own = F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit("n"))
+    return F.unhex(F.md5(F.concat(own, F.lit("\0"), F.coalesce("text", F.lit(""))).cast("binary")))
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 class Scratch:
-    """Parquet tables of one run in the shared folder: they cut lineage and outlive lost executors."""
+    """Parquet tables of one run in the shared folder: they cut lineage and outlive lost executors. The session's end deletes them."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        delete_at_end(spark, self.path)
 
     def save(self, df: DataFrame, label: str) -> DataFrame:
         path = f"{self.path}/{label}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, label: str = "") -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{label}".rstrip("/"))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *labels: str) -> None:
+        for label in labels:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{label}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -67,11 +77,23 @@ def release(spark: SparkSession) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Python workers started by this session can import this package from where the driver has it."""
+    """Python workers started by this session can import this package: on a cluster Spark sends it to them, once a session."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in os.environ.get("PYTHONPATH", "").split(os.pathsep) and root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+    context = spark.sparkContext
+    if is_local(spark):
+        env = context.environment
+        if root not in os.environ.get("PYTHONPATH", "").split(os.pathsep) and root not in env.get("PYTHONPATH", "").split(os.pathsep):
+            env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+    elif not getattr(context, "_loomgraph_shipped", False):
+        path = os.path.join(tempfile.mkdtemp(prefix="loomgraph-"), "loomgraph_package.zip")  # the driver's copy; Spark serves it
+        with zipfile.ZipFile(path, "w") as package:
+            for folder, _, names in os.walk(os.path.join(root, "loomgraph")):
+                for name in names:
+                    if name.endswith(".py"):
+                        file = os.path.join(folder, name)
+                        package.write(file, os.path.relpath(file, root))
+        context.addPyFile(path)
+        context._loomgraph_shipped = True
 
 
 def join_hot(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
@@ -86,6 +108,20 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], count: str, tot
     return left.join(hot, keys).unionByName(left.join(hot.select(*keys), keys, "left_anti").join(cold.hint("shuffle_merge"), keys))
 
 
+def join_salted(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int, block: int) -> DataFrame:
+    """Inner join like join_hot for wide right rows: none is broadcast.
+
+    A key with more than `block` left rows is dealt to several tasks: its right row goes to each, a left row to one by a hash of all
+    it holds. Only keys and numbers of parts of the hot keys are broadcast.
+    """
+    parts = F.ceil(F.col(count) / block).cast("int")
+    others = [F.col(c) for c in left.columns if c not in keys]
+    dealt = join_hot(left, right.select(*keys, count, parts.alias("_parts")), keys, count, total).drop(count)
+    dealt = dealt.withColumn("_salt", F.pmod(F.xxhash64(*others) if others else F.lit(0), F.col("_parts")).cast("int")).drop("_parts")
+    spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.join(spread.hint("shuffle_merge"), [*keys, "_salt"]).drop("_salt")
+
+
 def rank_within(df: DataFrame, keys: list[str], order: list[Column], parts: int, name: str) -> DataFrame:
     """Adds a 0-based rank within the keys: ordered by a hash part of the order columns, then by them.
 

@@ -25,7 +25,8 @@ def brute(rows, width, percent):
     out = []
     for i, (doc, _) in enumerate(rows):
         ids = [rows[j][0] for j in range(len(rows)) if find(j) == find(i) and rows[j][0] is not None]
-        out.append((doc, len(sets[i]), (min(ids) if ids else None) if sets[i] else doc))
+        alike = {frozenset(s) for s in sets if s and s != sets[i] and 100 * len(sets[i] & s) >= percent * len(sets[i] | s)}
+        out.append((doc, len(sets[i]), (min(ids) if ids else None) if sets[i] else doc, len(alike)))
     return sorted(out, key=str)
 
 
@@ -55,8 +56,36 @@ def test_classes_are_those_of_all_pairs(documents, seed, width, percent):
     rows = corpus(seed)
     rows += [(500, None), (501, ""), (502, " \n "), (503, "one"), (504, "ONE"), (505, "one two"), (9, "other text of a repeated id"), (9, "other text of a repeated id"), (None, rows[0][1]), (None, "lonely row without an id here"), (506, "Été É"), (507, "été é")]
     df = documents(rows).selectExpr("*", "1 AS n", "2 AS node", "3 AS token")
+    want = brute(rows, width, percent)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in link_classes(df, width, percent, count_links=True).collect()), key=str)
+    assert got == want
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in link_classes(df, width, percent).collect()), key=str)
-    assert got == brute(rows, width, percent)
+    assert got == [w[:3] for w in want]
+
+
+def test_links_of_members_are_derived_from_their_home(documents):
+    """Many edits of one text, alike to it and mostly not to one another; edits of edits; a text at the edge of the class."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 60):
+        words = list(base)
+        for place in rng.sample(range(0, 200, 10), rng.randint(1, 2)):
+            words[place] = f"x{rng.randrange(3)}"
+        rows.append((i, " ".join(words)))
+        if i % 10 == 0:
+            rows.append((100 + i, " ".join([*words, *(f"tail{j}" for j in range(rng.randint(1, 30)))])))
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in link_classes(documents(rows), 3, 94, count_links=True).collect()), key=str)
+    assert got == brute(rows, 3, 94) and max(g[3] for g in got) > 20
+
+
+def test_long_texts_and_columns_of_any_name(documents):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, long), (2, long + " more"), (3, "x" * 100_000), (4, "x" * 100_000 + " y")]
+    df = documents(rows).selectExpr("*", "1 AS gone", "2 AS _gone", "3 AS class_key", "4 AS doc_key", "5 AS `a.b`")
+    got = drop_near_duplicates(df)
+    assert sorted(r["doc_id"] for r in got.collect()) == [1, 3, 4] and got.columns == df.columns
+    assert drop_near_duplicates(df.limit(0)).count() == 0
 
 
 def test_empty_table(documents):
