@@ -136,6 +136,21 @@ def rank_within(df: DataFrame, keys: list[str], order: list[Column], parts: int,
     return joined.select(*[local[c] for c in df.columns if c != "_part"], (local["_rank"] + F.coalesce(before["_before"], F.lit(0))).cast("long").alias(name))
 
 
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], scratch: Scratch, label: str) -> DataFrame:
+    """Adds the sums of the expressions over all rows up to and including a row, in the given order without ties.
+
+    Rows are dealt by ranges and written; each range is summed for itself and what the ranges before hold, a row a range, is added.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = scratch.save(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), label)
+    upto = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over as many rows as ranges
+    before = dealt.groupBy("_range").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    before = before.select("_range", *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in sums])
+    out = dealt.withColumns({n: F.sum(c).over(upto) for n, c in sums.items()}).join(F.broadcast(before), "_range")
+    return out.select(*df.columns, *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in sums])
+
+
 # ---- Arrow side -------------------------------------------------------------------------------------------------
 
 

@@ -2,27 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import itertools
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import WORD, Scratch, rank_within, table
+from loomgraph.llm.common import WORD, Scratch, doc_key, fresh_name, rank_within, running_sums, table
 
 #: No document is taken more often, and no source more than so many times its size.
 MOST = 3
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (1, 2, 3)
-STEPS = 60
-#: Newton ends when each source's expected words are this near its target, relatively.
-NEAR = 1e-7
+#: Newton ends when each source's expected words are this near its target, relatively, or its dual is known to TIGHT.
+NEAR, TIGHT = 1e-7, 1e-13
 #: Keys of taken documents broadcast at most; beyond, the join is shuffled.
 BROADCAST_KEYS = 1_000_000
 
 
-def doc_key() -> Column:
-    """A hash of id and text: equal only for repeated rows."""
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))
-
-
 def sized(documents: DataFrame) -> DataFrame:
     """doc_id, doc_key, source and size: the text's words, 0 for a null text."""
     return documents.select("doc_id", doc_key().alias("doc_key"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
@@ -36,17 +32,17 @@ def targets(sizes: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGH
     first at which the share that is left stops no other.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    number = F.row_number().over(Window.orderBy(F.col("source").cast("binary").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (number % len(weights) + 1).cast("int"))
-    rows = totals.withColumn("weight", weight)
-    order = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").cast("binary").asc_nulls_last())
-    whole = Window.partitionBy()
-    rows = rows.withColumns({"stop": most * F.col("source_size").cast("double"), "all": F.sum("source_size").over(whole).cast("double"), "after": F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))})
-    rows = rows.withColumn("before", F.coalesce(F.sum("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    rows = rows.withColumn("level", (F.col("all") - F.col("before")) / F.col("after"))
-    rows = rows.withColumn("free", F.col("weight") * F.col("level") <= F.col("stop"))
-    level = F.min(F.when(F.col("free"), F.struct("before", "level"))).over(whole)["level"]
-    target = F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.least(F.col("stop"), F.coalesce(F.col("weight") * level, F.col("stop"))))
+    by_name = [F.col("source").isNull(), F.coalesce(F.col("source").cast("binary"), F.lit("").cast("binary"))]
+    rows = running_sums(totals, by_name, {"number": F.lit(1)}, scratch, "sources")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("number") - 1) % len(weights) + 1).cast("int"))
+    rows = rows.withColumns({"weight": weight, "stop": most * F.col("source_size").cast("double")}).withColumn("ratio", F.col("source_size") / F.col("weight"))
+    whole = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0)).cast("double"), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    rows = running_sums(rows, [F.col("ratio"), *by_name], {"upto": F.col("stop"), "weight_upto": F.col("weight")}, scratch, "ratios")
+    before, after = F.col("upto") - F.col("stop"), F.lit(whole[1]) - F.col("weight_upto") + F.col("weight")
+    rows = rows.withColumn("level", (F.lit(whole[0]) - before) / after)
+    free = rows.where(F.col("weight") * F.col("level") <= F.col("stop")).agg(F.min(F.struct("upto", "level"))["level"]).first()[0]
+    share = F.col("stop") if free is None else F.least(F.col("stop"), F.col("weight") * free)
+    target = F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(share)
     return scratch.save(rows.select("source", "source_size", target.alias("target")), "targets")
 
 
@@ -56,7 +52,7 @@ def balance(sizes: DataFrame, goals: DataFrame, scratch: Scratch, most: int = MO
     Rates minimise the sum of rate * (log rate - 1) within [0, most] while each source's words, rate * size summed, meet
     its target. The dual has one variable a source and rates are least(most, exp(dual * size / mean size)). Documents
     of one source and size share a rate, so each Newton step is one aggregation of the table of their counts. A step
-    that leaves the bracket of the root is replaced by its middle; a source at `most` times its size takes that rate.
+    that leaves the bracket of the root is replaced by its middle, so the steps end; a source at `most` times its size takes that rate.
     """
     classes = sizes.where(F.col("size") > 0).groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     classes = scratch.save(classes, "classes")
@@ -67,7 +63,7 @@ def balance(sizes: DataFrame, goals: DataFrame, scratch: Scratch, most: int = MO
     full = F.col("target") >= F.col("source_size") * (most * (1 - 1e-12))
     first = F.when(full, bound).otherwise(F.log(F.col("target") / F.col("source_size")))
     dual = scratch.save(start.select("source", "target", "mean", first.alias("dual"), F.lit(-745.0).alias("low"), bound.alias("high"), full.alias("done")), "dual-0")
-    for step in range(1, STEPS + 1):
+    for step in itertools.count(1):
         at = classes.join(dual.hint("shuffle_hash"), classes["source"].eqNullSafe(dual["source"])).select(dual["*"], "size", "n")
         x = F.col("size") / F.col("mean")
         raw = F.exp(F.least(F.col("dual") * x, F.lit(50.0)))
@@ -76,11 +72,12 @@ def balance(sizes: DataFrame, goals: DataFrame, scratch: Scratch, most: int = MO
             F.sum(words * F.least(F.lit(float(most)), raw)).alias("got"), F.sum(F.when(raw < most, words * x * raw).otherwise(0.0)).alias("slope")
         )
         gap = F.col("got") - F.col("target")
-        sums = sums.withColumns({"low": F.when(gap < 0, F.col("dual")).otherwise(F.col("low")), "high": F.when(gap > 0, F.col("dual")).otherwise(F.col("high")), "done": F.col("done") | (F.abs(gap) <= NEAR * F.col("target"))})
+        sums = sums.withColumns({"low": F.when(gap < 0, F.col("dual")).otherwise(F.col("low")), "high": F.when(gap > 0, F.col("dual")).otherwise(F.col("high")), "done": F.col("done") | (F.abs(gap) <= NEAR * F.col("target")) | (F.col("high") - F.col("low") <= TIGHT * (1 + F.abs("dual")))})
         newton = F.col("dual") - gap / F.when(F.col("slope") > 0, F.col("slope"))
         inside = (newton > F.col("low")) & (newton < F.col("high"))
         following = F.when(F.col("done"), F.col("dual")).when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2)
         dual = scratch.save(sums.select("source", "target", "mean", following.alias("dual"), "low", "high", "done"), f"dual-{step}")
+        scratch.drop(f"dual-{step - 1}")
         if dual.where(~F.col("done")).isEmpty():
             break
     at = classes.join(dual.hint("shuffle_hash"), classes["source"].eqNullSafe(dual["source"])).select(classes["*"], "target", "mean", "dual")
@@ -90,7 +87,7 @@ def balance(sizes: DataFrame, goals: DataFrame, scratch: Scratch, most: int = MO
 def copies_by_class(rates: DataFrame, most: int = MOST) -> DataFrame:
     """source, size, n and copies: whole copies of all n documents of a class together.
 
-    Along rising sizes a source's running sum of expected copies is rounded, which leaves an error of at most one copy
+    A source has at most one row a size of text, however many documents it has. Along rising sizes its running sum of expected copies is rounded, which leaves an error of at most one copy
     anywhere; what words are then still missing or too many are added to or taken from classes along rising sizes, as
     long as one copy of a document fits.
     """
@@ -112,9 +109,10 @@ def copies_by_class(rates: DataFrame, most: int = MOST) -> DataFrame:
 def mix_documents(documents: DataFrame, scratch: Scratch | None = None, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """doc_id, doc_key, source, size, source_size, target and copies of every row of documents.
 
-    Null sources are one source, last in order. Null and empty texts have size 0 and no copies. Of a class's documents
-    those first in an order of hashed ids take the copies left over; equal rows take some each. The same table gives
-    the same copies. An empty table gives no rows.
+    Null sources are one source, last in order. Null and empty texts have size 0 and no copies; texts of any length count
+    whole. Of a class's documents those first in an order of hashed ids take the copies left over; equal rows take some
+    each. The same table gives the same copies. An empty table gives no rows. Columns beside doc_id, text and source,
+    whatever their names, are not read.
     """
     spark = documents.sparkSession
     scratch = scratch or Scratch(spark, "mixing")
@@ -141,16 +139,22 @@ def mix_documents(documents: DataFrame, scratch: Scratch | None = None, weights:
 
 
 def resampled(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """The mix itself: every row as often as it is taken, with all its columns."""
+    """The mix itself: every row as often as it is taken, with all its columns, whatever these are called.
+
+    Null and empty texts have no words and are never taken; repeated rows are taken as often as their copies add up to. An
+    empty table gives no rows.
+    """
     scratch = Scratch(documents.sparkSession, "resampled")
     rows = mix_documents(documents, scratch, weights, most).groupBy("doc_key").agg(F.sum("copies").cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
     taken = scratch.save(rows.where(F.col("_copies") > 0), "taken").withColumnRenamed("doc_key", "_key")
+    scratch.drop("sizes", "copies", "classes", "sources", "ratios", "targets")
     once, repeated = taken.where(F.col("_rows") == 1), taken.where(F.col("_rows") > 1)
-    keyed = documents.select(doc_key().alias("_own"), F.struct(*documents.columns).alias("_row"))
+    row = fresh_name(documents, "_row")
+    keyed = documents.select(doc_key().alias("_own"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias(row))
 
     def drawn(side: DataFrame, rows: DataFrame) -> DataFrame:
         side = F.broadcast(side) if side.count() <= BROADCAST_KEYS else side
-        return rows.join(side, F.col("_own") == F.col("_key")).select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
+        return rows.join(side, F.col("_own") == F.col("_key")).select(row, F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(f"{row}.*")
 
     out = drawn(once, keyed)
     if not repeated.isEmpty():
@@ -159,5 +163,6 @@ def resampled(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: in
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mix_documents over all `documents`; its docstring gives the results for nulls, empty and long texts, ties, repeats and empty tables."""
     rows = mix_documents(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")

@@ -13,16 +13,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Scratch, rank_within, ship, slices, table
+from loomgraph.llm.common import Scratch, doc_key, rank_within, ship, slices, table
 
 WINDOW = 2048
 END_ID = 1
-#: Piece lengths are told apart in steps of so many tokens.
+#: Piece lengths are told apart in steps of so many tokens: up to GRAIN - 1 tokens a piece stay unused.
 GRAIN = 8
-#: Pieces of a combination at most.
+#: Pieces of a combination at most: texts of under a third of a window are left to the greedy rest, which fills sequences with them.
 DEPTH = 3
-#: A sequence of the greedy rest with more free tokens than this is cut into sequences of powers of two.
+#: A sequence of the greedy rest with more free tokens than this is cut into sequences of powers of two, which need no padding.
 SLACK = 64
+#: Document keys broadcast at most; beyond, the join is shuffled.
+BROADCAST_KEYS = 1_000_000
 
 # ---- token ids --------------------------------------------------------------------------------------------------
 
@@ -134,12 +136,15 @@ def combinations(units: int, depth: int = DEPTH) -> list[tuple[int, ...]]:
     return out
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """argmin |ax - b| over x >= 0, by active sets; it stops after `rounds` at a feasible point."""
+def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
+    """argmin |ax - b| over x >= 0, by active sets; each round adds a column, and three a column suffice as a rule.
+
+    Should these not (by rounding), the point reached is feasible and `plan` packs greedily what it leaves.
+    """
     n = a.shape[1]
     x, passive = np.zeros(n), np.zeros(n, bool)
     tolerance = 1e-9 * max(1.0, np.abs(a.T @ b).max(initial=0))
-    for _ in range(rounds):
+    for _ in range(rounds or 3 * max(a.shape)):
         gradient = a.T @ (b - a @ x)
         gradient[passive] = -np.inf
         best = int(gradient.argmax())
@@ -247,8 +252,8 @@ def pieces(documents: DataFrame, window: int = WINDOW, ranks_path: str | None =
                 names=["doc_id", "doc_key", "start", "length", "ids_crc32", "doc_tokens"],
             )
 
-    keyed = documents.select("doc_id", "text", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))).alias("doc_key"))
-    return keyed.mapInArrow(run, f"doc_id {kind}, doc_key long, start long, length long, ids_crc32 long, doc_tokens long")
+    keyed = documents.select("doc_id", "text", doc_key().alias("doc_key"))
+    return keyed.mapInArrow(run, f"doc_id {kind}, doc_key binary, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack(documents: DataFrame, window: int = WINDOW, grain: int = GRAIN, scratch: Scratch | None = None, ranks_path: str | None = None, json_path: str | None = None) -> DataFrame:
@@ -257,7 +262,9 @@ def pack(documents: DataFrame, window: int = WINDOW, grain: int = GRAIN, scratch
     Whole windows of a document are sequences of their own. Its last piece goes to a place of the plan made from the
     histogram of lengths in grains (at most window / grain rows, whatever the input): the r-th piece of a length takes
     the r-th place of that length. Greedy sequences with much room are cut into powers of two, which need no padding.
-    A null or empty text has one id, the end. Repeated rows are packed each. An empty table gives no rows.
+    A null or empty text has one id, the end; a text of any length is cut and packed whole; a null doc_id is passed on.
+    Pieces of equal length take their places in the order of doc_key, so reruns agree. Repeated rows are packed each. An
+    empty table gives no rows. Columns beside doc_id and text, whatever their names, are not read.
     """
     spark = documents.sparkSession
     ship(spark)
@@ -269,38 +276,38 @@ def pack(documents: DataFrame, window: int = WINDOW, grain: int = GRAIN, scratch
     full = int(cut.where(F.col("length") == window).count())
     groups = plan(histogram, units)
     # places: of each length, runs of sequences that take it at one slot
-    next_sequence, used, runs, loose = 0, dict.fromkeys(histogram, 0), [], []
+    next_sequence, used, runs = 0, dict.fromkeys(histogram, 0), []
     for content, count in groups:
-        if (units - sum(content)) * grain > SLACK:
-            loose.append((next_sequence, next_sequence + count))
+        loose = (units - sum(content)) * grain > SLACK
         for slot, length in enumerate(content):
-            runs.append((length, used[length], used[length] + count, next_sequence, slot))
+            runs.append((length, used[length], used[length] + count, next_sequence, slot, loose))
             used[length] += count
         next_sequence += count
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = [F.col("doc_key"), F.col("start")]
     rest = rank_within(cut.where(F.col("length") < window), ["grains"], order, parts, "rank")
-    place = spark.createDataFrame(runs, "grains int, rank_from long, rank_to long, first_sequence long, slot int")
+    place = spark.createDataFrame(runs, "grains int, rank_from long, rank_to long, first_sequence long, slot int, loose boolean")
     # a few hundred runs: bounded by the number of combinations used
     joined = rest.join(F.broadcast(place), (rest["grains"] == place["grains"]) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
-    placed = joined.select("doc_id", "doc_key", "start", "length", "ids_crc32", "doc_tokens", (F.col("first_sequence") + F.col("rank") - F.col("rank_from")).alias("sequence_id"), "slot")
+    placed = joined.select("doc_id", "doc_key", "start", "length", "ids_crc32", "doc_tokens", (F.col("first_sequence") + F.col("rank") - F.col("rank_from")).alias("sequence_id"), "slot", "loose")
     placed = scratch.save(placed, "placed")
     by_slot = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(by_slot), F.lit(0)).cast("long"))
-    is_loose = F.lit(False)
-    for a, b in loose:
-        is_loose = is_loose | ((F.col("sequence_id") >= a) & (F.col("sequence_id") < b))
     whole = rank_within(cut.where(F.col("length") == window), ["grains"], order, parts, "rank")
     whole = whole.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("rank") + next_sequence).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    out = placed.where(~is_loose).select(columns).unionByName(whole.select(columns))
-    if loose:
-        out = out.unionByName(_powers(documents, placed.where(is_loose), next_sequence + full, _paths(ranks_path, json_path)).select(columns))
+    out = placed.where(~F.col("loose")).select(columns).unionByName(whole.select(columns))
+    if any(r[-1] for r in runs):
+        out = out.unionByName(_powers(documents, placed.where("loose"), next_sequence + full, scratch, _paths(ranks_path, json_path)).select(columns))
     return out
 
 
-def _powers(documents: DataFrame, placed: DataFrame, first_id: int, paths: tuple[str, str]) -> DataFrame:
-    """The pieces of the loose sequences (as few as the plan's greedy end has), cut so that each sequence is a power of two long."""
+def _powers(documents: DataFrame, placed: DataFrame, first_id: int, scratch: Scratch, paths: tuple[str, str]) -> DataFrame:
+    """The pieces of the loose sequences, cut so that each sequence is a power of two long.
+
+    The cuts are written; the texts that they lie in, as many as the plan's greedy end leaves, are fetched by a broadcast of
+    their keys where these are few and by a shuffle where not, and meet their cuts ordered by key, so that each is encoded once.
+    """
     rows = placed.withColumn("total", F.sum("length").over(Window.partitionBy("sequence_id")))
     bits = F.expr("transform(filter(sequence(11, 0, -1), b -> (total & shiftleft(1L, b)) != 0), b -> shiftleft(1L, b))")
     rows = rows.withColumn("sizes", bits)
@@ -309,22 +316,28 @@ def _powers(documents: DataFrame, placed: DataFrame, first_id: int, paths: tuple
     rows = rows.select("*", F.explode("cut").alias("c")).where((F.col("c.lo") < F.col("offset") + F.col("length")) & (F.col("c.hi") > F.col("offset")))
     low, high = F.greatest("c.lo", "offset"), F.least(F.col("c.hi"), F.col("offset") + F.col("length"))
     rows = rows.select("doc_id", "doc_key", (F.col("start") + low - F.col("offset")).alias("start"), (high - low).alias("length"), "doc_tokens", (F.lit(first_id) + F.col("sequence_id") * 12 + F.col("c.at")).cast("long").alias("sequence_id"), (low - F.col("c.lo")).alias("offset"))
-    keys = documents.select("text", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))).alias("doc_key"))
-    texts = keys.join(F.broadcast(rows.select("doc_key").distinct()), "doc_key", "left_semi").dropDuplicates(["doc_key"])
+    rows = scratch.save(rows, "loose")
+    keys = rows.select("doc_key").distinct()
+    keys = F.broadcast(keys) if rows.count() <= BROADCAST_KEYS else keys
+    texts = documents.select("text", doc_key().alias("doc_key")).join(keys, "doc_key", "left_semi").dropDuplicates(["doc_key"])
+    met = rows.join(texts.hint("shuffle_merge"), "doc_key").sortWithinPartitions("doc_key")
     kind = documents.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        last, ids = None, np.zeros(0, np.uint32)
+        for batch in slices(batches):
             crc = []
-            for text, start, length in zip(batch.column("text").to_pylist(), batch.column("start").to_pylist(), batch.column("length").to_pylist(), strict=True):
-                ids, _ = encode(pa.array([text], pa.string()), *paths)
+            for key, text, start, length in zip(*(batch.column(c).to_pylist() for c in ("doc_key", "text", "start", "length")), strict=True):
+                if key != last:
+                    last, ids = key, encode(pa.array([text], pa.string()), *paths)[0]
                 crc.append(_crc(ids[start : start + length]))
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(crc, pa.int64())], names=[*names, "ids_crc32"])
 
-    return rows.join(texts, "doc_key").select(*names, "text").mapInArrow(run, f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long")
+    return met.select(*names, "doc_key", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack over all `documents`; its docstring gives the results for nulls, empty and long texts, ties, repeats and empty tables."""
     return pack(table(spark, sf_dir, "documents"))
 
