@@ -88,7 +88,8 @@ def fingerprint_edits(documents: DataFrame, k: int = K, width: int = WIDTH) -> D
 
     The edited text replaces the last floor(n / 2) code points by the first as many of the next document by descending
     doc_id; the one with the smallest takes the largest's. Equal ids follow a hash of their text, null ids come last,
-    a null text is empty and an only document is its own next. An empty table gives no rows.
+    a null text is empty and an only document is its own next. Texts of any length count whole, repeated rows follow one
+    another, an empty table gives no rows, and columns beside doc_id and text, whatever their names, are not read.
 
     Documents meet their next one by one range shuffle of the texts; where a range ends, the first of the range
     below is copied over.
@@ -152,4 +153,6 @@ def fingerprint_edits(documents: DataFrame, k: int = K, width: int = WIDTH) -> D
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fingerprint_edits over all `documents`; its docstring gives the results for nulls, empty and long texts, ties, repeats and empty
+    tables."""
     return fingerprint_edits(table(spark, sf_dir, "documents"))

@@ -171,7 +171,7 @@ def _add_up(nodes: list[Node]) -> None:
             node.links = node.text
 
 
-def _blocks(nodes: list[Node]) -> list[str]:
+def _blocks(nodes: list[Node | str]) -> list[str]:
     out: list[str] = []
     parts: list[str] = []
 
@@ -269,7 +269,10 @@ def extract(html: str) -> str:
     for c in best.parent.children:
         if c is best:
             kept.append(c)
-        elif isinstance(c, Node) and not c.barred:
+        elif isinstance(c, str):
+            if best.tag not in ("article", "main") and len(c.strip()) > 80:
+                kept.append(c)
+        elif not c.barred:
             if best.tag in ("article", "main"):
                 good = c.tag == best.tag and c.score >= least
             else:

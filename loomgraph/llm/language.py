@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import fold_of, mix, ship, slices, split_words, table
 
 BUCKETS = 1 << 15
-#: Words of a chain. A text is a row of chains; each begins with the learned start weights.
+#: Words of a block. A text is one chain, computed in blocks between which the messages are passed on.
 CHAIN = 32
-#: Code points of a word that features see: all of a shorter word, else its head and tail.
-HEAD, TAIL = 16, 8
+#: Code points of a label's unit: a longer run without white space, as scripts without it have, is labelled piece by piece.
+PIECE = 24
 UNKNOWN = "und"
-#: Words of each language in the lexicon, at most.
-LEXICON = 3000
+#: A lexicon word occurs so often in the sample, and so often in one language.
+LEXICON_LEAST, LEXICON_SHARE = 3, 0.8
+#: Blocks that one step holds in arrays.
+BLOCKS = 20_000
 
 
 @dataclass
@@ -34,10 +36,9 @@ class Crf:
 
 
 def _matrix(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points (words, HEAD + TAIL), 0 behind the end, and lengths."""
-    cut = [w if len(w) <= HEAD + TAIL else w[:HEAD] + w[-TAIL:] for w in words]
-    codes = np.array(cut, dtype=f"U{HEAD + TAIL}").view(np.uint32).reshape(len(words), HEAD + TAIL)
-    return codes, np.array([len(w) for w in cut])
+    """Code points (words, PIECE), 0 behind the end, and lengths."""
+    codes = np.array(words, dtype=f"U{PIECE}").view(np.uint32).reshape(len(words), PIECE)
+    return codes, np.array([len(w) for w in words])
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +79,10 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(columns, axis=1), whole
 
 
+#: Log weights this far below a word's best count as this far.
+_FLOOR = -60.0
+
+
 def _emit(model: Crf, words: list[str]) -> np.ndarray:
     if not words:
         return np.zeros((0, len(model.labels)), np.float32)
@@ -122,28 +127,62 @@ def forward_backward(emission: np.ndarray, live: np.ndarray, transition: np.ndar
     return marginal, pairs
 
 
-def marginals(emission: np.ndarray, live: np.ndarray, transition: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Only the marginals of forward_backward."""
-    chains, width, labels = emission.shape
-    e = np.exp(emission - emission.max(axis=2, keepdims=True))
+def marginals(emission: np.ndarray, live: np.ndarray, transition: np.ndarray, prior: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Marginals (blocks, CHAIN, labels), given what comes before each block's first word (prior) and behind its last (after)."""
+    e = np.exp(np.maximum(emission - emission.max(axis=2, keepdims=True), _FLOOR))
     a, t = np.empty_like(e), np.exp(transition).astype(e.dtype)
-    a[:, 0] = e[:, 0] * np.exp(start - start.max()).astype(e.dtype)
+    a[:, 0] = e[:, 0] * prior
     a[:, 0] /= a[:, 0].sum(axis=1, keepdims=True)
-    for i in range(1, width):
+    for i in range(1, e.shape[1]):
         a[:, i] = (a[:, i - 1] @ t) * e[:, i]
         a[:, i] /= a[:, i].sum(axis=1, keepdims=True)
-    b = np.ones((chains, labels), e.dtype)
-    for i in range(width - 1, -1, -1):
+    b = after
+    for i in range(e.shape[1] - 1, -1, -1):
         back = ((e[:, i] * b) @ t.T) if i else None
         a[:, i] *= b
         a[:, i] /= a[:, i].sum(axis=1, keepdims=True)
         if i:
-            b = np.where(live[:, i, None], back / back.sum(axis=1, keepdims=True), 1)
+            b = np.where(live[:, i, None], back / back.sum(axis=1, keepdims=True), b)
     return a
 
 
+def _products(emission: np.ndarray, live: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """Of each block the matrix that takes the message into its first word to that at its last, up to a factor."""
+    e = np.exp(np.maximum(emission - emission.max(axis=2, keepdims=True), _FLOOR))
+    t = np.exp(transition).astype(e.dtype)
+    k = e.shape[2]
+    out = np.eye(k, dtype=e.dtype)[None] * e[:, 0, None, :]
+    for i in range(1, e.shape[1]):
+        following = (out @ t) * e[:, i, None, :]
+        following /= following.max(axis=(1, 2), keepdims=True)
+        out = np.where(live[:, i, None, None], following, out)
+    return out
+
+
+def messages(products: np.ndarray, first: np.ndarray, many: np.ndarray, transition: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What comes before and behind each block: blocks first[t] to first[t] + many[t] - 1 are text t's, and all texts advance together."""
+    t, k = np.exp(transition).astype(products.dtype), len(start)
+    prior, after = np.ones((len(products), k), products.dtype), np.ones((len(products), k), products.dtype)
+    order = np.argsort(-many, kind="stable")
+    first, many = first[order], many[order]
+    head = np.exp(start - start.max()).astype(products.dtype)
+    ahead, back = np.tile(head, (len(many), 1)), np.ones((len(many), k), products.dtype)
+    for j in range(int(many.max(initial=0))):
+        n = int(np.searchsorted(-many, -j, "left"))  # texts with more than j blocks
+        rows = first[:n] + j
+        prior[rows] = ahead[:n]
+        ahead = np.einsum("nk,nkl->nl", ahead[:n], products[rows]) @ t
+        ahead /= ahead.sum(axis=1, keepdims=True)
+        rows = first[:n] + many[:n] - 1 - j
+        after[rows] = back[:n]
+        back = np.einsum("nkl,nl->nk", products[rows], back[:n]) @ t.T
+        back /= back.sum(axis=1, keepdims=True)
+    return prior, after
+
+
 def _words(text: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct lower-case words with a letter, the code of each in text order, where each text's begin."""
+    """Distinct lower-case words with a letter (of a run of over PIECE code points its pieces), the code of each in text order,
+    where each text's begin."""
     distinct, codes, bounds = split_words(text)
     lowered = pc.utf8_lower(distinct)
     lowered = pc.replace_substring_regex(lowered, r"^[^\p{L}]+|[^\p{L}]+$", "")
@@ -152,18 +191,53 @@ def _words(text: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     codes = encoded.indices.to_numpy(zero_copy_only=False)[codes] if len(codes) else codes
     keep = np.array([bool(v) for v in values], bool)[codes] if len(codes) else np.zeros(0, bool)
     before = np.concatenate([[0], np.cumsum(keep)])
-    return values, codes[keep], before[bounds]
-
-
-def _chains(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word positions (chains, CHAIN), which of them are words, and the text of each chain."""
-    sizes = np.diff(bounds)
-    many = -(-sizes // CHAIN)
-    owner = np.repeat(np.arange(len(sizes)), many)
-    first = bounds[:-1][owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)) * CHAIN
-    at = first[:, None] + np.arange(CHAIN)
-    live = at < bounds[1:][owner][:, None]
-    return np.where(live, at, 0), live, owner
+    codes, bounds = codes[keep], before[bounds]
+    if any(len(v) > PIECE for v in values):
+        parts = [[v[i : i + PIECE] for i in range(0, len(v), PIECE)] or [v] for v in values]
+        number = {p: i for i, p in enumerate(dict.fromkeys(p for ps in parts for p in ps))}
+        flat = np.array([number[p] for ps in parts for p in ps], np.int64)
+        size = np.array([len(ps) for ps in parts])
+        at, each = np.cumsum(size) - size, size[codes]
+        done = np.concatenate([[0], np.cumsum(each)])
+        codes = flat[np.repeat(at[codes] - done[:-1], each) + np.arange(done[-1])]
+        values, bounds = list(number), done[bounds]
+    return values, codes, bounds
+
+
+def _blocks(bounds: np.ndarray, lo: int, hi: int, first: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word positions (blocks, CHAIN) of blocks lo to hi - 1, and which of them are words."""
+    text = owner[lo:hi]
+    start = bounds[:-1][text] + (np.arange(lo, hi) - first[text]) * CHAIN
+    at = start[:, None] + np.arange(CHAIN)
+    live = at < bounds[1:][text][:, None]
+    return np.where(live, at, 0), live
+
+
+def labelled(model: Crf, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the sums of its words' marginals (texts, labels), its words, and words whose likeliest language isn't that of the word before."""
+    values, codes, bounds = _words(text)
+    n, k = len(text), len(model.labels)
+    emission = _emit(model, values)
+    many = -(-np.diff(bounds) // CHAIN)
+    first, owner = np.cumsum(many) - many, np.repeat(np.arange(n), many)
+    products = [np.zeros((0, k, k), np.float32)]
+    for lo in range(0, len(owner), BLOCKS):
+        at, live = _blocks(bounds, lo, min(lo + BLOCKS, len(owner)), first, owner)
+        products.append(_products(emission[codes[at]], live, model.transition))
+    prior, after = messages(np.concatenate(products), first, many, model.transition, model.start)
+    total, switches, last = np.zeros((n, k)), np.zeros(n, np.int64), (-1, -1)
+    for lo in range(0, len(owner), BLOCKS):
+        hi = min(lo + BLOCKS, len(owner))
+        at, live = _blocks(bounds, lo, hi, first, owner)
+        marginal = marginals(emission[codes[at]], live, model.transition, prior[lo:hi], after[lo:hi]) * live[:, :, None]
+        each = marginal.sum(axis=1)
+        for j in range(k):
+            total[:, j] += np.bincount(owner[lo:hi], each[:, j], minlength=n)
+        best, whose = marginal.argmax(axis=2)[live], np.repeat(owner[lo:hi], live.sum(axis=1))
+        changed = (np.diff(best, prepend=last[1]) != 0) & (np.diff(whose, prepend=last[0]) == 0)
+        switches += np.bincount(whose[changed], minlength=n)
+        last = (whose[-1], best[-1])
+    return total, np.diff(bounds), switches
 
 
 def fit(texts: list[str], langs: list[str], epochs: int = 3, rate: float = 0.15, seed: int = 7) -> Crf:
@@ -183,11 +257,10 @@ def fit(texts: list[str], langs: list[str], epochs: int = 3, rate: float = 0.15,
     share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
     chosen: list[int] = []
     for j in range(k):
-        good = np.flatnonzero((counts[:, j] >= 3) & (share[:, j] >= 0.8))
-        chosen += list(good[np.argsort(-counts[good, j], kind="stable")][:LEXICON])
+        chosen += list(np.flatnonzero((counts[:, j] >= LEXICON_LEAST) & (share[:, j] >= LEXICON_SHARE)))
     chosen_array = np.array(sorted(set(chosen), key=lambda i: own[i]), np.int64)
     lexicon = own[chosen_array] if len(chosen) else np.zeros(0, np.uint64)
-    member = (share[chosen_array] >= 0.8).astype(np.float32) if len(chosen) else np.zeros((0, k), np.float32)
+    member = (share[chosen_array] >= LEXICON_SHARE).astype(np.float32) if len(chosen) else np.zeros((0, k), np.float32)
     model = Crf(labels, np.zeros((BUCKETS + k, k), np.float32), np.zeros((k, k), np.float32), np.zeros(k, np.float32), lexicon, member)
     if k == 1 or not len(codes):
         return model
@@ -244,12 +317,13 @@ def fit(texts: list[str], langs: list[str], epochs: int = 3, rate: float = 0.15,
     return model
 
 
-def learn(documents: DataFrame, per_language: int = 150) -> Crf:
-    """Fits on at most per_language whole texts of each lang value outside fold 0, those with the smallest id hashes.
+def learn(documents: DataFrame, per_language: int = 150, most_bytes: int = 200_000) -> Crf:
+    """Fits on at most per_language whole texts of at most most_bytes of each lang value outside fold 0, those with the smallest id hashes.
 
-    A first pass counts lang values, so that the second fetches about that many rows of each and no more than twice.
+    A first pass counts such texts of each lang value (the model's labels, so they are few), so that the second fetches about
+    that many of each and no more than twice: at most 2 * per_language * most_bytes a language.
     """
-    usable = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id")) != 0))
+    usable = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.octet_length("text") <= most_bytes) & (fold_of(F.col("doc_id")) != 0))
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = []
     key = F.xxhash64(F.col("doc_id"), F.lit(11))
@@ -269,8 +343,9 @@ def predict(documents: DataFrame, model: Crf) -> DataFrame:
     """doc_id, lang_pred, score and switches of every row.
 
     score is the mean over all words of the predicted language's marginal; switches counts words whose likeliest
-    language differs from that of the word before. A null text or one without a letter is `und` with score 0.
-    Repeated rows are predicted each; an empty table gives no rows; other columns are not read.
+    language differs from that of the word before. A null or empty text, or one without a letter, is `und` with score 0.
+    A text of any length is one chain; of languages with equal sums the first by name wins. Repeated rows are predicted
+    each; an empty table gives no rows; other columns, whatever their names, are not read.
     """
     ship(documents.sparkSession)
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -279,20 +354,7 @@ def predict(documents: DataFrame, model: Crf) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            values, codes, bounds = _words(batch.column("text"))
-            n = batch.num_rows
-            emission = _emit(model, values)
-            at, live, owner = _chains(bounds)
-            total, switches = np.zeros((n, k)), np.zeros(n, np.int64)
-            for i in range(0, len(at), 20_000):
-                part, on, whose = at[i : i + 20_000], live[i : i + 20_000], owner[i : i + 20_000]
-                marginal = marginals(emission[codes[part]], on, model.transition, model.start) * on[:, :, None]
-                each = marginal.sum(axis=1)
-                for j in range(k):
-                    total[:, j] += np.bincount(whose, each[:, j], minlength=n)
-                best = marginal.argmax(axis=2)
-                switches += np.bincount(whose, ((best[:, 1:] != best[:, :-1]) & on[:, 1:]).sum(axis=1), minlength=n).astype(np.int64)
-            words = np.diff(bounds)
+            total, words, switches = labelled(model, batch.column("text"))
             best = np.where(words > 0, total.argmax(axis=1), k)
             score = np.where(words > 0, total.max(axis=1) / np.maximum(words, 1), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(labels[best], pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(switches)], names=["doc_id", "lang_pred", "score", "switches"])
@@ -301,7 +363,7 @@ def predict(documents: DataFrame, model: Crf) -> DataFrame:
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """predict over all `documents`; its docstring gives the results for nulls, empty and long texts, ties, repeats and empty tables."""
     documents = table(spark, sf_dir, "documents")
     held_out = F.coalesce(fold_of(F.col("doc_id")) == 0, F.lit(False))
     return predict(documents, learn(documents)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "switches")
-

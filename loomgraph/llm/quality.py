@@ -128,7 +128,8 @@ def measure(text: pa.Array) -> dict[str, np.ndarray]:
 def ledger(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """doc_id (or the columns named by keep, text too if it is one), every measurement, and failures: bit i says that rule i fails.
 
-    A null text has no words, an empty table no rows; repeated rows get a row each.
+    A null or empty text has no words; a text of any length is measured whole; a null doc_id is passed on. An empty table gives no
+    rows; repeated rows get a row each; columns that aren't kept, whatever their names, are not read.
     """
     ship(documents.sparkSession)
     keep = keep or ["doc_id"]
@@ -153,7 +154,11 @@ def apply_policy(rows: DataFrame, policy: Policy = STANDARD) -> DataFrame:
 
 
 def kept_documents(documents: DataFrame, policy: Policy = STANDARD) -> DataFrame:
-    """The rows that the policy keeps, with all their columns, whatever these are called."""
+    """The rows that the policy keeps, with all their columns, whatever these are called.
+
+    Null and empty texts have too few words and go; long texts are measured whole; repeated rows share a fate; an empty table
+    gives no rows.
+    """
     names = documents.columns
     inner = ["text" if c == "text" else f"_kept_{i}" for i, c in enumerate(names)]
     rows = ledger(documents.toDF(*inner), inner)
@@ -174,6 +179,8 @@ def ablations(rows: DataFrame, policy: Policy = STANDARD) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ledger and the standard policy over all `documents`; ledger's docstring gives the results for nulls, empty and long texts, repeats
+    and empty tables."""
     rows = apply_policy(ledger(table(spark, sf_dir, "documents")))
     base_failed = ~BASE.kept(F.col("failures"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), "kept")

@@ -40,7 +40,7 @@ def test_targets_and_copies(documents):
     want = goals(sizes)
     for s in sizes:
         assert target[s] == pytest.approx(want[s]) and abs(taken[s] - target[s]) <= max(5, 0.02 * target[s]), s
-    assert {(r["doc_id"], r["doc_key"], r["copies"]) for r in got} == {(r["doc_id"], r["doc_key"], r["copies"]) for r in mix_documents(documents(rows[::-1])).collect()}
+    assert {(r["doc_id"], bytes(r["doc_key"]), r["copies"]) for r in got} == {(r["doc_id"], bytes(r["doc_key"]), r["copies"]) for r in mix_documents(documents(rows[::-1])).collect()}
 
 
 def test_the_mix_repeats_rows(documents):
@@ -50,7 +50,7 @@ def test_the_mix_repeats_rows(documents):
     assert out.columns == df.columns
     copies = {}
     for r in mix_documents(df).collect():
-        copies[r["doc_key"]] = copies.get(r["doc_key"], 0) + r["copies"]
+        copies[bytes(r["doc_key"])] = copies.get(bytes(r["doc_key"]), 0) + r["copies"]
     assert out.count() == sum(copies.values())
 
 
@@ -59,3 +59,25 @@ def test_one_source_and_none(documents):
     assert all(r["copies"] == 1 and r["target"] == 5 for r in got)
     assert mix_documents(documents([(1, "a")]).limit(0)).collect() == []
     assert [r["copies"] for r in mix_documents(documents([(1, None), (2, "")])).collect()] == [0, 0]
+
+
+def test_rates_are_those_of_another_solver(spark, documents):
+    """Rates that minimise sum(rate * (log rate - 1)) under a source's target, by bisection of the dual in plain Python."""
+    import math
+
+    from loomgraph.llm.common import Scratch
+    from loomgraph.llm.mixing import balance, sized, targets
+
+    rows = [(i, "w " * (1 + (i * 37) % 90), "en", "abc"[i % 3] if i % 4 else "d") for i in range(500)]
+    scratch = Scratch(spark, "test")
+    sizes = sized(documents(rows))
+    got = balance(sizes, targets(sizes, scratch), scratch).collect()
+    for source in "abcd":
+        own = [r for r in got if r["source"] == source]
+        target, mean = own[0]["target"], sum(r["n"] * r["size"] for r in own) / sum(r["n"] for r in own)
+        low, high = -50.0, 200.0
+        for _ in range(200):
+            dual = (low + high) / 2
+            words = sum(r["n"] * r["size"] * min(MOST, math.exp(min(50, dual * r["size"] / mean))) for r in own)
+            low, high = (dual, high) if words < target else (low, dual)
+        assert all(r["rate"] == pytest.approx(min(MOST, math.exp(min(50, low * r["size"] / mean))), rel=1e-4) for r in own), source

@@ -1,6 +1,9 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from loomgraph.llm import language, toxicity
 
@@ -12,7 +15,7 @@ def test_fold():
 
 
 def test_lexicon_counts_words_outside_exceptions():
-    lexicon = toxicity.Lexicon({"idiot ": 5.0, "achli": 3.0, "achlich ": 4.0, "trash ": 6.0})
+    lexicon = toxicity.Lexicon({"idiot ": 5.0, "achli": 3.0, "achlich ": 4.0, "trash ": 6.0}, exceptions=("trash can",))
     assert lexicon.found("an idiot, idiots") == (1, 5.0)
     assert lexicon.found("achlichkeit xachlich achlich") == (2, 7.0)
     assert lexicon.found("the trash can and trash") == (1, 6.0)
@@ -62,7 +65,82 @@ def test_forward_backward_sums_over_all_paths():
         assert np.allclose(marginal[c, :n], weight / total)
         want_pairs += two / total
     assert np.allclose(pairs, want_pairs)
-    assert np.allclose(language.marginals(emission.copy(), live, transition, start)[live], marginal[live])
+    ones = np.ones((2, k))
+    assert np.allclose(language.marginals(emission.copy(), live, transition, ones * np.exp(start), ones)[live], marginal[live])
+
+
+def _model(k=3, seed=3):
+    rng = np.random.default_rng(seed)
+    emission = rng.normal(size=(language.BUCKETS + k, k)).astype(np.float32) / 3
+    return language.Crf([f"l{i}" for i in range(k)], emission, rng.normal(size=(k, k)).astype(np.float32), rng.normal(size=k).astype(np.float32), np.zeros(0, np.uint64), np.zeros((0, k), np.float32))
+
+
+def test_messages_pass_block_ends():
+    """Texts of 0 to 130 words, in blocks of 32, have the marginals and switches of one chain."""
+    model, rng = _model(), np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["ab", "cde", "f", "ghij", "kl"], n)) for n in (100, 0, 1, 32, 33, 64, 65, 130)]
+    total, words, switches = language.labelled(model, pa.array(texts))
+    for text, got, n, changed in zip(texts, total, words, switches, strict=True):
+        own = text.split()
+        assert n == len(own)
+        if not own:
+            continue
+        e = language._emit(model, own).astype(float)
+        a, b = [np.exp(model.start + e[0])], [np.ones(3)]
+        for x in e[1:]:
+            a.append((a[-1] @ np.exp(model.transition)) * np.exp(x))
+            a[-1] /= a[-1].sum()
+        for x in e[:0:-1]:
+            b.insert(0, np.exp(model.transition) @ (np.exp(x) * b[0]))
+            b[0] /= b[0].sum()
+        m = np.array(a) * np.array(b)
+        m /= m.sum(axis=1, keepdims=True)
+        assert np.allclose(m.sum(axis=0), got, atol=1e-3) and changed == (np.diff(m.argmax(axis=1)) != 0).sum()
+
+
+def test_long_runs_are_labelled_piece_by_piece():
+    values, codes, bounds = language._words(pa.array(["ab " + "x" * 60 + "y cd", None, "z" * 25]))
+    assert [values[c] for c in codes[bounds[0] : bounds[1]]] == ["ab", "x" * 24, "x" * 24, "x" * 12 + "y", "cd"]
+    assert bounds[1] == bounds[2] and [values[c] for c in codes[bounds[2] :]] == ["z" * 24, "z"]
+    total, words, _ = language.labelled(_model(), pa.array(["w" * 100_000, "v " * 100_000]))
+    assert list(words) == [-(-100_000 // 24), 100_000] and np.allclose(total.sum(axis=1), words, rtol=1e-3)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["idiot", "idiots", "trash", "can", "trash can", " ", "ab", "abc", "x", "!", "4bc", "é"]), max_size=25).map("".join))
+def test_matcher_is_as_naive_scanning(text):
+    terms, exceptions = {"idiot ": 5.0, "trash": 3.0, "ab": 1.0, "abc ": 4.0, "can ": 2.0}, ("trash can", "ab x")
+    folded = toxicity.fold(text)
+    hits, spared = {}, []
+    for i in range(len(folded)):
+        if i and folded[i - 1].isalpha():
+            continue
+        for term, weight in terms.items():
+            word = term.rstrip()
+            end = i + len(word)
+            if folded.startswith(word, i) and (term == word or not folded[end : end + 1].isalpha()):
+                hits[i] = max(hits.get(i, 0), weight)
+        spared += [(i, i + len(p)) for p in exceptions if folded.startswith(p, i) and not folded[i + len(p) : i + len(p) + 1].isalpha()]
+    left = [w for i, w in hits.items() if not any(a <= i < b for a, b in spared)]
+    assert toxicity.Lexicon(terms, exceptions=exceptions).found(folded) == (len(left), sum(left))
+
+
+def test_exceptions_are_learned(spark, documents):
+    rng = np.random.default_rng(5)
+    words = [a + b for a, b in itertools.product(["ba", "du", "ki", "lo", "me"], ["ra", "ti", "no", "su"])]
+    rows, labels = [], []
+    for i in range(400):
+        text = list(rng.choice(words, 40))
+        if i % 2:
+            text[5] = text[20] = "vermin"
+        elif i % 40 == 0:
+            text[5:7] = ["vermin", "control"]
+        rows.append((i, " ".join(text)))
+        labels.append((i, 1, i % 2))
+    lexicon = toxicity.learn(documents(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert "vermin control" in lexicon.exceptions
+    got = {r["doc_id"]: r for r in toxicity.score(documents([(1, "ba vermin control du"), (2, "ba vermin du"), (3, "ba " * 200_000 + "vermin control " * 50_000)]), lexicon).collect()}
+    assert got[1]["n_hits"] == got[3]["n_hits"] == 0 and got[2]["n_hits"] == 1
 
 
 def test_code_switched_words_are_told_apart(documents):
@@ -77,5 +155,9 @@ def test_code_switched_words_are_told_apart(documents):
     assert got[900]["switches"] == 1 and got[904]["lang_pred"] == "en"
     assert {got[i]["lang_pred"] for i in (901, 902, 903)} == {"und"}
     assert all(0 <= r["score"] <= 1 for r in got.values())
+    twice = language.predict(docs.where("doc_id < 3").unionByName(docs.where("doc_id < 3")).selectExpr("*", "1 AS score", "2 AS switches", "3 AS lang_pred"), model).collect()
+    assert len(twice) == 6 and len(set(twice)) == 3
+    at_block_end = documents([(1, " ".join(["the"] * 32 + ["und"] * 40))])
+    assert language.predict(at_block_end, model).first()["switches"] == 1
     empty = language.learn(docs.limit(0))
     assert {r["lang_pred"] for r in language.predict(docs.where("doc_id = 901"), empty).collect()} == {"und"}

@@ -77,3 +77,46 @@ def test_deep_nesting_and_table(spark):
     got = {(r["page_id"], r["url"], r["text"], r["n_chars"]) for r in html.extract_pages(spark.createDataFrame(rows, PAGES).selectExpr("*", "1 AS text")).collect()}
     assert got == {(1, "u", "down, here", 10), (2, None, "", 0), (None, "v", "x", 1)}
     assert html.extract_pages(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_good_words_lift_no_bar():
+    text = "real words, here. " * 20
+    for name in ("comment-body", "comments-content", "post-comments", "page-footer", "cookie-text", "sidebar-content", "ad-text", "related-posts-text", "comment", "PostComments"):
+        got = html.extract(f'<body><article><h1>T</h1><p>{text}</p><div class="x {name}"><p>not, this</p></div></article></body>')
+        assert "not, this" not in got and "real" in got, name
+    assert "Head" in html.extract(f'<body><div class="content has-sidebar"><div class="entry-header"><h1>Head</h1></div><p>{text}</p></div></body>')
+
+
+def test_paragraphs_in_wrappers_of_their_own():
+    for n in (1, 2, 3, 12):
+        body = "".join(f"<div><div><div><p>para {i}, {'some words, and more. ' * 9}</p></div></div></div>" for i in range(n))
+        got = html.extract(f"<body><nav>menu</nav><div id=content>{body}</div><div class=footer><p>foot, foot</p></div></body>")
+        assert got.count("para") == n and "foot" not in got
+
+
+def test_deep_and_long_pages_in_time():
+    import time
+
+    began = time.time()
+    assert html.extract("<body>" + "".join(f"<div>text {i}, x" for i in range(8000)) + "</div>" * 8000).count("\n") > 5000
+    assert html.extract("<body>" + "<span>" * 8000 + "".join(f"<p>text {i}, x</i>" for i in range(8000))).count("text") == 8000
+    assert time.time() - began < 4
+
+
+def test_extraction_of_repeats_nulls_and_clashing_columns(spark):
+    rows = [(1, "u", "<p>a b, c</p>"), (1, "u", "<p>a b, c</p>"), (None, None, None), (2, None, "")]
+    pages = spark.createDataFrame(rows, PAGES).selectExpr("*", "1 AS text", "2 AS n_chars")
+    got = html.extract_pages(pages).collect()
+    assert sorted((r["text"], r["n_chars"]) for r in got) == [("", 0), ("", 0), ("a b, c", 6), ("a b, c", 6)]
+    assert html.extract_pages(pages.limit(0)).count() == 0
+
+
+def test_record_ids_are_unique_and_revisits_name_their_response(spark, tmp_path):
+    rows = [(1, "a", "x"), (1, "a", "x"), (1, "a", "x"), (2, "b", "x"), (None, None, None), (None, None, None), (3, "c", "y"), (3, "d", "y")]
+    folder = f"file://{tmp_path}/w"
+    got = warc.read(warc.write(spark.createDataFrame(rows, PAGES), folder), folder).collect()
+    assert len(got) == len(rows) and sum(r["record_type"] == "response" for r in got) == 3
+    records = [h for f in (tmp_path / "w").iterdir() for h, _ in warc.read_records(io.BytesIO(f.read_bytes()))]
+    ids = {h["warc-record-id"]: h for h in records}
+    assert len(ids) == len(rows)
+    assert all(ids[h["warc-refers-to"]]["warc-type"] == "response" for h in records if h["warc-type"] == "revisit")
