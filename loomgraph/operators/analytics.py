@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import traverse as walk
 from loomgraph.schema import Graph
+from loomgraph.scratch import Scratch
 
 #: Files whose components a framework calls, thresholds, and the points and cap of each penalty.
 FRAMEWORK_ENTRY = ("page", "layout", "template", "error", "loading", "not-found", "global-error", "default", "middleware", "_app", "_document")
@@ -50,32 +51,34 @@ def segments(path: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda x: x != "")
 
 
-def same_shape(a: Column, b: Column) -> Column:
-    """Whether two segment arrays agree, a segment that begins with a colon matching any. [FLT-11]"""
-    agree = F.zip_with(a, b, lambda x, y: (x == y) | x.startswith(":") | y.startswith(":"))
-    return (F.size(a) == F.size(b)) & F.forall(agree, lambda x: x)
-
-
 def called_apis(graph: Graph) -> DataFrame:
     """Apis with a caller. [JON-03]"""
     return _with_in(graph, graph.nodes.where(F.col("type") == "api"), "calls")
 
 
 def unused_apis(graph: Graph) -> DataFrame:
-    """Declared apis that nothing calls and whose path no called one's path matches. [JON-06, AGG-03]
+    """Declared apis that nothing calls and whose path no called one's path matches: as many segments, each equal or a wildcard on either side. [FLT-11, JON-06, AGG-03]
 
-    Equal paths are removed by an equi-join; only paths with a wildcard on either side need a comparison, among those of
-    as many segments. As in the reference behaviour the declared name is compared whole, its method being part of the first segment.
+    Equal paths are removed by an equi-join. Where either path has wildcards the two meet by every pattern of wildcards that paths
+    of their number of segments have: both with the wildcards' places left out of the join key, so that no two tables are crossed. As in the reference behaviour the declared name is compared whole, its method being part of the first segment.
     """
     idle = _without_in(graph, graph.nodes.where((F.col("type") == "api") & F.col("declared")), "calls").select("id", "name")
     idle = idle.withColumn("a", segments(F.col("name")))
     paths = called_apis(graph).select(segments(F.element_at(F.split("name", " "), -1)).alias("b")).distinct()
-    wild = lambda c: F.exists(c, lambda x: x.startswith(":"))
-    plain = idle.join(paths, F.col("a") == F.col("b"), "left_anti")
-    met = (F.size("a") == F.size("b")) & same_shape(F.col("a"), F.col("b"))
-    left = plain.join(paths.where(wild(F.col("b"))), met, "left_anti")
-    with_wild = left.where(wild(F.col("a"))).join(paths, met, "left_anti")
-    return left.where(~wild(F.col("a"))).unionByName(with_wild).select("id")
+    left = idle.join(paths, F.col("a") == F.col("b"), "left_anti")
+    wild = lambda c: F.transform(c, lambda x: x.startswith(":"))
+    some = lambda c: F.exists(c, lambda x: x.startswith(":"))
+    masks = lambda df, c: df.where(some(c)).select(F.size(c).alias("n"), wild(c).alias("mask")).distinct()
+    # patterns of wildcards are few, as they are those of declared routes: combined with one another they stay a small table
+    patterns = masks(left, "a").unionByName(masks(paths, "b")).distinct()
+    plain = left.unionByName(paths.select(F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("name"), F.col("b").alias("a"))).select(F.size("a").alias("n")).distinct()
+    patterns = patterns.unionByName(plain.select("n", F.array_repeat(F.lit(False), F.col("n")).alias("mask"))).distinct()
+    both = patterns.alias("x").join(patterns.alias("y"), F.col("x.n") == F.col("y.n")).select(F.col("x.n").alias("n"), F.col("x.mask").alias("mx"), F.col("y.mask").alias("my"))
+    both = both.where(F.exists("mx", lambda v: v) | F.exists("my", lambda v: v)).withColumn("free", F.zip_with("mx", "my", lambda p, q: p | q))
+    key = lambda c: F.zip_with(c, "free", lambda s, f: F.when(f, F.lit(":")).otherwise(s))
+    asked = left.withColumn("n", F.size("a")).withColumn("mx", wild("a")).join(both, ["n", "mx"]).select("id", "mx", "my", key("a").alias("key"))
+    given = paths.withColumn("n", F.size("b")).withColumn("my", wild("b")).join(both, ["n", "my"]).select("mx", "my", key("b").alias("key")).distinct()
+    return left.join(asked.join(given, ["mx", "my", "key"], "left_semi").select("id").distinct(), "id", "left_anti").select("id")
 
 
 def large_nodes(graph: Graph) -> DataFrame:
@@ -138,7 +141,7 @@ def heatmap(graph: Graph, limit: int = HEAT_LIMIT) -> DataFrame:
     """The components rendered from most places, with the routes that reach them and their stars. [AGG-07, SCL-14]"""
     components = graph.nodes.where(F.col("type") == "component").select("id")
     top = walk.of_kinds(graph, "renders", "routes_to").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("renderers")).join(components, "id", "left_semi").orderBy(F.desc("renderers"), "id").limit(limit)
-    reached = walk.dependents(graph, top).where(F.col("type") == "route").groupBy(F.col("root").alias("id")).agg(F.count(F.lit(1)).alias("routes"))
+    reached = walk.route_ancestors(graph).join(top.select("id"), "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("routes"))
     stars = F.least(F.lit(5), 1 + F.floor(F.col("renderers") / 3)).cast("int")
     return top.join(reached, "id", "left").select("id", "renderers", F.coalesce("routes", F.lit(0)).alias("routes"), F.repeat(F.lit("★"), stars).alias("stars"))
 
@@ -150,25 +153,26 @@ def state_fanout(graph: Graph, limit: int = FANOUT_LIMIT) -> DataFrame:
     return rows.orderBy(F.desc("consumers"), "id").limit(limit).withColumn("warning", F.col("consumers") >= FANOUT_WARNING)
 
 
-def route_apis(graph: Graph) -> DataFrame:
-    """route and api of what each route's subtree calls. [AGG-10]"""
-    return walk.route_subtrees(graph).join(walk.of_kinds(graph, "calls"), F.col("id") == F.col("src")).select("route", F.col("dst").alias("api")).distinct()
+def route_apis(graph: Graph, trees: DataFrame | None = None) -> DataFrame:
+    """route and api of what each route's subtree calls; trees: the subtrees, if they are known already. [AGG-10]"""
+    return (trees or walk.route_subtrees(graph)).join(walk.of_kinds(graph, "calls"), F.col("id") == F.col("src")).select("route", F.col("dst").alias("api")).distinct()
 
 
-def route_links(graph: Graph) -> DataFrame:
+def route_links(graph: Graph, trees: DataFrame | None = None) -> DataFrame:
     """src and dst of navigation between routes, each edge's owner being every route whose subtree holds its start. [AGG-11, JON-09]"""
     routes = graph.nodes.where(F.col("type") == "route").select("id")
-    owners = walk.route_subtrees(graph).unionByName(routes.select(F.col("id").alias("route"), "id"))
+    owners = (trees or walk.route_subtrees(graph)).select("route", "id").unionByName(routes.select(F.col("id").alias("route"), "id"))
     links = owners.join(walk.of_kinds(graph, "navigates_to"), F.col("id") == F.col("src")).select(F.col("route").alias("src"), "dst")
     return links.where(F.col("src") != F.col("dst")).join(routes.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst").distinct()
 
 
 def route_risk(graph: Graph) -> DataFrame:
     """Per route: nodes and components of its subtree, apis called in it, links to other routes, and the risk of changing it."""
-    tree = walk.route_subtrees(graph).join(graph.nodes.select("id", "type"), "id")
+    trees = Scratch(graph.nodes.sparkSession, "trees").save(walk.route_subtrees(graph))
+    tree = trees.join(graph.nodes.select("id", "type"), "id")
     per = tree.groupBy("route").agg(F.count(F.lit(1)).alias("n_nodes"), F.count_if(F.col("type") == "component").alias("n_components"))
-    apis = route_apis(graph).groupBy("route").agg(F.count(F.lit(1)).alias("n_apis"))
-    links = route_links(graph).groupBy(F.col("dst").alias("route")).agg(F.count(F.lit(1)).alias("n_links"))
+    apis = route_apis(graph, trees).groupBy("route").agg(F.count(F.lit(1)).alias("n_apis"))
+    links = route_links(graph, trees).groupBy(F.col("dst").alias("route")).agg(F.count(F.lit(1)).alias("n_links"))
     rows = per.join(apis, "route", "left").join(links, "route", "left").na.fill(0)
     return rows.withColumn("risk", risk(F.col("n_links"), F.col("n_links") + F.col("n_apis")))
 
@@ -183,12 +187,15 @@ def what_if_remove(graph: Graph, targets: DataFrame) -> DataFrame:
     files = direct.select("root", "file").unionByName(own).where(F.col("file").isNotNull() & (F.col("file") != "")).groupBy("root").agg(F.count_distinct("file").alias("n_files"))
     found = walk.dependents(graph, targets)
     per = found.groupBy("root").agg(F.count(F.lit(1)).alias("n_dependents"), F.count_if(F.col("type") == "component").alias("n_components"), F.count_distinct(F.when(F.col("type") == "route", F.col("name"))).alias("n_routes"))
-    hit = found.where(F.col("type") == "route").select("root", "name").distinct()
-    safe = goal.join(nodes.where((F.col("type") == "route") & F.col("file").isNotNull()).select("name")).join(hit, ["root", "name"], "left_anti").groupBy("root").agg(F.count(F.lit(1)).alias("n_safe_routes"))
+    # safe are all routes of a file but those hit: as many as there are, less the hit ones of such a name
+    shown = nodes.where((F.col("type") == "route") & F.col("file").isNotNull()).groupBy("name").agg(F.count(F.lit(1)).alias("k"))
+    hit = found.where(F.col("type") == "route").select("root", "name").distinct().join(shown, "name").groupBy("root").agg(F.sum("k").alias("n_hit"))
+    every = int(shown.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0])
     rows = goal
-    for part in (broken, files, per, safe):
+    for part in (broken, files, per, hit):
         rows = rows.join(part, "root", "left")
-    return rows.na.fill(0).withColumn("risk", risk(F.col("n_routes"), F.col("n_dependents")))
+    rows = rows.na.fill(0).withColumn("n_safe_routes", F.lit(every).cast("long") - F.col("n_hit")).drop("n_hit")
+    return rows.withColumn("risk", risk(F.col("n_routes"), F.col("n_dependents")))
 
 
 def what_if_split(graph: Graph, targets: DataFrame) -> DataFrame:
@@ -231,7 +238,8 @@ def state_placement(graph: Graph, types: tuple[str, ...] = ("context", "hook"))
     """Per state node: consumers, routes they are on, and where the state belongs. [AGG-16]"""
     states = graph.nodes.where(F.col("type").isin(*types)).select("id")
     consumers = walk.of_kinds(graph, "uses").join(graph.nodes.select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("consumers"))
-    routes = walk.dependents(graph, states).where(F.col("type") == "route").groupBy(F.col("root").alias("id")).agg(F.count_distinct("name").alias("routes"))
+    names = graph.nodes.where(F.col("type") == "route").select(F.col("id").alias("route"), "name")
+    routes = walk.route_ancestors(graph).join(states, "id", "left_semi").join(names, "route").groupBy("id").agg(F.count_distinct("name").alias("routes"))
     rows = states.join(consumers, "id", "left").join(routes, "id", "left").na.fill(0)
     return rows.withColumn("placement", F.when(F.col("consumers") <= 1, "local").when(F.col("routes") <= 1, "lift").otherwise("context"))
 
@@ -272,6 +280,6 @@ def api_flow(graph: Graph, most_callers: int = 8, most_routes: int = 3) -> DataF
     """api, caller and route: the first callers of each api and the first routes that lead to them. [TRV-12, WIN-07]"""
     calls = walk.of_kinds(graph, "calls").select(F.col("dst").alias("api"), F.col("src").alias("caller"))
     calls = calls.withColumn("k", F.row_number().over(Window.partitionBy("api").orderBy("caller"))).where(F.col("k") <= most_callers).drop("k")
-    routes = walk.dependents(graph, calls.select(F.col("caller").alias("id")).distinct()).where(F.col("type") == "route").select(F.col("root").alias("caller"), F.col("id").alias("route"))
+    routes = walk.route_ancestors(graph).withColumnRenamed("id", "caller").join(calls.select("caller").distinct(), "caller", "left_semi")
     routes = routes.withColumn("k", F.row_number().over(Window.partitionBy("caller").orderBy("route"))).where(F.col("k") <= most_routes).drop("k")
     return calls.join(routes, "caller").select("api", "caller", "route")

@@ -55,4 +55,5 @@ def in_order(graph: Graph) -> Graph:
 def counts(graph: Graph) -> DataFrame:
     """One row: nodes of each type, edges and edges of low confidence. [PRV-09, AGG-34]"""
     by_type = graph.nodes.agg(*[F.count_if(F.col("type") == t).alias(f"n_{t}") for t in NODE_TYPES], F.count(F.lit(1)).alias("n_nodes"))
-    return by_type.join(graph.edges.agg(F.count(F.lit(1)).alias("n_edges")))
+    low = F.count_if(F.col("confidence") < 1) if "confidence" in graph.edges.columns else F.lit(0).cast("long")
+    return by_type.join(graph.edges.agg(F.count(F.lit(1)).alias("n_edges"), low.alias("n_low_confidence")))

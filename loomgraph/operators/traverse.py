@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.schema import Graph
@@ -69,42 +69,77 @@ def shortest_path(graph: Graph, start: str, goal: str, max_hops: int = FLOW_DEPT
     """
     spark = graph.nodes.sparkSession
     scratch = Scratch(spark, "path")
+    none = spark.createDataFrame([], "hop int, id string")
+    if start == goal:
+        return none
     steps = scratch.save(of_kinds(graph, *FLOW_KINDS).select("src", "dst", "kind"))
-    newest = spark.createDataFrame([(start, 0)], "id string, rank int")
-    seen = newest.select("id", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("hop"))
-    if start != goal:
-        for hop in range(1, max_hops + 1):
-            found = newest.join(steps, F.col("id") == F.col("src")).select("dst", F.struct("rank", "kind", "dst").alias("key"), "src")
-            found = found.groupBy("dst").agg(F.min("key").alias("key"), F.min_by("src", "key").alias("parent"))
-            found = found.join(seen.select(F.col("id").alias("dst")), "dst", "left_anti")
-            # a level is ranked as a whole: its size is the frontier's, not the graph's
-            ranked = found.select(F.col("dst").alias("id"), "parent", F.row_number().over(Window.orderBy("key")).alias("rank"))
-            ranked = scratch.save(ranked)
-            newest = ranked.select("id", "rank")
-            if ranked.isEmpty():
-                return spark.createDataFrame([], "hop int, id string")
-            seen = seen.unionByName(ranked.select("id", "parent", F.lit(hop).alias("hop")))
-            if not ranked.where(F.col("id") == goal).isEmpty():
-                break
-        else:
-            return spark.createDataFrame([], "hop int, id string")
-        chain, at = [], goal  # at most max_hops look-ups of one row
-        for hop in range(hop, 0, -1):
-            chain.append((hop, at))
-            at = seen.where((F.col("id") == at) & (F.col("hop") == hop)).first()["parent"]
-        return spark.createDataFrame([*chain, (0, at)], "hop int, id string")
-    return spark.createDataFrame([], "hop int, id string")
+    # a node's key is the way to it, kind and id at each hop: of equally long ways the smallest is that of the earliest parent
+    newest = spark.createDataFrame([(start, [])], "id string, key array<string>")
+    seen = newest.select("id")
+    for _ in range(max_hops):
+        found = newest.join(steps, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), F.concat("key", F.array("kind", "dst")).alias("key"))
+        newest = scratch.save(found.groupBy("id").agg(F.min("key").alias("key")).join(seen, "id", "left_anti"))
+        end = newest.where(F.col("id") == goal).select("key").first()
+        if end is not None:
+            return spark.createDataFrame([(i, x) for i, x in enumerate([start, *end["key"][1::2]])], "hop int, id string")
+        if newest.isEmpty():
+            return none
+        seen = seen.unionByName(newest.select("id"))
+    return none
+
+
+def journeys(links: DataFrame, start: str, rounds: int = 4, most: int = 22) -> DataFrame:
+    """round, src and dst of the tree of routes that navigation reaches from `start`, each at its first place. [TRV-08]
+
+    links: src and dst of routes. A route is reached in the earliest round, from the smallest of its sources there; of the
+    tree's edges the first `most` by round, src and dst are kept.
+    """
+    spark = links.sparkSession
+    scratch = Scratch(spark, "journey")
+    steps = scratch.save(links.select("src", "dst").distinct())
+    newest = spark.createDataFrame([(start,)], "dst string")
+    seen, out = newest, None
+    for k in range(1, rounds + 1):
+        found = steps.join(newest.select(F.col("dst").alias("src")), "src").groupBy("dst").agg(F.min("src").alias("src")).join(seen, "dst", "left_anti")
+        found = scratch.save(found.select(F.lit(k).alias("round"), "src", "dst"))
+        out = found if out is None else out.unionByName(found)
+        newest = found.select("dst")
+        if newest.isEmpty():
+            break
+        seen = seen.unionByName(newest)
+    return out.orderBy("round", "src", "dst").limit(most)
+
+
+def route_ancestors(graph: Graph) -> DataFrame:
+    """route and id of every node that each route leads to by edges of any kind: dependents of type route, from the routes' side.
+
+    Where answers need only routes this walks from the routes, which are few, and not back from every node asked about.
+    """
+    routes = graph.nodes.where(F.col("type") == "route").select(F.col("id").alias("root"), F.col("id").alias("node"))
+    # back walks go on from known nodes only, their start excepted: an end without a node is reached and leads no further
+    found = reach(graph.edges.join(graph.nodes.select(F.col("id").alias("src")), "src", "left_semi"), routes)
+    return found.where(F.col("root") != F.col("node")).select(F.col("root").alias("route"), F.col("node").alias("id"))
 
 
 def _spread_least(edges: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """v and least: the smallest of v and all that reach it by edges (src, dst)."""
-    label = scratch.save(nodes.select("v", F.col("v").alias("least")))
+    """v, f and b: the smallest of v and all that reach it by edges (src, dst), and of v and all that it reaches.
+
+    Labels move an edge a round, both ways at once, and jump: what reaches a label reaches v, so a chain of n nodes takes about
+    log n rounds.
+    """
+    label = scratch.save(nodes.select("v", F.col("v").alias("f"), F.col("v").alias("b")))
     while True:
-        sent = edges.join(label, F.col("src") == F.col("v")).groupBy(F.col("dst").alias("v")).agg(F.min("least").alias("got"))
-        after = scratch.save(label.join(sent, "v", "left").select("v", F.least("least", F.coalesce("got", "least")).alias("least"), (F.col("got") < F.col("least")).alias("moved")))
+        ahead = edges.join(label, F.col("src") == F.col("v")).select(F.col("dst").alias("v"), F.col("f").alias("gf"), F.lit(None).cast("string").alias("gb"))
+        back = edges.join(label, F.col("dst") == F.col("v")).select(F.col("src").alias("v"), F.lit(None).cast("string").alias("gf"), F.col("b").alias("gb"))
+        jump_f = label.select("v", F.col("f").alias("at")).join(label.select(F.col("v").alias("at"), F.col("f").alias("gf")), "at").select("v", "gf", F.lit(None).cast("string").alias("gb"))
+        jump_b = label.select("v", F.col("b").alias("at")).join(label.select(F.col("v").alias("at"), F.col("b").alias("gb")), "at").select("v", F.lit(None).cast("string").alias("gf"), "gb")
+        got = ahead.unionByName(back).unionByName(jump_f).unionByName(jump_b).groupBy("v").agg(F.min("gf").alias("gf"), F.min("gb").alias("gb"))
+        least = lambda a, b: F.least(F.col(a), F.coalesce(b, a))
+        moved = (F.coalesce("gf", "f") < F.col("f")) | (F.coalesce("gb", "b") < F.col("b"))
+        after = scratch.save(label.join(got, "v", "left").select("v", least("f", "gf").alias("f"), least("b", "gb").alias("b"), moved.alias("moved")))
         if after.where("moved").isEmpty():
-            return after.select("v", "least")
-        label = after.select("v", "least")
+            return after.select("v", "f", "b")
+        label = after.select("v", "f", "b")
 
 
 def cycles(graph: Graph, kind: str = "imports") -> DataFrame:
@@ -124,9 +159,7 @@ def cycles(graph: Graph, kind: str = "imports") -> DataFrame:
             edges = inner
             continue
         nodes = inner.select(F.col("src").alias("v")).distinct()
-        ahead = _spread_least(inner, nodes, scratch).withColumnRenamed("least", "f")
-        back = _spread_least(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")), nodes, scratch).withColumnRenamed("least", "b")
-        marks = scratch.save(ahead.join(back, "v"))
+        marks = _spread_least(inner, nodes, scratch)
         done = marks.where(F.col("f") == F.col("b")).select(F.col("f").alias("cycle"), F.col("v").alias("member"))
         found = done if found is None else found.unionByName(done)
         rest = marks.where(F.col("f") != F.col("b"))

@@ -18,7 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-CUT = "1998-07-01"
+CUT = "1995-03-01"
 
 # ---- the graph in SQL -------------------------------------------------------------------------------------------
 
@@ -28,21 +28,32 @@ def _graph_sql(suffix: str = "", until: str = "", called_only: bool = False) ->
     when = f" AND l_shipdate < TIMESTAMP '{until}'" if until else ""
     parts = f"(SELECT * FROM part WHERE p_partkey IN (SELECT l_partkey FROM lines{suffix}))" if called_only else "part"
     return f"""
-lines{suffix} AS (SELECT DISTINCT o_custkey, l_partkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity = 50 AND l_returnflag = 'R'{when}),
+lines{suffix} AS (SELECT DISTINCT o_custkey, o_orderpriority, l_partkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE true{when}),
 parts{suffix} AS (SELECT * FROM {parts}),
-pairs{suffix} AS (SELECT DISTINCT 'supplier/' || a AS src, 'supplier/' || b AS dst FROM (SELECT l_quantity, l_suppkey AS a, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS b FROM lineitem) WHERE l_quantity = 50 AND a <> b AND a % 10 = b % 10),
+pairs{suffix} AS (SELECT DISTINCT 'supplier/' || a AS src, 'supplier/' || b AS dst FROM (SELECT l_suppkey AS a, s_nationkey AS m, lead(l_suppkey) OVER w AS b, lead(s_nationkey) OVER w AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)) WHERE a <> b AND m = n),
+channels{suffix} AS (SELECT DISTINCT 'supplier/' || l_suppkey AS src, 'channel:status/' || o_orderstatus AS dst, 'invokes' AS kind FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  UNION ALL SELECT DISTINCT 'native/' || n_name, 'channel:status/' || flag, 'handles' FROM (SELECT l_suppkey, l_linestatus AS flag FROM lineitem UNION SELECT l_suppkey, l_returnflag FROM lineitem) JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
 nodes{suffix} AS (
   SELECT 'route:/' || replace(lower(r_name), ' ', '-') AS id, 'route' AS type, '/' || replace(lower(r_name), ' ', '-') AS name, 'region' AS file, NULL::INT AS loc, NULL::VARCHAR AS shape, NULL::BOOLEAN AS declared FROM region
   UNION ALL SELECT 'nation#' || n_name, 'component', n_name, 'nation', NULL, NULL, NULL FROM nation
   UNION ALL SELECT 'customer#' || c_custkey, 'component', c_name, 'customer', greatest(1, floor(c_acctbal / 60))::INT, substr(sha1(c_mktsegment || '>' || c_nationkey), 1, 12), NULL FROM customer
   UNION ALL SELECT 'api:GET /part/' || p_partkey, 'api', 'GET /part/' || p_partkey, NULL, NULL, NULL, p_size > 25 FROM parts{suffix}
   UNION ALL SELECT DISTINCT 'brand#' || p_brand, 'context', p_brand, 'brand', NULL::INT, NULL, NULL::BOOLEAN FROM parts{suffix}
-  UNION ALL SELECT 'supplier/' || s_suppkey, 'file', s_name, 'supplier/' || s_suppkey, NULL, NULL, NULL FROM supplier),
+  UNION ALL SELECT 'supplier/' || s_suppkey, 'file', s_name, 'supplier/' || s_suppkey, NULL, NULL, NULL FROM supplier
+  UNION ALL SELECT 'api:POST /part/' || p_partkey, 'api', 'POST /part/' || p_partkey, NULL, NULL, NULL, true FROM part WHERE p_size > 40
+  UNION ALL SELECT 'api:GET /:method/part/' || n_nationkey, 'api', 'GET /:method/part/' || n_nationkey, NULL, NULL, NULL, NULL FROM nation
+  UNION ALL SELECT 'hook#use' || h, 'hook', 'use' || h, 'hook', NULL, NULL, NULL FROM (SELECT o_orderpriority AS h FROM orders UNION SELECT c_mktsegment FROM customer)
+  UNION ALL SELECT 'native/' || n_name, 'native', n_name, 'native/' || n_name, NULL, NULL, NULL FROM nation
+  UNION ALL SELECT DISTINCT dst, 'channel', substr(dst, 9), NULL, NULL::INT, NULL, NULL::BOOLEAN FROM channels{suffix}),
 edges{suffix} AS (
   SELECT 'route:/' || replace(lower(r_name), ' ', '-') AS src, 'nation#' || n_name AS dst, 'routes_to' AS kind FROM nation JOIN region ON n_regionkey = r_regionkey
   UNION ALL SELECT 'nation#' || n_name, 'customer#' || c_custkey, 'renders' FROM customer JOIN nation ON c_nationkey = n_nationkey
   UNION ALL SELECT DISTINCT 'customer#' || o_custkey, 'api:GET /part/' || l_partkey, 'calls' FROM lines{suffix}
   UNION ALL SELECT DISTINCT 'customer#' || o_custkey, 'brand#' || p_brand, 'uses' FROM lines{suffix} JOIN part ON l_partkey = p_partkey
+  UNION ALL SELECT DISTINCT 'hook#use' || o_orderpriority, 'brand#' || p_brand, 'uses' FROM lines{suffix} JOIN part ON l_partkey = p_partkey
+  UNION ALL SELECT DISTINCT 'customer#' || o_custkey, 'hook#use' || o_orderpriority, 'uses' FROM lines{suffix}
+  UNION ALL SELECT 'nation#' || n_name, 'api:GET /:method/part/' || n_nationkey, 'calls' FROM nation
+  UNION ALL SELECT src, dst, kind FROM channels{suffix}
   UNION ALL SELECT src, dst, 'imports' FROM pairs{suffix}
   UNION ALL SELECT 'supplier/' || s_suppkey, 'nation#' || n_name, 'defines' FROM supplier JOIN nation ON s_nationkey = n_nationkey
   UNION ALL SELECT DISTINCT 'customer#' || o_custkey, 'route:/' || replace(lower(r_name), ' ', '-'), 'navigates_to' FROM lines{suffix} JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
@@ -59,16 +70,17 @@ def _dependents(seeds: str) -> str:
 deps AS (SELECT root, n.id, n.type, n.name, n.file FROM back JOIN nodes n ON n.id = back.id WHERE root <> back.id)"""
 
 
-SOME = "SELECT 'brand#' || min(p_brand) AS id FROM part UNION SELECT 'nation#NATION_1' UNION SELECT 'api:GET /part/' || min(l_partkey) FROM lines"
+ASKED = "SELECT id FROM nodes WHERE type = 'context' OR file = 'nation'"
+FIRST_PART = "'api:GET /part/' || (SELECT min(p_partkey) FROM part)"
 
 
-def _some(spark: SparkSession, sf: str) -> DataFrame:
-    """Three targets: the first brand, a nation and the first part that is called."""
-    from loomgraph.sources.tabular import called_lines
+def _asked(graph: Graph) -> DataFrame:
+    """Every context and every nation's component."""
+    return graph.nodes.where("type = 'context' OR file = 'nation'").select("id")
 
-    brand = table(spark, sf, "part").agg(F.concat(F.lit("brand#"), F.min("p_brand")).alias("id"))
-    part = called_lines(spark, sf).agg(F.concat(F.lit("api:GET /part/"), F.min("l_partkey").cast("string")).alias("id"))
-    return brand.union(part).union(table(spark, sf, "nation").where("n_name = 'NATION_1'").select(F.lit("nation#NATION_1").alias("id")))
+
+def _first_part(spark: SparkSession, sf: str) -> str:
+    return table(spark, sf, "part").agg(F.concat(F.lit("api:GET /part/"), F.min("p_partkey").cast("string"))).first()[0]
 
 
 def _saved(spark: SparkSession, sf: str, **options) -> Graph:
@@ -101,38 +113,36 @@ def edges_by_kind(spark, sf):
     return compile_tables(spark, sf).edges.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(" SELECT " + ", ".join(f"count(*) FILTER (WHERE type = '{t}') AS n_{t}" for t in NODE_TYPES) + ", count(*) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges FROM nodes")
+@query(" SELECT " + ", ".join(f"count(*) FILTER (WHERE type = '{t}') AS n_{t}" for t in NODE_TYPES) + ", count(*) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM edges WHERE dst LIKE 'api:GET /:%') AS n_low_confidence FROM nodes")
 def index_counts(spark, sf):
     return merge.counts(compile_tables(spark, sf))
 
 
-@query(" SELECT type, CASE type WHEN 'route' THEN 'entry-point' WHEN 'api' THEN 'http-boundary' WHEN 'context' THEN 'state' END AS role, count(*) AS n FROM nodes GROUP BY ALL")
+@query(" SELECT type, CASE type WHEN 'route' THEN 'entry-point' WHEN 'api' THEN 'http-boundary' WHEN 'hook' THEN 'business-logic' WHEN 'context' THEN 'state' END AS role, count(*) AS n FROM nodes GROUP BY ALL")
 def normalized_roles(spark, sf):
     return merge.normalize_roles(compile_tables(spark, sf).nodes).groupBy("type", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
-    "SELECT src, kind, dst, CAST(arg_min(l_linenumber, ord) AS INT) AS line FROM (SELECT 'customer#' || o_custkey AS src, 'calls' AS kind, 'api:GET /part/' || l_partkey AS dst, l_linenumber, {'o': l_orderkey, 'l': l_linenumber, 's': l_suppkey, 'p': l_extendedprice} AS ord FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 49) GROUP BY src, kind, dst",
+    "SELECT src, kind, dst, CAST(arg_min(l_linenumber, ord) AS INT) AS line FROM (SELECT 'customer#' || o_custkey AS src, 'calls' AS kind, 'api:GET /part/' || l_partkey AS dst, l_linenumber, {'o': l_orderkey, 'l': l_linenumber, 's': l_suppkey, 'p': l_extendedprice} AS ord FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY src, kind, dst",
     prefix="",
 )
 def edge_dedup_first_wins(spark, sf):
-    rows = table(spark, sf, "lineitem").where("l_quantity >= 49").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.select(F.concat(F.lit("customer#"), F.col("o_custkey").cast("string")).alias("src"), F.lit("calls").alias("kind"), F.concat(F.lit("api:GET /part/"), F.col("l_partkey").cast("string")).alias("dst"), F.col("l_linenumber").alias("line"), F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice").alias("ord"))
     return merge.dedup_edges(rows).select("src", "kind", "dst", "line")
 
 
 @query(
-    """WITH r AS (SELECT 'api:' || p_type || '/' || p_brand AS id, p_partkey AS ord, p_size > 25 AS declared, CASE WHEN p_partkey % 3 = 0 THEN 'part/' || p_partkey END AS file FROM part),
-f AS (SELECT id, first(ord ORDER BY ord) AS o, first(declared ORDER BY ord) AS d0, first(file ORDER BY ord) AS f0, bool_or(declared) AS any_d, bool_or(file IS NOT NULL) AS any_f FROM r GROUP BY id)
-SELECT id, any_d AS declared, any_f AS has_file FROM f""",
+    """WITH RECURSIVE r AS (SELECT 'api:' || p_type || '/' || p_brand AS id, p_name AS name, p_size > 25 AS declared, CASE WHEN p_partkey % 3 = 0 THEN 'part/' || p_partkey END AS file, row_number() OVER (PARTITION BY p_type, p_brand ORDER BY p_partkey) AS k FROM part),
+f(id, k, name, declared, file) AS (SELECT id, k, name, declared, file FROM r WHERE k = 1 UNION ALL SELECT f.id, r.k, CASE WHEN w THEN coalesce(r.name, f.name) ELSE f.name END, CASE WHEN w THEN coalesce(r.declared, f.declared) ELSE f.declared END, CASE WHEN w THEN coalesce(r.file, f.file) ELSE f.file END
+  FROM f JOIN r ON r.id = f.id AND r.k = f.k + 1, LATERAL (SELECT (coalesce(r.declared, false) AND NOT coalesce(f.declared, false)) OR (r.file IS NOT NULL AND f.file IS NULL) AS w))
+SELECT id, name, declared, file FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC) = 1""",
     prefix="",
 )
 def node_merge_declared_wins(spark, sf):
-    rows = table(spark, sf, "part").select(F.concat(F.lit("api:"), "p_type", F.lit("/"), "p_brand").alias("id"), F.col("p_partkey").alias("ord"), (F.col("p_size") > 25).alias("declared"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("part/"), F.col("p_partkey").cast("string"))).alias("file"))
-    merged = merge.merge_nodes(rows)
-    # a later declared row replaces an undeclared one, but one that is not may still bring a file and its own false
-    ever = rows.groupBy("id").agg(F.bool_or("declared").alias("ever"))
-    return merged.join(ever, "id").select("id", (F.col("declared") | F.col("ever")).alias("declared"), F.col("file").isNotNull().alias("has_file"))
+    rows = table(spark, sf, "part").select(F.concat(F.lit("api:"), "p_type", F.lit("/"), "p_brand").alias("id"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), (F.col("p_size") > 25).alias("declared"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("part/"), F.col("p_partkey").cast("string"))).alias("file"))
+    return merge.merge_nodes(rows)
 
 
 @query(" SELECT id, CASE WHEN id LIKE 'route:%' THEN 'route' ELSE 'api' END AS type, regexp_replace(id, '^(route|api):', '') AS name FROM (SELECT DISTINCT dst AS id FROM edges WHERE dst LIKE 'api:%') WHERE id NOT IN (SELECT id FROM nodes WHERE declared)")
@@ -141,10 +151,17 @@ def repair_dangling_endpoints(spark, sf):
     return merge.repair(Graph(graph.nodes.where((F.col("type") != "api") | F.col("declared")), graph.edges))
 
 
-@query(""" SELECT 'repeated_id' AS rule, (SELECT count(*) FROM (SELECT id FROM nodes GROUP BY id HAVING count(*) > 1)) AS n UNION ALL SELECT 'repeated_edge', (SELECT count(*) FROM (SELECT 1 FROM edges GROUP BY src, kind, dst HAVING count(*) > 1))
-UNION ALL SELECT unnest(['unknown_type', 'unknown_role', 'unknown_kind', 'confidence']), 0 UNION ALL SELECT 'dangling', (SELECT count(*) FROM (SELECT src AS id FROM edges WHERE kind NOT IN ('calls', 'navigates_to') UNION SELECT dst FROM edges WHERE kind NOT IN ('calls', 'navigates_to')) WHERE id NOT IN (SELECT id FROM nodes))""")
+@query(""" SELECT 'repeated_id' AS rule, (SELECT count(*) FROM part) AS n UNION ALL SELECT 'repeated_edge', (SELECT count(*) FROM edges WHERE kind = 'handles') UNION ALL SELECT 'unknown_type', (SELECT count(*) FROM customer WHERE c_acctbal < 0)
+UNION ALL SELECT 'unknown_role', (SELECT count(*) FROM customer WHERE c_mktsegment = 'MACHINERY') UNION ALL SELECT 'unknown_kind', (SELECT count(*) FROM edges WHERE kind = 'defines') UNION ALL SELECT 'confidence', (SELECT count(*) FROM edges WHERE kind = 'invokes') UNION ALL SELECT 'dangling', (SELECT count(*) FROM nation)""")
 def graph_invariants(spark, sf):
-    return violations(_saved(spark, sf))
+    """Each rule over a graph that is damaged in a way for each rule; the sound one is asserted in tests."""
+    graph = _saved(spark, sf)
+    customer = F.col("file") == "customer"
+    poor = table(spark, sf, "customer").select(F.concat(F.lit("customer#"), F.col("c_custkey").cast("string")).alias("id"), (F.col("c_acctbal") < 0).alias("poor"), (F.col("c_mktsegment") == "MACHINERY").alias("machines"))
+    nodes = graph.nodes.where(F.col("type") != "native").join(poor, "id", "left").withColumns({"type": F.when(customer & F.col("poor"), "person").otherwise(F.col("type")), "role": F.when(customer & F.col("machines"), "boss")}).drop("poor", "machines")
+    nodes = nodes.unionByName(nodes.where(F.col("id").startswith("api:GET /part/")))
+    edges = graph.edges.withColumns({"kind": F.when(F.col("kind") == "defines", "owns").otherwise(F.col("kind")), "confidence": F.when(F.col("kind") == "invokes", 1.5).otherwise(F.col("confidence"))})
+    return violations(Graph(nodes, edges.unionByName(edges.where("kind = 'handles'"))))
 
 
 # ---- lookup -----------------------------------------------------------------------------------------------------
@@ -222,7 +239,7 @@ def degree_filtered(spark, sf):
 # ---- findings ---------------------------------------------------------------------------------------------------
 
 
-@query(" SELECT id, type FROM nodes WHERE type = 'component' AND id NOT IN (SELECT dst FROM edges WHERE kind IN ('renders', 'routes_to')) UNION ALL SELECT id, type FROM nodes WHERE type = 'component' AND loc >= 150 AND id NOT IN (SELECT src FROM edges WHERE kind = 'calls')")
+@query(" SELECT id, type FROM nodes WHERE type = 'component' AND id NOT IN (SELECT dst FROM edges WHERE kind IN ('renders', 'routes_to')) UNION ALL SELECT id, type FROM nodes WHERE type = 'hook' AND id NOT IN (SELECT dst FROM edges WHERE kind = 'uses') UNION ALL SELECT id, type FROM nodes WHERE type = 'component' AND loc >= 150 AND id NOT IN (SELECT src FROM edges WHERE kind = 'calls')")
 def dead_components(spark, sf):
     """Components that nothing renders, and large ones that call nothing, by the same anti joins."""
     graph = _saved(spark, sf)
@@ -230,7 +247,12 @@ def dead_components(spark, sf):
     return analytics.dead_code(graph).unionByName(quiet.select("id", "type"))
 
 
-@query(" SELECT id FROM nodes WHERE type = 'api' AND declared AND id NOT IN (SELECT dst FROM edges WHERE kind = 'calls')")
+_UNUSED = """, idle AS (SELECT id, list_filter(string_split(name, '/'), lambda x: x <> '') AS a FROM nodes WHERE type = 'api' AND declared AND id NOT IN (SELECT dst FROM edges WHERE kind = 'calls')),
+called AS (SELECT DISTINCT list_filter(string_split(string_split(name, ' ')[-1], '/'), lambda x: x <> '') AS b FROM nodes WHERE type = 'api' AND id IN (SELECT dst FROM edges WHERE kind = 'calls')),
+unused AS (SELECT id FROM idle WHERE NOT EXISTS (SELECT 1 FROM called WHERE len(a) = len(b) AND len(list_filter(range(1, len(a) + 1), lambda i: a[i] = b[i] OR a[i][1] = ':' OR b[i][1] = ':')) = len(a)))"""
+
+
+@query(_UNUSED + " SELECT id FROM unused")
 def unused_apis(spark, sf):
     return analytics.unused_apis(_saved(spark, sf))
 
@@ -316,18 +338,20 @@ def route_risk(spark, sf):
     return analytics.route_risk(_saved(spark, sf))
 
 
-@query(_dependents(SOME) + " SELECT root, id, type FROM deps")
+@query(_dependents(ASKED) + " SELECT root, id, type FROM deps")
 def dependents_of(spark, sf):
-    return traverse.dependents(_saved(spark, sf), _some(spark, sf)).select("root", "id", "type")
+    graph = _saved(spark, sf)
+    return traverse.dependents(graph, _asked(graph)).select("root", "id", "type")
 
 
-@query(_dependents(SOME) + " SELECT root, type, count(*) AS n FROM deps GROUP BY ALL")
+@query(_dependents(ASKED) + " SELECT root, type, count(*) AS n FROM deps GROUP BY ALL")
 def impact_by_type(spark, sf):
-    return traverse.dependents(_saved(spark, sf), _some(spark, sf)).groupBy("root", "type").agg(F.count(F.lit(1)).alias("n"))
+    graph = _saved(spark, sf)
+    return traverse.dependents(graph, _asked(graph)).groupBy("root", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
-    _dependents(SOME)
+    _dependents(ASKED)
     + """, p AS (SELECT goal.id AS root, count(deps.id) AS n_dependents, count(deps.id) FILTER (WHERE type = 'route') AS n_routes, count(deps.id) FILTER (WHERE type = 'component') AS n_components, count(deps.id) FILTER (WHERE type = 'file') AS n_files FROM goal LEFT JOIN deps ON root = goal.id GROUP BY goal.id),
 t AS (SELECT root, id FROM deps UNION SELECT id, id FROM goal), u AS (SELECT root, count(DISTINCT e.dst) FILTER (WHERE kind = 'calls') AS n_apis, count(DISTINCT e.dst) FILTER (WHERE kind = 'uses') AS n_contexts FROM t JOIN edges e ON e.src = t.id GROUP BY root)
 SELECT p.*, coalesce(n_apis, 0) AS n_apis, coalesce(n_contexts, 0) AS n_contexts, """
@@ -335,7 +359,8 @@ SELECT p.*, coalesce(n_apis, 0) AS n_apis, coalesce(n_contexts, 0) AS n_contexts
     + " AS risk, CASE WHEN n_dependents > 15 OR n_routes >= 3 THEN 'L' WHEN n_dependents >= 5 THEN 'M' ELSE 'S' END AS complexity FROM p LEFT JOIN u USING (root)"
 )
 def impact_risk(spark, sf):
-    return analytics.impact(_saved(spark, sf), _some(spark, sf))
+    graph = _saved(spark, sf)
+    return analytics.impact(graph, _asked(graph))
 
 
 _RENDER = ", below(root, id, d) AS (SELECT id, id, 0 FROM nodes WHERE type = 'component' AND file = 'nation' UNION SELECT root, e.dst, d + 1 FROM below JOIN edges e ON e.src = below.id AND e.kind = 'renders' WHERE d < {depth})"
@@ -353,19 +378,38 @@ def composition_levels(spark, sf):
     return traverse.render_subtree(graph, graph.nodes.where("file = 'nation'"), traverse.COMPOSITION_DEPTH).groupBy(F.col("depth").alias("level")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_FLOW = """, goal AS (SELECT 'api:GET /part/' || min(l_partkey) AS id FROM lines), flow(id, hop) AS (SELECT 'route:/asia', 0 UNION SELECT e.dst, hop + 1 FROM flow JOIN edges e ON e.src = flow.id AND e.kind IN ('navigates_to', 'routes_to', 'renders', 'calls') WHERE hop < 12)"""
+_FLOW = f""", flows AS (SELECT src, dst, kind FROM edges WHERE kind IN ('navigates_to', 'routes_to', 'renders', 'calls')), flow(id, hop) AS (SELECT 'route:/asia', 0 UNION SELECT e.dst, hop + 1 FROM flow JOIN flows e ON e.src = flow.id WHERE hop < 12 AND NOT EXISTS (SELECT 1 FROM flow f WHERE f.id = {FIRST_PART})),
+level AS (SELECT id, min(hop) AS hop FROM flow GROUP BY id)"""
 
 
-@query(_FLOW + " SELECT CAST(min(hop) AS INT) AS hops FROM flow WHERE id = (SELECT id FROM goal)")
+@query(_FLOW + f" SELECT CAST(hop AS INT) AS hops FROM level WHERE id = {FIRST_PART}")
 def shortest_flow_length(spark, sf):
-    goal = _some(spark, sf).where(F.col("id").startswith("api:")).first()[0]
-    return traverse.shortest_path(_saved(spark, sf), "route:/asia", goal).agg(F.max("hop").alias("hops"))
+    return traverse.shortest_path(_saved(spark, sf), "route:/asia", _first_part(spark, sf)).agg(F.max("hop").alias("hops"))
 
 
-@query()
+@query(
+    _FLOW
+    + f""", tail(id, hop) AS (SELECT id, hop FROM level WHERE id = {FIRST_PART} UNION SELECT l.id, l.hop FROM tail JOIN flows e ON e.dst = tail.id JOIN level l ON l.id = e.src AND l.hop = tail.hop - 1),
+way(id, hop, k, ids) AS (SELECT 'route:/asia', 0, CAST([] AS VARCHAR[]), ['route:/asia'] UNION ALL SELECT e.dst, way.hop + 1, list_concat(k, [e.kind, e.dst]), list_append(ids, e.dst) FROM way JOIN flows e ON e.src = way.id JOIN tail t ON t.id = e.dst AND t.hop = way.hop + 1),
+best AS (SELECT ids FROM way WHERE id = {FIRST_PART} ORDER BY k LIMIT 1) SELECT CAST(generate_subscripts(ids, 1) - 1 AS INT) AS hop, unnest(ids) AS id FROM best"""
+)
 def shortest_flow_path(spark, sf):
-    goal = _some(spark, sf).where(F.col("id").startswith("api:")).first()[0]
-    return traverse.shortest_path(_saved(spark, sf), "route:/asia", goal)
+    return traverse.shortest_path(_saved(spark, sf), "route:/asia", _first_part(spark, sf))
+
+
+@query(
+    REACH
+    + """, links AS (SELECT DISTINCT o.route AS src, e.dst FROM (SELECT route, id FROM subtree UNION SELECT id, id FROM nodes WHERE type = 'route') o JOIN edges e ON e.src = o.id AND e.kind = 'navigates_to' WHERE o.route <> e.dst AND e.dst IN (SELECT id FROM nodes WHERE type = 'route')),
+go(id, k) AS (SELECT 'route:/asia', 0 UNION SELECT l.dst, k + 1 FROM go JOIN links l ON l.src = go.id WHERE k < 4), seen AS (SELECT id, min(k) AS k FROM go GROUP BY id)
+SELECT CAST(a.k AS INT) AS round, (SELECT min(l.src) FROM links l JOIN seen b ON b.id = l.src AND b.k = a.k - 1 WHERE l.dst = a.id) AS src, a.id AS dst FROM seen a WHERE a.k > 0 ORDER BY round, src, dst LIMIT 22"""
+)
+def journey_tree(spark, sf):
+    return traverse.journeys(analytics.route_links(_saved(spark, sf)), "route:/asia")
+
+
+@query(" SELECT id, CASE WHEN i AND NOT h THEN 'dangling' ELSE 'orphan' END AS gap FROM (SELECT id, id IN (SELECT dst FROM edges WHERE kind = 'invokes') AS i, id IN (SELECT dst FROM edges WHERE kind = 'handles') AS h FROM nodes WHERE type = 'channel') WHERE i <> h")
+def channel_gaps(spark, sf):
+    return analytics.channel_gaps(compile_tables(spark, sf))
 
 
 _CYCLES = """, se AS (SELECT src AS s, dst AS t FROM edges WHERE kind = 'imports'), r(s, t) AS (SELECT s, t FROM se UNION SELECT r.s, se.t FROM r JOIN se ON r.t = se.s),
@@ -379,10 +423,11 @@ def import_cycles(spark, sf):
 
 @query(
     _CYCLES
-    + """, f AS (SELECT (SELECT count(*) FROM (SELECT cycle FROM m GROUP BY cycle HAVING count(*) > 1)) AS cycles, (SELECT count(*) FROM nodes WHERE type = 'component' AND id NOT IN (SELECT dst FROM edges WHERE kind IN ('renders', 'routes_to'))) AS dead,
-(SELECT count(*) FROM nodes WHERE loc >= 150) AS large, (SELECT count(*) FROM nodes WHERE declared AND id NOT IN (SELECT dst FROM edges WHERE kind = 'calls')) AS unused_apis, (SELECT count(*) FROM (SELECT name FROM nodes WHERE type = 'component' GROUP BY name HAVING count(*) > 1)) AS duplicate_names,
-(SELECT count(*) FROM (SELECT shape FROM nodes WHERE type = 'component' AND shape <> '' GROUP BY shape HAVING count(*) > 1 AND count(DISTINCT name) > 1)) AS duplicate_shapes, 0::BIGINT AS dangling_channels, 0::BIGINT AS orphan_handlers),
-g AS (SELECT *, greatest(0, 100 - least(24, 8 * cycles) - least(16, 2 * dead) - least(15, 3 * large) - least(10, 2 * unused_apis) - least(10, 2 * duplicate_names) - least(10, 2 * duplicate_shapes)) AS score FROM f)
+    + _UNUSED
+    + """, f AS (SELECT (SELECT count(*) FROM (SELECT cycle FROM m GROUP BY cycle HAVING count(*) > 1)) AS cycles, (SELECT count(*) FROM nodes WHERE type = 'component' AND id NOT IN (SELECT dst FROM edges WHERE kind IN ('renders', 'routes_to'))) + (SELECT count(*) FROM nodes WHERE type = 'hook' AND id NOT IN (SELECT dst FROM edges WHERE kind = 'uses')) AS dead,
+(SELECT count(*) FROM nodes WHERE loc >= 150) AS large, (SELECT count(*) FROM unused) AS unused_apis, (SELECT count(*) FROM (SELECT name FROM nodes WHERE type = 'component' GROUP BY name HAVING count(*) > 1)) AS duplicate_names,
+(SELECT count(*) FROM (SELECT shape FROM nodes WHERE type = 'component' AND shape <> '' GROUP BY shape HAVING count(*) > 1 AND count(DISTINCT name) > 1)) AS duplicate_shapes, (SELECT count(*) FROM nodes WHERE type = 'channel' AND id IN (SELECT dst FROM edges WHERE kind = 'invokes') AND id NOT IN (SELECT dst FROM edges WHERE kind = 'handles')) AS dangling_channels, (SELECT count(*) FROM nodes WHERE type = 'channel' AND id IN (SELECT dst FROM edges WHERE kind = 'handles') AND id NOT IN (SELECT dst FROM edges WHERE kind = 'invokes')) AS orphan_handlers),
+g AS (SELECT *, greatest(0, 100 - least(24, 8 * cycles) - least(16, 2 * dead) - least(15, 3 * large) - least(10, 2 * unused_apis) - least(10, 2 * duplicate_names) - least(10, 2 * duplicate_shapes) - least(12, 4 * dangling_channels) - least(6, 2 * orphan_handlers)) AS score FROM f)
 SELECT *, CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 75 THEN 'good' WHEN score >= 60 THEN 'fair' ELSE 'needs attention' END AS grade FROM g"""
 )
 def architecture_score(spark, sf):
@@ -393,7 +438,7 @@ def architecture_score(spark, sf):
 
 
 @query(
-    _dependents(SOME)
+    _dependents(ASKED)
     + """, dir AS (SELECT g.id AS root, n.file FROM goal g JOIN edges e ON e.dst = g.id JOIN nodes n ON n.id = e.src WHERE n.type <> 'file'),
 fl AS (SELECT root, file FROM dir UNION SELECT g.id, n.file FROM goal g JOIN nodes n ON n.id = g.id),
 p AS (SELECT g.id AS root, (SELECT count(*) FROM dir WHERE dir.root = g.id) AS n_direct, (SELECT count(DISTINCT file) FROM fl WHERE fl.root = g.id AND file <> '') AS n_files, (SELECT count(*) FROM deps WHERE deps.root = g.id) AS n_dependents,
@@ -403,7 +448,8 @@ SELECT *, (SELECT count(*) FROM nodes WHERE type = 'route') - n_routes AS n_safe
     + " AS risk FROM p"
 )
 def what_if_remove(spark, sf):
-    return analytics.what_if_remove(_saved(spark, sf), _some(spark, sf))
+    graph = _saved(spark, sf)
+    return analytics.what_if_remove(graph, _asked(graph))
 
 
 @query(""" , o AS (SELECT src AS id, count(*) FILTER (WHERE kind = 'renders') AS children, count(*) FILTER (WHERE kind = 'uses') AS state, count(*) FILTER (WHERE kind = 'calls') AS apis FROM edges GROUP BY src), i AS (SELECT dst AS id, count(*) AS call_sites FROM edges WHERE kind IN ('renders', 'routes_to') GROUP BY dst)
@@ -424,7 +470,7 @@ def what_if_lazy_load(spark, sf):
 
 
 @query(
-    _dependents("SELECT id FROM nodes WHERE type = 'context'")
+    _dependents("SELECT id FROM nodes WHERE type IN ('context', 'hook')")
     + """ SELECT g.id, (SELECT count(*) FROM edges WHERE kind = 'uses' AND dst = g.id) AS consumers, (SELECT count(DISTINCT name) FROM deps WHERE root = g.id AND type = 'route') AS routes,
 CASE WHEN (SELECT count(*) FROM edges WHERE kind = 'uses' AND dst = g.id) <= 1 THEN 'local' WHEN (SELECT count(DISTINCT name) FROM deps WHERE root = g.id AND type = 'route') <= 1 THEN 'lift' ELSE 'context' END AS placement FROM goal g"""
 )
@@ -438,7 +484,7 @@ def recommendations(spark, sf):
     return analytics.recommendations(_saved(spark, sf))
 
 
-@query(_RENDER.format(depth=3) + " SELECT DISTINCT root, e.src, e.kind, e.dst FROM below JOIN edges e ON e.src = below.id AND e.kind IN ('uses', 'calls')")
+@query(_RENDER.format(depth=3) + ", one AS (SELECT DISTINCT root, e.src, e.kind, e.dst FROM below JOIN edges e ON e.src = below.id AND e.kind IN ('uses', 'calls')) SELECT * FROM one UNION SELECT root, e.src, e.kind, e.dst FROM one JOIN nodes n ON n.id = one.dst AND n.type = 'hook' AND one.kind = 'uses' JOIN edges e ON e.src = n.id AND e.kind IN ('uses', 'calls')")
 def data_flow(spark, sf):
     graph = _saved(spark, sf)
     return analytics.data_flow(graph, graph.nodes.where("file = 'nation'"))
@@ -490,14 +536,14 @@ def graph_diff_movers(spark, sf):
 
 
 @query(
-    """WITH n AS (SELECT DISTINCT strftime(o_orderdate, '%Y') AS s, 'api:/part/' || l_partkey AS id, '/part/' || l_partkey AS name FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity = 50), s AS (SELECT s, lag(s) OVER (ORDER BY s) AS p, lead(s) OVER (ORDER BY s) AS f FROM (SELECT DISTINCT s FROM n)),
+    """WITH n AS (SELECT DISTINCT strftime(o_orderdate, '%Y') AS s, 'api:/part/' || l_partkey AS id, '/part/' || l_partkey AS name FROM lineitem JOIN orders ON l_orderkey = o_orderkey), s AS (SELECT s, lag(s) OVER (ORDER BY s) AS p, lead(s) OVER (ORDER BY s) AS f FROM (SELECT DISTINCT s FROM n)),
 x AS (SELECT n.s, 'added' AS change, id, name FROM n JOIN s USING (s) WHERE p IS NOT NULL AND NOT EXISTS (SELECT 1 FROM n m WHERE m.s = p AND m.id = n.id) UNION ALL SELECT f, 'removed', id, name FROM n JOIN s USING (s) WHERE f IS NOT NULL AND NOT EXISTS (SELECT 1 FROM n m WHERE m.s = f AND m.id = n.id)),
 k AS (SELECT *, row_number() OVER (PARTITION BY s, change ORDER BY id) AS k FROM x)
 SELECT s AS snapshot_id, change, 'api' AS type, count(*) AS n, string_agg(name, ', ' ORDER BY k) FILTER (WHERE k <= 4) AS names, greatest(0, count(*) - 4) AS more FROM k GROUP BY s, change""",
     prefix="",
 )
 def graph_timeline(spark, sf):
-    rows = table(spark, sf, "lineitem").where("l_quantity = 50").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     name = F.concat(F.lit("/part/"), F.col("l_partkey").cast("string"))
     nodes = rows.select(F.date_format("o_orderdate", "yyyy").alias("snapshot_id"), F.concat(F.lit("api:"), name).alias("id"), F.lit("api").alias("type"), name.alias("name")).distinct()
     nodes = Scratch(spark, "timeline").save(nodes)

@@ -1,4 +1,9 @@
-"""A provider that compiles relational tables into the graph: places, customers, parts, brands and suppliers."""
+"""A provider that compiles relational tables into the graph.
+
+Regions are routes, nations and customers components, parts apis, brands contexts, suppliers files; order priorities are hooks
+that customers use, market segments hooks that nobody uses; states of orders and lines are channels that suppliers invoke and
+nations' native sides handle. Every line of lineitem counts.
+"""
 
 from __future__ import annotations
 
@@ -21,27 +26,41 @@ def _route(column: str = "r_name"):
 
 
 def called_lines(spark: SparkSession, sf_dir: str, until: str | None = None) -> DataFrame:
-    """o_custkey, l_partkey and l_suppkey of the returned lines of quantity 50: who calls which part."""
-    lines = table(spark, sf_dir, "lineitem").where((F.col("l_quantity") == 50) & (F.col("l_returnflag") == "R"))
+    """o_custkey, o_orderpriority, l_partkey and l_suppkey of all lines, or of those shipped before `until`: who calls which part."""
+    lines = table(spark, sf_dir, "lineitem")
     if until:
         lines = lines.where(F.col("l_shipdate") < F.lit(until).cast("timestamp"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_partkey", "l_suppkey").distinct()
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "o_orderpriority", "l_partkey", "l_suppkey").distinct()
 
 
 def import_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src and dst of imports between supplier files: neighbours among an order's lines of quantity 50."""
+    """src and dst of imports between supplier files: neighbours among an order's lines that are of one nation."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    pairs = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", F.col("l_suppkey").alias("a"), F.lead("l_suppkey").over(order).alias("b"))
-    pairs = pairs.where((F.col("l_quantity") == 50) & (F.col("a") != F.col("b")) & (F.col("a") % 10 == F.col("b") % 10))
+    home = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    lines = table(spark, sf_dir, "lineitem").join(home, F.col("l_suppkey") == F.col("s_suppkey"))
+    pairs = lines.select(F.col("l_suppkey").alias("a"), F.col("s_nationkey").alias("m"), F.lead("l_suppkey").over(order).alias("b"), F.lead("s_nationkey").over(order).alias("n"))
+    pairs = pairs.where((F.col("a") != F.col("b")) & (F.col("m") == F.col("n")))
     return pairs.select(_id("supplier/", "a").alias("src"), _id("supplier/", "b").alias("dst")).distinct()
 
 
+def channel_uses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Edges of suppliers that invoke the channels of their orders' states, and of nations that handle those of their lines' flags."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    invoked = lines.select("l_suppkey", "l_orderkey").join(orders.select("o_orderkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
+    invoked = invoked.select(_id("supplier/", "l_suppkey").alias("src"), _id("channel:status/", "o_orderstatus").alias("dst"), F.lit("invokes").alias("kind")).distinct()
+    place = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
+    flags = lines.select("l_suppkey", F.explode(F.array("l_linestatus", "l_returnflag")).alias("flag")).distinct().join(place, F.col("l_suppkey") == F.col("s_suppkey"))
+    return invoked, flags.select(_id("native/", "n_name").alias("src"), _id("channel:status/", "flag").alias("dst"), F.lit("handles").alias("kind")).distinct()
+
+
 def compile_tables(spark: SparkSession, sf_dir: str, until: str | None = None, called_only: bool = False) -> Graph:
     """The graph of all lines, or of those shipped before `until`; called_only leaves out parts and brands that nobody calls."""
     region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
     customer, supplier, part = (table(spark, sf_dir, t) for t in ("customer", "supplier", "part"))
     lines = called_lines(spark, sf_dir, until)
+    hooks = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("hook")).unionByName(customer.select(F.col("c_mktsegment").alias("hook")))
+    invoked, handled = channel_uses(spark, sf_dir)
     empty = {"file": "string", "loc": "int", "shape": "string", "declared": "boolean"}
 
     def nodes(df: DataFrame, kind: str, **columns) -> DataFrame:
@@ -57,8 +76,14 @@ def compile_tables(spark: SparkSession, sf_dir: str, until: str | None = None, c
         nodes(called, "api", id=_id("api:GET /part/", "p_partkey"), name=_id("GET /part/", "p_partkey"), declared=F.col("p_size") > 25),
         nodes(called.select("p_brand").distinct(), "context", id=_id("brand#", "p_brand"), name=F.col("p_brand"), file=F.lit("brand")),
         nodes(supplier, "file", id=_id("supplier/", "s_suppkey"), name=F.col("s_name"), file=_id("supplier/", "s_suppkey")),
+        nodes(part.where("p_size > 40"), "api", id=_id("api:POST /part/", "p_partkey"), name=_id("POST /part/", "p_partkey"), declared=F.lit(True)),
+        nodes(nation, "api", id=_id("api:GET /:method/part/", "n_nationkey"), name=_id("GET /:method/part/", "n_nationkey")),
+        nodes(hooks.distinct(), "hook", id=_id("hook#use", "hook"), name=_id("use", "hook"), file=F.lit("hook")),
+        nodes(nation, "native", id=_id("native/", "n_name"), name=F.col("n_name"), file=_id("native/", "n_name")),
+        nodes(invoked.unionByName(handled).select("dst").distinct(), "channel", id=F.col("dst"), name=F.regexp_replace("dst", "^channel:", "")),
     ]
-    caller = lines.select(_id("customer#", "o_custkey").alias("src"), "l_partkey", "l_suppkey")
+    caller = lines.select(_id("customer#", "o_custkey").alias("src"), _id("hook#use", "o_orderpriority").alias("hook"), "l_partkey", "l_suppkey")
+    branded = caller.join(part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     place = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     place = place.select("s_suppkey", F.concat(F.lit("route:"), _route()).alias("dst"))
     located = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -66,7 +91,12 @@ def compile_tables(spark: SparkSession, sf_dir: str, until: str | None = None, c
         nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat(F.lit("route:"), _route()).alias("src"), _id("nation#", "n_name").alias("dst"), F.lit("routes_to").alias("kind")),
         located.select(_id("nation#", "n_name").alias("src"), _id("customer#", "c_custkey").alias("dst"), F.lit("renders").alias("kind")),
         caller.select("src", _id("api:GET /part/", "l_partkey").alias("dst"), F.lit("calls").alias("kind")).distinct(),
-        caller.join(part, F.col("l_partkey") == F.col("p_partkey")).select("src", _id("brand#", "p_brand").alias("dst"), F.lit("uses").alias("kind")).distinct(),
+        nation.select(_id("nation#", "n_name").alias("src"), _id("api:GET /:method/part/", "n_nationkey").alias("dst"), F.lit("calls").alias("kind")),
+        branded.select("src", _id("brand#", "p_brand").alias("dst"), F.lit("uses").alias("kind")).distinct(),
+        branded.select(F.col("hook").alias("src"), _id("brand#", "p_brand").alias("dst"), F.lit("uses").alias("kind")).distinct(),
+        caller.select("src", F.col("hook").alias("dst"), F.lit("uses").alias("kind")).distinct(),
+        invoked,
+        handled,
         import_pairs(spark, sf_dir).select("src", "dst", F.lit("imports").alias("kind")),
         supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(_id("supplier/", "s_suppkey").alias("src"), _id("nation#", "n_name").alias("dst"), F.lit("defines").alias("kind")),
         caller.join(place, F.col("l_suppkey") == F.col("s_suppkey")).select("src", "dst", F.lit("navigates_to").alias("kind")).distinct(),
@@ -78,4 +108,5 @@ def compile_tables(spark: SparkSession, sf_dir: str, until: str | None = None, c
             out = out.unionByName(df)
         return out
 
-    return Graph(union(all_nodes), union(all_edges))
+    # a call of a path with a wildcard is known by its shape only
+    return Graph(union(all_nodes), union(all_edges).withColumn("confidence", F.when(F.col("dst").startswith("api:GET /:"), 0.8)))
