@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.operators import analytics
 from loomgraph.sources import code
@@ -73,3 +74,44 @@ def test_dart_and_native(graph):
 def test_comments():
     text = "a // x\n'// kept' /* b\nc */ d"
     assert code.strip_comments(text) == "a     \n'// kept'     \n     d"
+
+
+MORE = {
+    "pubspec.yaml": "name: app\n",
+    "lib/router.dart": "import 'package:app/pages.dart';\nfinal router = GoRouter(routes: [GoRoute(path: '/', builder: (c, s) => const HomePage()), GoRoute(\n  name: 'item', path: 'item/:id', pageBuilder: (c, s) { return MaterialPage(child: ItemPage(s)); })]);\nfinal table = <String, WidgetBuilder>{'/help': (ctx) => HelpPage(title: 'x')};\n",
+    "lib/pages.dart": "class HomePage extends ConsumerWidget { build(c, ref) { context.go('/item/3?q=1'); return Column(children: [ItemPage.small(1), Text(\"// not HelpPage(\")]); } }\n"
+    "class ItemPage extends HookWidget { f() { final s = BlocProvider.of<CartBloc>(context); Navigator.of(context).pushNamed('/help'); _dio.get<Map<String, int>>('/v1/items', queryParameters: {'a': 1}); } }\n"
+    "class HelpPage extends StatelessWidget { final a = EventChannel(kName); final b = Provider.of<Missing>(context); }\nconst String kName = 'app/events';\nclass CartBloc extends Bloc<E, S> {}\nclass MaterialPage extends StatelessWidget {}\n",
+    "ios/Runner/App.swift": 'let name: String = "app/events"\nlet c = FlutterEventChannel(name: name, binaryMessenger: m)\nlet d = FlutterMethodChannel(name: "app/only", binaryMessenger: m)\n',
+    "ios/Runner/App.m": '// methodChannelWithName:@"no"\nFlutterMethodChannel* c = [FlutterMethodChannel methodChannelWithName:@"app/objc" binaryMessenger:x];\n',
+    "android/A.java": 'static final String X = "app/java";\nnew MethodChannel(engine.getDartExecutor().getBinaryMessenger(), Names.X).setHandler(h);\n',
+}
+
+
+def test_facts_of_dart_and_native_syntax(spark):
+    files = spark.createDataFrame(list(MORE.items()), "path string, content string").withColumn("hash", F.sha1("content")).cache()
+    dart, native = code.dart(files), code.native(files)
+    edges = {(r["src"], r["kind"], r["dst"]) for g in (dart, native) for r in g.edges.collect()}
+    for edge in [
+        ("route:/", "routes_to", "lib/pages.dart#HomePage"), ("route:/help", "routes_to", "lib/pages.dart#HelpPage"), ("lib/pages.dart#HomePage", "navigates_to", "route:/item/:id"), ("lib/pages.dart#ItemPage", "navigates_to", "route:/help"),
+        ("lib/pages.dart#HomePage", "renders", "lib/pages.dart#ItemPage"), ("lib/pages.dart#ItemPage", "uses", "lib/pages.dart#CartBloc"), ("lib/pages.dart#ItemPage", "calls", "api:GET /v1/items"), ("lib/router.dart", "imports", "lib/pages.dart"),
+        ("lib/pages.dart#HelpPage", "invokes", "channel:app/events"), ("ios/Runner/App.swift", "handles", "channel:app/events"), ("ios/Runner/App.swift", "handles", "channel:app/only"), ("ios/Runner/App.m", "handles", "channel:app/objc"), ("android/A.java", "handles", "channel:app/java"),
+    ]:
+        assert edge in edges, edge
+    assert ("lib/pages.dart#HomePage", "renders", "lib/pages.dart#HelpPage") not in edges and not any(e[2] == "channel:no" for e in edges)
+
+
+def test_broken_and_long_texts_have_facts_in_time():
+    import time
+
+    began = time.time()
+    for text in ("(" * 20_000, "f(" * 20_000, "a.b<" * 20_000 + ">(", "x = 'y', " * 20_000, "", "class", "'open", "f(" * 400 + ")" * 400):
+        list(code.Tokens(text).facts())
+    assert time.time() - began < 10
+
+
+def test_a_limit_of_files_warns(spark):
+    files = spark.createDataFrame([(f"lib/{i}.dart", "") for i in range(5)], "path string, content string")
+    assert code.files_of(files, "dart").count() == 5
+    with pytest.warns(UserWarning, match="dart: 3 files"):
+        assert [r["path"] for r in code.files_of(files, "dart", 2).collect()] == ["lib/0.dart", "lib/1.dart"]
