@@ -199,7 +199,7 @@ def components(links: DataFrame, scratch: Scratch, label: str = "cc") -> DataFra
         scratch.drop(*[f"{label}-{part}{step}" for part in ("l", "g", "m")])
         scratch.drop(f"{label}-{step - 1}")
     done = scratch.save(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), f"{label}-done")
-    scratch.drop(*[f"{label}-{part}{step}" for part in ("l", "g", "m", "")])
+    scratch.drop(*[f"{label}-{part}{step}" for part in ("l", "g", "m", "")], f"{label}-{step - 1}")
     return done
 
 
@@ -238,37 +238,45 @@ def _homes(star: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     return homes
 
 
-def _home_pairs(lists: DataFrame, homes: DataFrame, classes: DataFrame | None, percent: int, total: int, scratch: Scratch) -> DataFrame:
-    """a (a set), b (a larger home that isn't its own) and likeness, where a may be alike to b or to a member of b.
+def _home_pairs(lists: DataFrame, homes: DataFrame | None, classes: DataFrame | None, percent: int, total: int, scratch: Scratch) -> DataFrame:
+    """a (a set), b (another one) and likeness, where a may be alike to b or to a member of b.
 
-    A list whose postings are all of one home is skipped. Else each of its homes meets the postings of smaller homes, once
-    whatever its number of members. A list is cut into blocks of like sizes; a posting skips the blocks of sets of which it
-    shares too little from its position on, before the join. Long lists are dealt to several tasks.
-    classes: node and component of sets known to be in one class, which then need not meet.
+    With homes, lists hold the members of homes: each home of a list meets the postings of smaller homes, once whatever its
+    number of members, and a list whose postings are all of one home is skipped. With classes (node and component of sets known to
+    be in one class) every set is its own home, only sets of different classes meet, and those of a list's largest class
+    meet only the others. A list is cut into blocks of like sizes; a posting skips the blocks of sets of which it shares
+    too little from its position on, before the join. Long lists are dealt to several tasks.
     """
-    percent_of = F.coalesce("likeness", F.lit(float(percent)))
-    known = lists.join(homes.hint("shuffle_merge"), "node", "left").withColumns({"home": F.coalesce("home", "node"), "members": F.coalesce("members", F.lit(1)), "likeness": percent_of})
-    if classes is not None:
-        known = known.join(classes.hint("shuffle_merge"), "node", "left").withColumn("skip", F.coalesce("component", "node")).drop("component")
+    if classes is None:
+        known = lists.join(homes.hint("shuffle_merge"), "node", "left")
+        known = known.withColumns({"home": F.coalesce("home", "node"), "members": F.coalesce("members", F.lit(1)), "likeness": F.coalesce("likeness", F.lit(float(percent)))}).withColumn("skip", F.col("home"))
     else:
-        known = known.withColumn("skip", F.col("home"))
+        known = lists.join(classes.hint("shuffle_merge"), "node", "left").withColumn("skip", F.coalesce("component", "node")).drop("component")
+        known = known.withColumns({"home": F.col("node"), "members": F.lit(1), "likeness": F.lit(float(percent))})
     growth = 100 / percent
     known = scratch.save(known.withColumn("block", F.floor(F.log("n") / math.log(growth)).cast("int")), "known")
-    several = known.groupBy("token").agg(F.min("skip").alias("first"), F.max("skip").alias("last"), F.first("c").alias("c")).where(F.col("first") != F.col("last")).select("token", "c")
+    each = known.groupBy("token", "skip").agg(F.count(F.lit(1)).alias("k"), F.first("c").alias("c"))
+    several = each.groupBy("token").agg(F.max(F.struct("k", "skip"))["skip"].alias("major"), F.count(F.lit(1)).alias("skips"), F.first("c").alias("c")).where(F.col("skips") > 1).drop("skips")
     rows = scratch.save(join_hot(known.drop("c"), scratch.save(several, "several"), ["token"], "c", total), "mixed")
     parts = F.ceil(F.col("c") / LIST_BLOCK).cast("int")
     right = rows.withColumn("salt", F.pmod(F.xxhash64("node"), parts).cast("int"))
     near = F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)
     reached = F.filter(near, lambda k: F.col("n") - F.col("pos") >= F.lit(percent) * (F.col("n") + F.pow(F.lit(growth), k)) / F.lit(100.0 + percent) - 1e-3)
-    left = rows.withColumn("block", F.explode(reached)).groupBy("token", "block", "home", "skip").agg(
+    left = rows if classes is None else rows.where(F.col("skip") != F.col("major"))
+    left = left.withColumn("block", F.explode(reached)).groupBy("token", "block", "home", "skip").agg(
         F.first("members").alias("members"), F.first("likeness").alias("likeness"), F.first("c").alias("c"), F.min("n").alias("shortest"), F.max("n").alias("longest"), F.max(F.col("n") - F.col("pos")).alias("behind")
     )
     x, y = left.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).alias("x"), right.alias("y")
     met = (F.col("x.token") == F.col("y.token")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.block") == F.col("y.block"))
-    larger = (F.col("x.members") > F.col("y.members")) | ((F.col("x.members") == F.col("y.members")) & (F.col("x.home") > F.col("y.home")))
+    if classes is None:
+        once = (F.col("x.members") > F.col("y.members")) | ((F.col("x.members") == F.col("y.members")) & (F.col("x.home") > F.col("y.home")))
+    else:
+        once = (F.col("y.skip") == F.col("y.major")) | (F.col("x.home") > F.col("y.home"))
     sizes = (100 * F.col("y.n") >= percent * F.col("x.shortest")) & (percent * F.col("y.n") <= 100 * F.col("x.longest"))
     behind = F.least(F.col("x.behind"), F.col("y.n") - F.col("y.pos")) >= _need(F.col("x.shortest"), F.col("y.n"), percent)
-    pairs = x.join(y.hint("shuffle_merge"), met & (F.col("x.skip") != F.col("y.skip")) & larger & sizes & behind)
+    pairs = x.join(y.hint("shuffle_merge"), met & (F.col("x.skip") != F.col("y.skip")) & once & sizes & behind)
+    if classes is not None:
+        return pairs.select(F.least("y.node", "x.home").alias("a"), F.greatest("y.node", "x.home").alias("b"), F.col("x.likeness").alias("likeness")).distinct()
     return pairs.select(F.col("y.node").alias("a"), F.col("x.home").alias("b"), F.col("x.likeness").alias("likeness")).distinct()
 
 
@@ -284,8 +292,8 @@ def _leads_agree(pairs: DataFrame, leads: DataFrame, percent: int, scratch: Scra
     return both.where(shared >= _shared_least(F.col("na"), F.col("nb"), percent, F.col("likeness"))).select("a", "b", "likeness")
 
 
-def _answers(star: DataFrame, guests: DataFrame, homes: DataFrame, percent: int, count_links: bool, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
-    """Links (a, b) that join all classes and, with count_links, node and n_links: how many other sets each set is alike to.
+def _answers(star: DataFrame, guests: DataFrame, homes: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that join all classes, and node and n_links: how many other sets each set is alike to.
 
     All sets near a home are told by their difference to it. Of a set that lacks d of the home's H shingles and has e beside
     them the weight is 100 d + percent * e; two sets whose differences share s shingles are alike if and only if their weights'
@@ -301,9 +309,6 @@ def _answers(star: DataFrame, guests: DataFrame, homes: DataFrame, percent: int,
     # pairs whose weights alone don't make them alike, but whose differences have shingles in common
     most = F.col("limit") + (100 + percent) * F.size("diff")
     shingles = rows.where(F.size("diff") > 0)
-    if not count_links:  # members are in their home's class already: only guests beyond the limit are still to be placed
-        far = rows.where(~F.col("member") & (F.col("w") > F.col("limit"))).select("home").distinct()
-        shingles = shingles.where(F.col("member") | (F.col("w") > F.col("limit"))).join(far.hint("shuffle_merge"), "home", "left_semi")
     shingles = shingles.select("home", "node", "w", "limit", "member", most.alias("most"), F.explode("diff").alias("shingle"))
     shared = shingles.groupBy("home", "shingle").agg(F.count(F.lit(1)).alias("c"), F.bool_or("member").alias("any")).where((F.col("c") > 1) & F.col("any")).drop("any")
     shared = scratch.save(shared, "shared")
@@ -314,14 +319,12 @@ def _answers(star: DataFrame, guests: DataFrame, homes: DataFrame, percent: int,
     y = listed.withColumn("salt", F.pmod(F.xxhash64("node"), parts).cast("int")).alias("y")
     met = (F.col("x.home") == F.col("y.home")) & (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.salt") == F.col("y.salt"))
     sum_ = F.col("x.w") + F.col("y.w")
-    open_ = (sum_ > F.col("x.limit")) & (sum_ <= F.least("x.most", "y.most")) & (~F.col("y.member") | ((F.col("x.node") < F.col("y.node")) if count_links else F.lit(False)))
+    open_ = (sum_ > F.col("x.limit")) & (sum_ <= F.least("x.most", "y.most")) & (~F.col("y.member") | (F.col("x.node") < F.col("y.node")))
     pairs = x.join(y.hint("shuffle_merge"), met & open_).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), sum_.alias("sum"), F.col("x.limit").alias("limit"), (F.col("y.w") > F.col("y.limit")).alias("far")).agg(F.count(F.lit(1)).alias("s"))
     pairs = scratch.save(pairs.where((100 + percent) * F.col("s") >= F.col("sum") - F.col("limit")).select("a", "b", "far"), "pairs")
     near = rows.where((F.col("w") <= F.col("limit")) & (F.col("node") != F.col("home"))).select(F.col("node").alias("a"), F.col("home").alias("b"))
     links = star.select("a", "b").unionByName(near).unionByName(pairs.where("far").select("a", "b"))
     scratch.drop("shared", "listed")
-    if not count_links:
-        return links, None
     ranks = scratch.save(rows.groupBy("home", "w", "limit").agg(F.count_if("member").alias("m"), F.count_if(~F.col("member")).alias("g"), F.count(F.lit(1)).alias("c")), "weights")
     # of each weight of a home (at most its (100 - percent) H, and those of its guests) how many members and guests it is alike to
     asked = ranks.select("home", (F.col("limit") - F.col("w")).alias("at"), F.lit(0).cast("long").alias("m"), F.lit(0).cast("long").alias("g"), F.lit(1).alias("asks"), "w")
@@ -347,9 +350,9 @@ def link_classes(documents: DataFrame, width: int = WIDTH, percent: int = PERCEN
     theirs, and columns beside doc_id and text, whatever their names, are not read.
 
     Frequent shingles come last in the global order, so lists of the leading shingles are mostly short. First each posting is
-    compared with the hub of its list only. Sets alike to a hub go home to it; then homes, not sets, meet in the lists that
-    hold several, and the links of members are derived from their homes' by the differences (see _answers). Without
-    count_links, what is in one class already doesn't meet at all.
+    compared with the hub of its list only. With count_links, sets alike to a hub go home to it; then homes, not sets, meet in
+    the lists that hold several, and the links of members are derived from their homes' by the differences (see _answers).
+    Without, only classes are asked for: what is in one class already doesn't meet.
     """
     spark = documents.sparkSession
     ship(spark)
@@ -372,13 +375,16 @@ def link_classes(documents: DataFrame, width: int = WIDTH, percent: int = PERCEN
     star = _compared(documents, nodes, _star_pairs(lists, percent, total, scratch), width, scratch, "star")
     scratch.drop("hubs")
     release(spark)
-    homes = _homes(star, percent, scratch)
+    homes = _homes(star, percent, scratch) if count_links else None
     classes = None if count_links else components(star.select("a", "b"), scratch, "stars")
     pairs = _leads_agree(_home_pairs(lists, homes, classes, percent, total, scratch), leads, percent, scratch)
     guests = _compared(documents, nodes, pairs, width, scratch, "guests")
     scratch.drop("lists", "known", "several", "mixed", "leads", "met")
     release(spark)
-    links, n_links = _answers(star, guests, homes, percent, count_links, scratch)
+    if count_links:
+        links, n_links = _answers(star, guests, homes, percent, scratch)
+    else:
+        links = star.select("a", "b").unionByName(guests.select("a", "b"))
     found = components(links, scratch, "all")
     scratch.drop("found-star", "found-guests", "groups", "pairs", "homes", "weights", "answers", "stars-done")
     release(spark)
