@@ -80,7 +80,7 @@ class Engine:
     @_counted("blueprint")
     def blueprint(self, markdown: str) -> str:
         """[API-06, FLT-09]"""
-        rows = lookup.ui_candidates(self.spark.createDataFrame([(0, markdown)], "doc_id int, text string"))
+        rows = lookup.component_names(self.spark.createDataFrame([(0, markdown)], "doc_id int, text string"))
         return report.blueprint(self.graph(), [r["name"] for r in rows.orderBy("place").collect()])
 
     @_counted("trace")
@@ -98,17 +98,16 @@ class Engine:
         """remove, split or lazy_load. [API-09, AGG-15]"""
         graph = self.graph()
         node = lookup.resolve(graph, target).orderBy(F.desc("rank"), "id").limit(1).select("id")
-        row = node.first()
-        if row is None:
+        if node.isEmpty():
             raise LookupError(f"no node matches {target}")
-        answers = {"remove": lambda: analytics.what_if_remove(graph, node), "split": lambda: analytics.what_if_split(graph, node), "lazy_load": lambda: analytics.what_if_lazy_load(graph, row["id"])}
-        return report.table(answers[action]())
+        return report.table(analytics.what_if(graph, action, node))
 
     @_counted("feature")
     def feature(self, name: str | None = None) -> str:
         """[API-10, FEA-05]"""
         graph = self.graph()
-        found = features.derive_features(graph)
+        found = features.load_features(self.spark, f"{self.folder}/features.json", graph)
+        found = features.derive_features(graph) if found is None else found
         if name is None:
             return report.table(features.feature_list(graph, found).orderBy("feature"))
         own = features.find_feature(found, name)

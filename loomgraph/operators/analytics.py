@@ -234,6 +234,16 @@ def what_if_lazy_load(graph: Graph, target: str) -> DataFrame:
     return out.join(entries).withColumn("worthwhile", (F.col("exclusive") >= 3) | (F.col("exclusive_loc") > 200))
 
 
+def what_if(graph: Graph, action: str, targets: DataFrame) -> DataFrame:
+    """The simulation of an action: remove, split, or lazy_load of one target. [AGG-15]"""
+    if action == "lazy_load":
+        return what_if_lazy_load(graph, targets.first()["id"])
+    known = {"remove": what_if_remove, "split": what_if_split}
+    if action not in known:
+        raise LookupError("actions: lazy_load, remove, split")
+    return known[action](graph, targets)
+
+
 def state_placement(graph: Graph, types: tuple[str, ...] = ("context", "hook")) -> DataFrame:
     """Per state node: consumers, routes they are on, and where the state belongs. [AGG-16]"""
     states = graph.nodes.where(F.col("type").isin(*types)).select("id")

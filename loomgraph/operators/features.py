@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.operators import traverse as walk
@@ -15,6 +15,20 @@ def derive_features(graph: Graph) -> DataFrame:
     return graph.nodes.where(F.col("type") == "route").select(F.coalesce(first, F.lit("root")).alias("feature"), F.col("id").alias("route"))
 
 
+def load_features(spark: SparkSession, path: str, graph: Graph) -> DataFrame | None:
+    """feature and route of a user's file: JSON rows with a name and routes (paths or ids); None without a file. [FEA-01]
+
+    Routes that the graph doesn't have are left out.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    rows = spark.read.schema("name string, routes array<string>").json(path).select(F.col("name").alias("feature"), F.explode("routes").alias("at"))
+    route = F.when(F.col("at").startswith("route:"), F.col("at")).otherwise(F.concat(F.lit("route:"), "at"))
+    known = graph.nodes.where(F.col("type") == "route").select(F.col("id").alias("route"))
+    return rows.select("feature", route.alias("route")).distinct().join(known, "route", "left_semi")
+
+
 def members(graph: Graph, features: DataFrame) -> DataFrame:
     """feature and id of the routes of a feature and all that they show. [FEA-03]"""
     tree = walk.route_subtrees(graph).join(features, "route").select("feature", "id")

@@ -160,8 +160,8 @@ def alignment_scores(ours: DataFrame, real: DataFrame) -> DataFrame:
         kf = (a if len(a) else b)["kf"].iloc[0]
         return pd.DataFrame({"kf": [kf], "score": [2 * _common(x, y) / (len(x) + len(y))]})
 
-    columns = ["kf", "ord", "sig"]
-    return ours.select(columns).groupBy("kf").cogroup(real.select(columns).groupBy("kf")).applyInPandas(score, "kf string, score double")
+    columns, kind = ["kf", "ord", "sig"], ours.schema["kf"].dataType.simpleString()
+    return ours.select(columns).groupBy("kf").cogroup(real.select(columns).groupBy("kf")).applyInPandas(score, f"kf {kind}, score double")
 
 
 def dependency_graph(bindings: DataFrame, tracked: DataFrame) -> DataFrame:

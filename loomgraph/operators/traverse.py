@@ -88,6 +88,13 @@ def shortest_path(graph: Graph, start: str, goal: str, max_hops: int = FLOW_DEPT
     return none
 
 
+def beside(graph: Graph, path: DataFrame, most: int = 22) -> DataFrame:
+    """src, dst and label of what the nodes of a path (id) call or navigate to off it, the first `most`. [TRV-07]"""
+    on = path.select("id")
+    rows = of_kinds(graph, "calls", "navigates_to").join(on.withColumnRenamed("id", "src"), "src", "left_semi").join(on.withColumnRenamed("id", "dst"), "dst", "left_anti")
+    return rows.select("src", "dst", F.col("kind").alias("label")).distinct().orderBy("src", "dst", "label").limit(most)
+
+
 def journeys(links: DataFrame, start: str, rounds: int = 4, most: int = 22) -> DataFrame:
     """round, src and dst of the tree of routes that navigation reaches from `start`, each at its first place. [TRV-08]
 

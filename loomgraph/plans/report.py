@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.paths import mermaid_id
@@ -17,6 +17,11 @@ SHOWN, DRAWN = 40, 22
 SHAPES = {"route": ("([", "])"), "api": ("[[", "]]"), "context": ("{{", "}}"), "hook": ("(", ")"), "channel": ("[/", "/]")}
 
 
+def thousands(n: Column) -> Column:
+    """[SCL-08]"""
+    return F.format_number(n, 0)
+
+
 def table(df: DataFrame, limit: int = SHOWN) -> str:
     """A Markdown table of the first rows, with how many more there are."""
     rows = df.limit(limit + 1).collect()
@@ -88,7 +93,7 @@ def trace(graph: Graph, start: str, goal: str) -> str:
     path = [r["id"] for r in rows]
     spark = graph.nodes.sparkSession
     along = spark.createDataFrame(list(zip(path, path[1:], [""] * len(path), strict=False)), "src string, dst string, label string")
-    beside = traverse.of_kinds(graph, "calls").where(F.col("src").isin(path) & ~F.col("dst").isin(path)).select("src", "dst", F.lit("calls").alias("label"))
+    beside = traverse.beside(graph, spark.createDataFrame([(x,) for x in path], "id string"), DRAWN)
     return "\n\n".join([f"# Flow from {start} to {goal}: {len(path) - 1} hops", flowchart(graph, along.unionByName(beside))])
 
 
@@ -134,11 +139,21 @@ def savings(usage: DataFrame) -> str:
     """[DIA-04]"""
     by_tool = ledger.savings_by_tool(usage).orderBy(F.desc("saved"), "tool")
     pie = "\n".join(["```mermaid", "pie title Tokens saved", *[f'  "{r["tool"]}" : {max(0, r["saved"])}' for r in by_tool.limit(DRAWN).collect()], "```"])
-    return "\n\n".join(["# Savings", table(ledger.savings_summary(usage)), pie, table(by_tool.withColumns({"out": F.format_number("out", 0), "base": F.format_number("base", 0)}))])
+    return "\n\n".join(["# Savings", table(ledger.savings_summary(usage)), pie, table(by_tool.withColumns({"out": thousands(F.col("out")), "base": thousands(F.col("base"))}))])
 
 
-def page(graph: Graph, title: str, limit: int = 5000) -> str:
-    """A self-contained HTML page with the first nodes and edges as JSON. [SNK-06, SNK-07]"""
-    rows = {k: [json.loads(x) for x in df.limit(limit).toJSON().collect()] for k, df in (("nodes", graph.nodes.select("id", "type", "name").orderBy("id")), ("edges", graph.edges.select("src", "dst", "kind").orderBy("src", "kind", "dst")))}
-    data = json.dumps(rows).replace("<", "\\u003c")
-    return f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><pre id=g></pre><script>const g={data};document.getElementById('g').textContent=g.edges.map(e=>e.src+' '+e.kind+' '+e.dst).join('\\n')</script>"
+def page(graph: Graph, title: str, folder: str) -> str:
+    """A page that draws the edges, and its data: nodes and edges as partitioned JSON lines in `folder` beside it, all of them. [SNK-06, SNK-07]
+
+    `<` is escaped in the data as well, so that it may be put into the page.
+    """
+    for name, rows in (("nodes", graph.nodes.select("id", "type", "name")), ("edges", graph.edges.select("src", "dst", "kind"))):
+        rows.select(F.replace(F.to_json(F.struct("*")), F.lit("<"), F.lit("\\u003c")).alias("value")).write.mode("overwrite").text(f"{folder}/{name}")
+    names = {}
+    for name in ("nodes", "edges"):
+        path = graph.nodes.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        files = path.getFileSystem(graph.nodes.sparkSession._jsc.hadoopConfiguration()).listStatus(path)
+        names[name] = sorted(n for f in files if (n := f"{name}/{f.getPath().getName()}").startswith(f"{name}/part-"))
+    data = json.dumps(names).replace("<", "\\u003c")
+    script = "const show=async()=>{for(const f of g.edges){const t=await(await fetch(f)).text();for(const l of t.split('\\n'))if(l){const e=JSON.parse(l);document.getElementById('g').append(e.src+' '+e.kind+' '+e.dst+'\\n')}}};show()"
+    return f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><pre id=g></pre><script>const g={data};{script}</script>"

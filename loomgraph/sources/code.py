@@ -39,6 +39,7 @@ RULES = {
         "context": r"(?m)^(?:export\s+)?const\s+([A-Z]\w*)\s*(?::[^=]+)?=\s*(?:React\.)?createContext\b",
         "default": r"\bexport\s+default\s+(?:async\s+)?(?:function\s+|class\s+)?([A-Za-z_]\w*)",
         "tag": r"<([A-Z]\w*)(?:\.\w+)*[\s/>]",
+        "jsx": r"<(>|[A-Za-z][\w.]*[\s/>])",
         "link": r"""<Link\b[^>]*?\bhref=(?:\{\s*)?['"`]([^'"`]+)['"`]""",
         "use": r"\b(use[A-Z]\w*)\s*(?:<[^>()]*>)?\(\s*([A-Z]\w*)?",
         "navigate": r"""(?:(?:\.|\b)(?:push|replace)|\bredirect|\bnavigate)\(\s*['"`]([^'"`]+)['"`]""",
@@ -74,13 +75,18 @@ def strip_comments(text: str) -> str:
     return _COMMENT.sub(lambda m: m[0] if m[1] else re.sub(r"[^\n]", " ", m[0]), text)
 
 
+def is_source(path: Column) -> Column:
+    """Whether no part of a path is a dot entry or a folder that is skipped. [SRC-01, SRC-02]"""
+    return ~path.rlike(r"(?:^|/)\.|(?:^|/)(?:" + "|".join(SKIPPED) + ")/")
+
+
 def discover(spark: SparkSession, root: str) -> DataFrame:
     """path (relative), hash and content of the text files under root, but for dot entries and build folders. [SRC-01, SRC-02]"""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{ts,tsx,js,jsx,dart,kt,java,swift,m,mm,yaml}").load(root)
     base = posixpath.normpath(re.sub(r"^[a-z]+:(?://[^/]*)?", "", root))
     path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:(//[^/]*)?", ""), "^/*" + re.escape(base.lstrip("/")) + "/", "")
     rows = raw.select(path.alias("path"), F.sha1("content").alias("hash"), F.decode("content", "UTF-8").alias("content"))
-    return rows.where(~F.col("path").rlike(r"(?:^|/)\.|(?:^|/)(?:" + "|".join(SKIPPED) + ")/"))
+    return rows.where(is_source(F.col("path")))
 
 
 def files_of(files: DataFrame, provider: str, most: int | None = None) -> DataFrame:
@@ -317,6 +323,9 @@ def frontend(files: DataFrame) -> Graph:
     size = own.select("path", (F.size(F.split("content", "\n")) + 1).alias("lines"))
     declared = declared.join(size, "path").withColumn("loc", F.coalesce("next", "lines") - F.col("line"))
     default = _hits(hits, "default").groupBy("path").agg(F.min_by("a", "offset").alias("default"))
+    # a capitalised function is a component only if it holds an element
+    drawn = owned(_hits(hits, "jsx"), declared).select("owner").distinct()
+    declared = declared.where("rule <> 'component'").unionByName(declared.where("rule = 'component'").join(drawn, "owner", "left_semi").select(declared.columns))
     declared = _written(declared.join(default, "path", "left").withColumn("is_default", F.coalesce(F.col("name") == F.col("default"), F.lit(False))))
 
     imports = _hits(hits, "import").select("path", "line", "a", resolve_path().alias("stem")).where(F.col("stem").isNotNull())

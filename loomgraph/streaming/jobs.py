@@ -15,14 +15,18 @@ from loomgraph.schema import USAGE
 ATTEMPTS, BACKOFF_MS, CONCURRENCY = 3, 2000, 4
 #: Failures that no retry helps.
 FINAL_ERRORS = ("no-key",)
+ENDED = ("done", "failed")
 JOB_EVENTS = "job_id string, t timestamp, event string, error string"
 JOB_STATES = "job_id string, status string, attempts int, error string, next_at timestamp, t timestamp"
 _STATE = "status string, attempts int"
 
 
 def _advance(status: str, attempts: int, event: str, error: str | None) -> tuple[str, int, float | None]:
-    """Status, attempts and seconds to wait after one event. queued -> processing -> done or failed; a failure queues again while attempts are left."""
-    if event == "upload" and status == "":
+    """Status, attempts and seconds to wait after one event. queued -> processing -> done or failed; a failure queues again while attempts are left.
+
+    An upload of a job that has ended begins it anew, as one of a new job does.
+    """
+    if event == "upload" and status in ("", *ENDED):
         return "queued", 0, None
     if event == "start" and status == "queued":
         return "processing", attempts + 1, None
@@ -38,7 +42,8 @@ def _advance(status: str, attempts: int, event: str, error: str | None) -> tuple
 def job_states(events: DataFrame) -> DataFrame:
     """Each job's state after every micro-batch that has events of it. [STM-02, STM-03]
 
-    events: a stream of job_id, t, event (upload, start, finish, fail) and error; state is kept per job.
+    events: a stream of job_id, t, event (upload, start, finish, fail) and error; state is kept per job until it ends. Events of
+    a job that isn't known, but for an upload, give no row.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -49,7 +54,12 @@ def job_states(events: DataFrame) -> DataFrame:
             status, attempts, wait = _advance(status, attempts, row.event, row.error)
             error = row.error if row.event == "fail" and before == "processing" else (None if row.event == "start" else error)
             last = row.t
-        state.update((status, attempts))
+        if status in ENDED:
+            state.remove()
+        elif status:
+            state.update((status, attempts))
+        else:
+            return
         next_at = last + pd.Timedelta(seconds=wait) if wait is not None and last is not None else pd.NaT
         yield pd.DataFrame({"job_id": [key[0]], "status": [status], "attempts": [attempts], "error": [error], "next_at": pd.Series([next_at], dtype="datetime64[ns]"), "t": pd.Series([last], dtype="datetime64[ns]")})
 

@@ -24,11 +24,12 @@ def test_answers(spark, tmp_path):
     assert "search" in engine.savings()
 
 
-def test_pages_and_trees(spark):
+def test_pages_and_trees(spark, tmp_path):
     graph = shop(spark)
     assert report.component_tree(graph, SHORT["CartPage"]) == "- CartPage\n  - CartList\n    - Button"
-    text = report.page(graph, "a <b>")
-    assert "a &lt;b&gt;" in text and "CartList" in text
+    text = report.page(graph, "a <b>", f"{tmp_path}/page")
+    rows = "".join(p.read_text() for p in (tmp_path / "page" / "nodes").glob("part-*"))
+    assert "a &lt;b&gt;" in text and "edges/part-" in text and "CartList" in rows and "<" not in rows
     assert report.flowchart(graph, lookup.out_edges(graph, SHORT["CartPage"]).selectExpr("src", "dst", "kind AS label")).count("-->") == 2
 
 

@@ -22,12 +22,13 @@ def test_snapshots(spark, tmp_path):
 
 
 def test_documents(spark, tmp_path):
-    text = store.graph_document(shop(spark), "r", F.lit("2026-01-01 00:00:00").cast("timestamp")).first()["json"]
-    doc = json.loads(text)
-    assert doc["version"] == 2 and doc["indexedAt"] == "2026-01-01T00:00:00.000Z" and "loc" not in next(n for n in doc["nodes"] if n["id"] == "route:/help")
-    (tmp_path / "g.json").write_text(text)
-    (tmp_path / "old.json").write_text(json.dumps(doc | {"version": 1}))
-    back = store.read_graph_json(spark, str(tmp_path))
+    folder = f"{tmp_path}/graph"
+    store.write_graph_json(shop(spark), folder, "r", F.lit("2026-01-01 00:00:00").cast("timestamp"), rows=4)
+    docs = [json.loads(line) for part in (tmp_path / "graph").glob("part-*") for line in part.read_text().splitlines()]
+    assert len(docs) > 4 and all(d["version"] == 2 and d["indexedAt"] == "2026-01-01T00:00:00.000Z" for d in docs)
+    assert "loc" not in next(n for d in docs for n in d.get("nodes", []) if n["id"] == "route:/help")
+    (tmp_path / "graph" / "old.json").write_text(json.dumps(docs[0] | {"version": 1}))
+    back = store.read_graph_json(spark, folder)
     assert back.nodes.count() == 17 and back.edges.count() == 15
 
 
@@ -50,6 +51,15 @@ def test_git(spark, tmp_path):
     assert row["branch"] == row["main_branch"] == "main" and row["head"] == row["main_head"]
 
 
+def test_git_sidecar_and_metrics(spark, tmp_path):
+    state = spark.createDataFrame([("main", "h", None, None)], "branch string, head string, main_branch string, main_head string")
+    path = f"{tmp_path}/git"
+    assert [store.save_git_state(state, path), store.save_git_state(state, path), store.save_git_state(state.withColumn("head", F.lit("i")), path)] == [True, False, True]
+    store.append_metrics(state.select("head"), f"{tmp_path}/m")
+    store.append_metrics(state.select("head"), f"{tmp_path}/m")
+    assert store.read_metrics(spark, f"{tmp_path}/m", "head string").count() == 2
+
+
 def test_markdown(spark):
     full = "\n".join(f"# {s}\nx" for s in store.SECTIONS)
     rows = [("plain", "plain", 7), ("```markdown\n# Screen Type\nLogin\n```", "# Screen Type\nLogin", 6), (full, full, 0), ("  # Layout \n", "# Layout", 6)]
