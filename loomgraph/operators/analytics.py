@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.paths import same_shape, segments  # noqa: F401
 from loomgraph.operators import traverse as walk
 from loomgraph.schema import Graph
 from loomgraph.scratch import Scratch
@@ -47,10 +48,6 @@ def dead_code(graph: Graph) -> DataFrame:
     return _without_in(graph, _own(graph), "renders", "routes_to").select("id", "type").unionByName(_without_in(graph, hooks, "uses").select("id", "type"))
 
 
-def segments(path: Column) -> Column:
-    return F.filter(F.split(path, "/"), lambda x: x != "")
-
-
 def called_apis(graph: Graph) -> DataFrame:
     """Apis with a caller. [JON-03]"""
     return _with_in(graph, graph.nodes.where(F.col("type") == "api"), "calls")

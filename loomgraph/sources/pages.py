@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.paths import normalize_route, to_pathname
+from loomgraph.functions.paths import normalize_route, same_shape, segments, to_pathname
 
 #: Elements that a shape needs, hex digits that it keeps.
 LEAST_ELEMENTS, SHAPE_DIGITS = 4, 12
@@ -37,10 +37,9 @@ def canonical_routes(targets: DataFrame, routes: DataFrame) -> DataFrame:
 
     Routes meet targets of as many segments whose literal first segment agrees, so that no two tables are crossed.
     """
-    segs = lambda c: F.filter(F.split(c, "/"), lambda x: x != "")
-    t = targets.select("target").distinct().withColumn("a", segs("target")).withColumn("exact", F.col("target"))
-    r = routes.select("route").distinct().withColumn("b", segs("route"))
-    agree = F.forall(F.zip_with("a", "b", lambda x, y: (x == y) | x.startswith(":") | y.startswith(":")), lambda x: x)
+    t = targets.select("target").distinct().withColumn("a", segments(F.col("target"))).withColumn("exact", F.col("target"))
+    r = routes.select("route").distinct().withColumn("b", segments(F.col("route")))
+    agree = same_shape(F.col("a"), F.col("b"))
     same = t.join(r.select(F.col("route").alias("exact"), F.lit(True).alias("hit")), "exact", "left")
     key = lambda s: F.when(F.size(s) == 0, "").when(F.get(s, F.lit(0)).startswith(":"), "*").otherwise(F.get(s, F.lit(0)))
     miss = same.where(F.col("hit").isNull()).withColumn("n", F.size("a"))
