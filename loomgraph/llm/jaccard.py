@@ -18,7 +18,7 @@ WIDTH, PERCENT = 5, 80
 #: ones up to FREQUENT_MOST, which bounds what is broadcast (16 bytes each). The order affects speed, never the result.
 FREQUENT_LEAST, FREQUENT_MOST = 8, 500_000
 #: Shingles that occur twice within so many bytes of text are counted; of the others one in SPARSE is, for SPARSE.
-FREQUENT_BYTES, SPARSE = 6 << 20, 64
+FREQUENT_BYTES, SPARSE = 4 << 20, 64
 #: Ids broadcast at most; beyond, the join is shuffled.
 BROADCAST_IDS = 1_000_000
 #: Partners that one task compares with a set, about.
