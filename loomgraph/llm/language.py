@@ -192,15 +192,17 @@ def _words(text: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     keep = np.array([bool(v) for v in values], bool)[codes] if len(codes) else np.zeros(0, bool)
     before = np.concatenate([[0], np.cumsum(keep)])
     codes, bounds = codes[keep], before[bounds]
-    if any(len(v) > PIECE for v in values):
-        parts = [[v[i : i + PIECE] for i in range(0, len(v), PIECE)] or [v] for v in values]
-        number = {p: i for i, p in enumerate(dict.fromkeys(p for ps in parts for p in ps))}
-        flat = np.array([number[p] for ps in parts for p in ps], np.int64)
-        size = np.array([len(ps) for ps in parts])
-        at, each = np.cumsum(size) - size, size[codes]
+    long = [i for i, v in enumerate(values) if len(v) > PIECE]
+    if long:
+        n = len(values)
+        parts = [[values[i][j : j + PIECE] for j in range(0, len(values[i]), PIECE)] for i in long]
+        values = [v[:PIECE] for v in values] + [p for ps in parts for p in ps]
+        at, size = np.arange(n), np.ones(n, np.int64)
+        size[long] = [len(ps) for ps in parts]
+        at[long] = n + np.cumsum(size[long]) - size[long]
+        each = size[codes]
         done = np.concatenate([[0], np.cumsum(each)])
-        codes = flat[np.repeat(at[codes] - done[:-1], each) + np.arange(done[-1])]
-        values, bounds = list(number), done[bounds]
+        codes, bounds = np.repeat(at[codes] - done[:-1], each) + np.arange(done[-1]), done[bounds]
     return values, codes, bounds
 
 
