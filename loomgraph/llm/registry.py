@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from loomgraph.llm.centroids import OP12_SQL, op12_centroids
 from loomgraph.llm.decontaminate import OP13_SQL, op13_decontamination
 from loomgraph.llm.fingerprint import op6_fingerprints
 from loomgraph.llm.html import op5_html
@@ -14,5 +15,5 @@ from loomgraph.llm.secrets import op7_secrets
 from loomgraph.llm.toxicity import op1_toxicity
 from loomgraph.llm.warc import op4_warc
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_language, op4_warc, op5_html, op6_fingerprints, op7_secrets, op8_quality, op9_mixing, op10_jaccard, op13_decontamination)}
-ORACLE_SQL = {"op8_quality": OP8_SQL, "op10_jaccard": OP10_SQL, "op13_decontamination": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_language, op4_warc, op5_html, op6_fingerprints, op7_secrets, op8_quality, op9_mixing, op10_jaccard, op12_centroids, op13_decontamination)}
+ORACLE_SQL = {"op8_quality": OP8_SQL, "op10_jaccard": OP10_SQL, "op12_centroids": OP12_SQL, "op13_decontamination": OP13_SQL}
