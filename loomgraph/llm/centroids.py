@@ -97,7 +97,7 @@ def first_centroids(vectors: DataFrame, id_column: str, column: str, k: int, see
     """The k vectors with the smallest hexadecimal SHA-256 of `<seed>:<id>`, in that order; of one id's, by the vector. k rows come to the driver."""
     name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.lit("")))
     rows = vectors.select(F.sha2(name.cast("binary"), 256).alias("h"), F.col(column).cast("array<double>").alias("v")).orderBy("h", "v").limit(k).collect()
-    return scaled(np.array([r["v"] for r in rows], dtype=np.float64).reshape(len(rows), -1)).astype(object)
+    return scaled(np.array([r["v"] for r in rows], dtype=np.float64).reshape(len(rows), -1 if rows else 0)).astype(object)
 
 
 def cut(vectors: DataFrame, id_column: str, column: str, dimensions: int, block: int) -> DataFrame:
