@@ -11,7 +11,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators import analytics, features, ledger, lookup, temporal
+from loomgraph.operators import analytics, features, ledger, labels, lookup, temporal
 from loomgraph.plans import report
 from loomgraph.schema import USAGE, Graph
 from loomgraph.sources import code, store
@@ -75,7 +75,7 @@ class Engine:
     @_counted("match")
     def match_ui(self, element: str) -> str:
         """[API-05]"""
-        return report.table(lookup.match_ui(self.graph(), element))
+        return report.table(labels.match_labels(self.graph(), self.spark.createDataFrame([(element,)], "label string")).orderBy("place").select("id", "type", "score"))
 
     @_counted("blueprint")
     def blueprint(self, markdown: str) -> str:

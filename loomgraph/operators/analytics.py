@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.paths import same_shape, segments  # noqa: F401
 from loomgraph.operators import traverse as walk
+from loomgraph.operators.spread import bit_names, how_many, per_start, pushed, set_bits
 from loomgraph.schema import Graph
-from loomgraph.scratch import Scratch
 
 #: Files whose components a framework calls, thresholds, and the points and cap of each penalty.
 FRAMEWORK_ENTRY = ("page", "layout", "template", "error", "loading", "not-found", "global-error", "default", "middleware", "_app", "_document")
@@ -123,22 +123,61 @@ def risk(routes: Column, total: Column) -> Column:
     return F.when((routes >= 3) | (total >= 20), "High").when((routes >= 1) | (total >= 6), "Medium").otherwise("Low")
 
 
+def _together(parts: list[DataFrame], ddl: str, graph: Graph) -> DataFrame:
+    """Rows of all blocks of starts."""
+    out = None
+    for part in parts:
+        out = part if out is None else out.unionByName(part)
+    return graph.nodes.sparkSession.createDataFrame([], ddl) if out is None else out
+
+
+def dependents_by_type(graph: Graph, targets: DataFrame) -> DataFrame:
+    """root, type and n: how many of each type depend on each target. [AGG-01]"""
+    parts = []
+    for found in walk.target_bits(graph, targets):
+        typed = found.nodes.select(F.col("node").alias("id"), *found.bits()).join(graph.nodes.select("id", "type"), "id")
+        parts.append(per_start(typed, found, ["type"]).select(F.col("start").alias("root"), "type", "n"))
+    return _together(parts, "root string, type string, n long", graph)
+
+
 def impact(graph: Graph, targets: DataFrame) -> DataFrame:
-    """Per target: how many of each type depend on it, apis and contexts in their reach, the risk and the size of a change. [AGG-01, AGG-02, API-22]"""
-    found = walk.dependents(graph, targets)
-    per = found.groupBy("root").agg(F.count(F.lit(1)).alias("n_dependents"), F.count_if(F.col("type") == "route").alias("n_routes"), F.count_if(F.col("type") == "component").alias("n_components"), F.count_if(F.col("type") == "file").alias("n_files"))
-    touched = found.select("root", "id").unionByName(targets.select(F.col("id").alias("root"), "id"))
-    used = touched.join(walk.of_kinds(graph, "calls", "uses"), F.col("id") == F.col("src")).groupBy("root").agg(F.count_distinct(F.when(F.col("kind") == "calls", F.col("dst"))).alias("n_apis"), F.count_distinct(F.when(F.col("kind") == "uses", F.col("dst"))).alias("n_contexts"))
-    rows = targets.select(F.col("id").alias("root")).distinct().join(per, "root", "left").join(used, "root", "left").na.fill(0)
+    """Per target: how many of each type depend on it, apis, contexts and channels in their reach, the risk and the size of a change. [AGG-01, AGG-02, API-22]
+
+    A node's row has a bit for each target that it depends on, so one walk serves a block of targets. What is in reach is one step
+    on: the bits of an api are those of all that call it.
+    """
+    parts, contexts = [], graph.nodes.where(F.col("type") == "context").select(F.col("id").alias("dst"))
+    for found in walk.target_bits(graph, targets):
+        typed = found.nodes.select(F.col("node").alias("id"), *found.bits()).join(graph.nodes.select("id", "type"), "id")
+        counts = {"n_dependents": F.lit(1), **{f"n_{t}s": (F.col("type") == t).cast("long") for t in ("route", "component", "file")}}
+        per = per_start(typed, found, ["type"]).groupBy("start").agg(*[F.sum(c * F.col("n")).alias(n) for n, c in counts.items()])
+        # a dependent that is no node leads no further and counts for nothing
+        touched = found.nodes.select(F.col("node").alias("src"), *found.bits(own=True)).join(graph.nodes.select(F.col("id").alias("src")).unionByName(found.starts.select(F.col("start").alias("src"))).distinct(), "src", "left_semi")
+        used = touched.join(walk.of_kinds(graph, "calls", "uses", "invokes").select("src", "dst", "kind"), "src")
+        ends = used.groupBy("dst", "kind").agg(*[F.bit_or(c).alias(c) for c in bit_names(found.words)])
+        ends = ends.where("kind != 'uses'").unionByName(ends.where("kind = 'uses'").join(contexts, "dst", "left_semi"))
+        reach = per_start(ends, found, ["kind"]).groupBy("start").agg(*[F.sum((F.col("kind") == k).cast("long") * F.col("n")).alias(n) for n, k in (("n_apis", "calls"), ("n_contexts", "uses"), ("n_channels", "invokes"))])
+        parts.append(found.starts.select("start").join(per, "start", "left").join(reach, "start", "left").withColumnRenamed("start", "root").na.fill(0))
+    names = ("n_dependents", "n_routes", "n_components", "n_files", "n_apis", "n_contexts", "n_channels")
+    rows = _together(parts, "root string, " + ", ".join(f"{n} long" for n in names), graph).select("root", *names)
     size = F.when((F.col("n_dependents") > 15) | (F.col("n_routes") >= 3), "L").when(F.col("n_dependents") >= 5, "M").otherwise("S")
     return rows.withColumns({"risk": risk(F.col("n_routes"), F.col("n_dependents")), "complexity": size})
 
 
+def route_counts(graph: Graph, ids: DataFrame, by: str = "id") -> DataFrame:
+    """id and routes: how many routes (told apart by id or name) lead to each of the ids that any leads to. One row a node and block of routes."""
+    parts = []
+    for found in walk.route_bits(graph, by):
+        rows = found.nodes.select(F.col("node").alias("id"), *found.bits()).join(ids.select("id"), "id", "left_semi")
+        parts.append(rows.select("id", how_many(found.words).alias("routes")).where("routes > 0"))
+    return _together(parts, "id string, routes long", graph).groupBy("id").agg(F.sum("routes").alias("routes"))
+
+
 def heatmap(graph: Graph, limit: int = HEAT_LIMIT) -> DataFrame:
     """The components rendered from most places, with the routes that reach them and their stars. [AGG-07, SCL-14]"""
     components = graph.nodes.where(F.col("type") == "component").select("id")
     top = walk.of_kinds(graph, "renders", "routes_to").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("renderers")).join(components, "id", "left_semi").orderBy(F.desc("renderers"), "id").limit(limit)
-    reached = walk.route_ancestors(graph).join(top.select("id"), "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("routes"))
+    reached = route_counts(graph, top)
     stars = F.least(F.lit(5), 1 + F.floor(F.col("renderers") / 3)).cast("int")
     return top.join(reached, "id", "left").select("id", "renderers", F.coalesce("routes", F.lit(0)).alias("routes"), F.repeat(F.lit("★"), stars).alias("stars"))
 
@@ -164,13 +203,25 @@ def route_links(graph: Graph, trees: DataFrame | None = None) -> DataFrame:
 
 
 def route_risk(graph: Graph) -> DataFrame:
-    """Per route: nodes and components of its subtree, apis called in it, links to other routes, and the risk of changing it."""
-    trees = Scratch(graph.nodes.sparkSession, "trees").save(walk.route_subtrees(graph))
-    tree = trees.join(graph.nodes.select("id", "type"), "id")
-    per = tree.groupBy("route").agg(F.count(F.lit(1)).alias("n_nodes"), F.count_if(F.col("type") == "component").alias("n_components"))
-    apis = route_apis(graph, trees).groupBy("route").agg(F.count(F.lit(1)).alias("n_apis"))
-    links = route_links(graph, trees).groupBy(F.col("dst").alias("route")).agg(F.count(F.lit(1)).alias("n_links"))
-    rows = per.join(apis, "route", "left").join(links, "route", "left").na.fill(0)
+    """Per route: nodes and components of its subtree, apis called in it, links to other routes, and the risk of changing it.
+
+    Subtrees are bits; apis and links take the bits of what calls or navigates to them.
+    """
+    types, parts, links = graph.nodes.select("id", "type"), [], []
+    routes = types.where(F.col("type") == "route").select("id")
+    for found in walk.subtree_bits(graph):
+        tree = found.nodes.select(F.col("node").alias("id"), *found.bits(own=True)).join(types, "id")
+        per = per_start(tree, found, ["type"]).groupBy("start").agg(F.sum("n").alias("n_nodes"), F.sum(F.when(F.col("type") == "component", F.col("n")).otherwise(0)).alias("n_components"))
+        inside = tree.select(F.col("id").alias("src"), *bit_names(found.words))
+        apis = per_start(pushed(inside.join(walk.of_kinds(graph, "calls").select("src", "dst"), "src"), found.words, "dst"), found, [], {"n_apis": F.lit(1)})
+        parts.append(per.join(apis, "start", "left").select(F.col("start").alias("route"), "n_nodes", "n_components", F.coalesce("n_apis", F.lit(0)).alias("n_apis")))
+        into = inside.join(walk.of_kinds(graph, "navigates_to").select("src", "dst").join(routes.withColumnRenamed("id", "dst"), "dst", "left_semi"), "src")
+        hit = pushed(into, found.words, "dst")
+        links.append(hit.select(F.explode(set_bits(found.words)).alias("bit"), "dst").join(F.broadcast(found.starts), "bit").select(F.col("start").alias("src"), "dst"))
+    own = walk.of_kinds(graph, "navigates_to").join(routes.withColumnRenamed("id", "src"), "src", "left_semi").join(routes.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
+    pairs = _together([*links, own], "src string, dst string", graph).where("src != dst").distinct()
+    count = pairs.groupBy(F.col("dst").alias("route")).agg(F.count(F.lit(1)).alias("n_links"))
+    rows = _together(parts, "route string, n_nodes long, n_components long, n_apis long", graph).join(count, "route", "left").na.fill(0)
     return rows.withColumn("risk", risk(F.col("n_links"), F.col("n_links") + F.col("n_apis")))
 
 
@@ -182,16 +233,20 @@ def what_if_remove(graph: Graph, targets: DataFrame) -> DataFrame:
     broken = direct.groupBy("root").agg(F.count(F.lit(1)).alias("n_direct"))
     own = goal.join(nodes, F.col("root") == F.col("id")).select("root", "file")
     files = direct.select("root", "file").unionByName(own).where(F.col("file").isNotNull() & (F.col("file") != "")).groupBy("root").agg(F.count_distinct("file").alias("n_files"))
-    found = walk.dependents(graph, targets)
-    per = found.groupBy("root").agg(F.count(F.lit(1)).alias("n_dependents"), F.count_if(F.col("type") == "component").alias("n_components"), F.count_distinct(F.when(F.col("type") == "route", F.col("name"))).alias("n_routes"))
     # safe are all routes of a file but those hit: as many as there are, less the hit ones of such a name
     shown = nodes.where((F.col("type") == "route") & F.col("file").isNotNull()).groupBy("name").agg(F.count(F.lit(1)).alias("k"))
-    hit = found.where(F.col("type") == "route").select("root", "name").distinct().join(shown, "name").groupBy("root").agg(F.sum("k").alias("n_hit"))
-    every = int(shown.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0])
-    rows = goal
-    for part in (broken, files, per, hit):
-        rows = rows.join(part, "root", "left")
-    rows = rows.na.fill(0).withColumn("n_safe_routes", F.lit(every).cast("long") - F.col("n_hit")).drop("n_hit")
+    every = shown.agg(F.coalesce(F.sum("k"), F.lit(0)).cast("long").alias("every"))
+    parts = []
+    for found in walk.target_bits(graph, targets):
+        typed = found.nodes.select(F.col("node").alias("id"), *found.bits()).join(nodes.select("id", "type", "name"), "id")
+        per = per_start(typed, found, ["type"]).groupBy("start").agg(F.sum("n").alias("n_dependents"), F.sum(F.when(F.col("type") == "component", F.col("n")).otherwise(0)).alias("n_components"))
+        # a name has the bits of all routes that bear it
+        named = pushed(typed.where(F.col("type") == "route"), found.words, "name").join(shown, "name", "left").withColumn("k", F.coalesce("k", F.lit(0)))
+        hit = per_start(named, found, [], {"n_routes": F.lit(1), "n_hit": F.col("k")})
+        parts.append(per.join(hit, "start", "left").withColumnRenamed("start", "root"))
+    counted = _together(parts, "root string, n_dependents long, n_components long, n_routes long, n_hit long", graph)
+    rows = goal.join(broken, "root", "left").join(files, "root", "left").join(counted, "root", "left").na.fill(0).join(F.broadcast(every))  # one row
+    rows = rows.withColumn("n_safe_routes", F.col("every") - F.col("n_hit")).drop("n_hit", "every")
     return rows.withColumn("risk", risk(F.col("n_routes"), F.col("n_dependents")))
 
 
@@ -245,8 +300,7 @@ def state_placement(graph: Graph, types: tuple[str, ...] = ("context", "hook"))
     """Per state node: consumers, routes they are on, and where the state belongs. [AGG-16]"""
     states = graph.nodes.where(F.col("type").isin(*types)).select("id")
     consumers = walk.of_kinds(graph, "uses").join(graph.nodes.select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("consumers"))
-    names = graph.nodes.where(F.col("type") == "route").select(F.col("id").alias("route"), "name")
-    routes = walk.route_ancestors(graph).join(states, "id", "left_semi").join(names, "route").groupBy("id").agg(F.count_distinct("name").alias("routes"))
+    routes = route_counts(graph, states, "name")
     rows = states.join(consumers, "id", "left").join(routes, "id", "left").na.fill(0)
     return rows.withColumn("placement", F.when(F.col("consumers") <= 1, "local").when(F.col("routes") <= 1, "lift").otherwise("context"))
 
@@ -287,6 +341,13 @@ def api_flow(graph: Graph, most_callers: int = 8, most_routes: int = 3) -> DataF
     """api, caller and route: the first callers of each api and the first routes that lead to them. [TRV-12, WIN-07]"""
     calls = walk.of_kinds(graph, "calls").select(F.col("dst").alias("api"), F.col("src").alias("caller"))
     calls = calls.withColumn("k", F.row_number().over(Window.partitionBy("api").orderBy("caller"))).where(F.col("k") <= most_callers).drop("k")
-    routes = walk.route_ancestors(graph).withColumnRenamed("id", "caller").join(calls.select("caller").distinct(), "caller", "left_semi")
-    routes = routes.withColumn("k", F.row_number().over(Window.partitionBy("caller").orderBy("route"))).where(F.col("k") <= most_routes).drop("k")
+    asked, parts = calls.select(F.col("caller").alias("node")).distinct(), []
+    for found in walk.route_bits(graph):
+        # bits are numbered by id, so the lowest ones set are the first routes
+        lowest = F.slice(set_bits(found.words), 1, most_routes)
+        rows = found.nodes.join(asked, "node", "left_semi").select("node", *found.bits()).select(F.col("node").alias("caller"), F.explode(lowest).alias("bit"))
+        parts.append(rows.join(F.broadcast(found.starts), "bit").select("caller", F.col("start").alias("route")))
+    routes = _together(parts, "caller string, route string", graph)
+    if len(parts) > 1:
+        routes = routes.withColumn("k", F.row_number().over(Window.partitionBy("caller").orderBy("route"))).where(F.col("k") <= most_routes).drop("k")
     return calls.join(routes, "caller").select("api", "caller", "route")

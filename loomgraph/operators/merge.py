@@ -46,12 +46,6 @@ def normalize_roles(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("role", F.coalesce("role", role) if "role" in nodes.columns else role)
 
 
-def in_order(graph: Graph) -> Graph:
-    """Nodes by id and edges by (src, kind, dst), in the Unicode root collation. [PRV-08, SRT-01]"""
-    order = [F.collate(c, "UNICODE") for c in ("src", "kind", "dst")]
-    return Graph(graph.nodes.orderBy(F.collate("id", "UNICODE")), graph.edges.orderBy(*order))
-
-
 def counts(graph: Graph) -> DataFrame:
     """One row: nodes of each type, edges and edges of low confidence. [PRV-09, AGG-34]"""
     by_type = graph.nodes.agg(*[F.count_if(F.col("type") == t).alias(f"n_{t}") for t in NODE_TYPES], F.count(F.lit(1)).alias("n_nodes"))

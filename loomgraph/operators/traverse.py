@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.spread import Reached, set_bits, spread
 from loomgraph.schema import Graph
 from loomgraph.scratch import Scratch
 
@@ -48,11 +51,41 @@ def route_subtrees(graph: Graph) -> DataFrame:
     return found.select(F.col("root").alias("route"), F.col("node").alias("id")).join(graph.nodes.select("id"), "id", "left_semi")
 
 
+def target_bits(graph: Graph, targets: DataFrame) -> Iterator[Reached]:
+    """What leads to each target (column id) by edges of any kind, as bits: of a node those of the targets that depend on nothing
+    less. A block of targets at a time, all of them in one walk. [TRV-02]"""
+    starts = targets.select(F.col("id").alias("start"), F.col("id").alias("node"))
+    return spread(graph.edges, starts, reverse=True, known=graph.nodes.select("id"), written=graph.written)
+
+
+def route_bits(graph: Graph, by: str = "id") -> Iterator[Reached]:
+    """What each route leads to by edges of any kind, as bits. Routes are told apart by id or by name. [TRV-12, AGG-07, AGG-16]
+
+    A walk goes on from known nodes only, as the walk back from a node does.
+    """
+    routes = graph.nodes.where(F.col("type") == "route").select(F.col(by).alias("start"), F.col("id").alias("node"))
+    return spread(graph.edges, routes, known=graph.nodes.select("id"), written=graph.written)
+
+
+def subtree_bits(graph: Graph) -> Iterator[Reached]:
+    """What each route shows, as bits: route_subtrees with one row a node. [TRV-01]"""
+    starts = of_kinds(graph, "routes_to").select(F.col("src").alias("start"), F.col("dst").alias("node"))
+    return spread(of_kinds(graph, "renders", "defines"), starts, most_rounds=SUBTREE_DEPTH, written=graph.written)
+
+
 def dependents(graph: Graph, targets: DataFrame) -> DataFrame:
-    """root, id and type of all that lead to each target (column id) by edges of any kind, itself left out. [TRV-02]"""
-    seeds = targets.select(F.col("id").alias("root"), F.col("id").alias("node")).distinct()
-    found = reach(graph.edges, seeds, reverse=True, expandable=graph.nodes.select("id").unionByName(targets.select("id")))
-    return found.where(F.col("root") != F.col("node")).select("root", F.col("node").alias("id")).join(graph.nodes.select("id", "type", "name", "file"), "id")
+    """root, id, type, name and file of all that lead to each target (column id) by edges of any kind, itself left out. [TRV-02]
+
+    A row a pair is what is asked for here; counts are taken from target_bits without it.
+    """
+    out = None
+    for found in target_bits(graph, targets):
+        rows = found.nodes.select("node", *found.bits()).select(F.col("node").alias("id"), F.explode(set_bits(found.words)).alias("bit"))
+        one = rows.join(F.broadcast(found.starts), "bit").select(F.col("start").alias("root"), "id")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        out = graph.nodes.sparkSession.createDataFrame([], "root string, id string")
+    return out.join(graph.nodes.select("id", "type", "name", "file"), "id")
 
 
 def render_subtree(graph: Graph, targets: DataFrame, depth: int = SUBTREE_DEPTH) -> DataFrame:
@@ -117,17 +150,6 @@ def journeys(links: DataFrame, start: str, rounds: int = 4, most: int = 22) -> D
     return out.orderBy("round", "src", "dst").limit(most)
 
 
-def route_ancestors(graph: Graph) -> DataFrame:
-    """route and id of every node that each route leads to by edges of any kind: dependents of type route, from the routes' side.
-
-    Where answers need only routes this walks from the routes, which are few, and not back from every node asked about.
-    """
-    routes = graph.nodes.where(F.col("type") == "route").select(F.col("id").alias("root"), F.col("id").alias("node"))
-    # back walks go on from known nodes only, their start excepted: an end without a node is reached and leads no further
-    found = reach(graph.edges.join(graph.nodes.select(F.col("id").alias("src")), "src", "left_semi"), routes)
-    return found.where(F.col("root") != F.col("node")).select(F.col("root").alias("route"), F.col("node").alias("id"))
-
-
 def _spread_least(edges: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """v, f and b: the smallest of v and all that reach it by edges (src, dst), and of v and all that it reaches.
 

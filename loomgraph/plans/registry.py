@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import paths
-from loomgraph.operators import analytics, features, ledger, lookup, merge, temporal, traverse
+from loomgraph.operators import analytics, features, labels, ledger, lookup, merge, temporal, traverse
 from loomgraph.schema import NODE_TYPES, Graph, violations
 from loomgraph.scratch import Scratch
 from loomgraph.sources import pages as page_source
@@ -83,11 +83,20 @@ def _first_part(spark: SparkSession, sf: str) -> str:
     return table(spark, sf, "part").agg(F.concat(F.lit("api:GET /part/"), F.min("p_partkey").cast("string"))).first()[0]
 
 
+_compiled: dict[tuple, Graph] = {}
+
+
 def _saved(spark: SparkSession, sf: str, **options) -> Graph:
-    """The compiled graph as written tables, which its many readers share."""
-    graph = compile_tables(spark, sf, **options)
-    scratch = Scratch(spark, "graph")
-    return Graph(scratch.save(graph.nodes), scratch.save(graph.edges))
+    """The compiled graph as written tables, once a session, folder and options: its many readers share them.
+
+    Edges lie by src, a hot one in several files, and sorted in each file, so a reader of few sources skips most of them.
+    """
+    key = (spark.sparkContext.applicationId, sf, *sorted(options.items()))
+    if key not in _compiled:
+        graph, scratch = compile_tables(spark, sf, **options), Scratch(spark, "graph")
+        edges = graph.edges.hint("rebalance", "src").sortWithinPartitions("src", "kind", "dst")
+        _compiled[key] = Graph(scratch.save(graph.nodes), scratch.save(edges), written=True)
+    return _compiled[key]
 
 
 def query(sql: str | None = None, prefix: str = GRAPH):
@@ -105,22 +114,22 @@ def query(sql: str | None = None, prefix: str = GRAPH):
 
 @query(" SELECT type, count(*) AS n FROM nodes GROUP BY type")
 def nodes_by_type(spark, sf):
-    return compile_tables(spark, sf).nodes.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    return _saved(spark, sf).nodes.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(" SELECT kind, count(*) AS n FROM edges GROUP BY kind")
 def edges_by_kind(spark, sf):
-    return compile_tables(spark, sf).edges.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return _saved(spark, sf).edges.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(" SELECT " + ", ".join(f"count(*) FILTER (WHERE type = '{t}') AS n_{t}" for t in NODE_TYPES) + ", count(*) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM edges WHERE dst LIKE 'api:GET /:%') AS n_low_confidence FROM nodes")
 def index_counts(spark, sf):
-    return merge.counts(compile_tables(spark, sf))
+    return merge.counts(_saved(spark, sf))
 
 
 @query(" SELECT type, CASE type WHEN 'route' THEN 'entry-point' WHEN 'api' THEN 'http-boundary' WHEN 'hook' THEN 'business-logic' WHEN 'context' THEN 'state' END AS role, count(*) AS n FROM nodes GROUP BY ALL")
 def normalized_roles(spark, sf):
-    return merge.normalize_roles(compile_tables(spark, sf).nodes).groupBy("type", "role").agg(F.count(F.lit(1)).alias("n"))
+    return merge.normalize_roles(_saved(spark, sf).nodes).groupBy("type", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -147,7 +156,7 @@ def node_merge_declared_wins(spark, sf):
 
 @query(" SELECT id, CASE WHEN id LIKE 'route:%' THEN 'route' ELSE 'api' END AS type, regexp_replace(id, '^(route|api):', '') AS name FROM (SELECT DISTINCT dst AS id FROM edges WHERE dst LIKE 'api:%') WHERE id NOT IN (SELECT id FROM nodes WHERE declared)")
 def repair_dangling_endpoints(spark, sf):
-    graph = compile_tables(spark, sf)
+    graph = _saved(spark, sf)
     return merge.repair(Graph(graph.nodes.where((F.col("type") != "api") | F.col("declared")), graph.edges))
 
 
@@ -169,17 +178,17 @@ def graph_invariants(spark, sf):
 
 @query(" SELECT dst, kind FROM edges WHERE src = 'nation#NATION_1'")
 def out_edges(spark, sf):
-    return lookup.out_edges(compile_tables(spark, sf), "nation#NATION_1").select("dst", "kind")
+    return lookup.out_edges(_saved(spark, sf), "nation#NATION_1").select("dst", "kind")
 
 
 @query(" SELECT src, kind FROM edges WHERE dst = 'nation#NATION_1'")
 def in_edges(spark, sf):
-    return lookup.in_edges(compile_tables(spark, sf), "nation#NATION_1").select("src", "kind")
+    return lookup.in_edges(_saved(spark, sf), "nation#NATION_1").select("src", "kind")
 
 
 @query(" SELECT dst AS id FROM edges WHERE src = 'nation#NATION_1' UNION SELECT src FROM edges WHERE dst = 'nation#NATION_1'")
 def neighbours(spark, sf):
-    return lookup.neighbours(compile_tables(spark, sf), "nation#NATION_1")
+    return lookup.neighbours(_saved(spark, sf), "nation#NATION_1")
 
 
 @query(" SELECT id, sum(o)::BIGINT AS n_out, sum(i)::BIGINT AS n_in FROM (SELECT src AS id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY id")
@@ -189,7 +198,7 @@ def node_panel_counts(spark, sf):
 
 @query(" SELECT id, name FROM nodes WHERE type = 'route'")
 def all_routes(spark, sf):
-    return lookup.routes(compile_tables(spark, sf)).select("id", "name")
+    return lookup.routes(_saved(spark, sf)).select("id", "name")
 
 
 @query(""" , s AS (SELECT id, type, CASE WHEN lower(name) = '7' OR lower(id) = '7' THEN 100 WHEN lower(id) LIKE '%#7' THEN 80 WHEN lower(id) LIKE '%/7' THEN 60 END AS score FROM nodes)
@@ -203,7 +212,7 @@ _SCORE = "CASE WHEN lower(name) = '{q}' OR lower(id) = '{q}' THEN 100 WHEN start
 
 @query(f" SELECT id, type, name, {_SCORE.format(q='brand#1')} AS score FROM nodes WHERE {_SCORE.format(q='brand#1')} > 0 ORDER BY score DESC, id LIMIT 20")
 def search_ranked(spark, sf):
-    return lookup.search(compile_tables(spark, sf), "Brand#1 ")
+    return lookup.search(_saved(spark, sf), "Brand#1 ")
 
 
 @query(""" , w AS (SELECT id FROM nodes WHERE type = 'component' AND file = 'nation'), r AS (SELECT src AS id, 0 AS side, kind, dst AS other FROM edges WHERE src IN (SELECT id FROM w) UNION ALL SELECT dst, 1, kind, src FROM edges WHERE dst IN (SELECT id FROM w)),
@@ -223,12 +232,13 @@ _UI = [("brand#1 nation", 2), ("brand", 1), ("nation", 1)]
     + ") SELECT id, sum(s)::BIGINT AS score FROM h WHERE type <> 'file' GROUP BY id HAVING sum(s) >= 60 ORDER BY score DESC, id LIMIT 5"
 )
 def ui_match_scores(spark, sf):
-    return lookup.match_ui(compile_tables(spark, sf), "Brand#1 Nation")
+    found = labels.match_labels(_saved(spark, sf), spark.createDataFrame([("Brand#1 Nation",)], "label string"))
+    return found.select("id", "score")
 
 
 @query(" SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id")
 def degree_all(spark, sf):
-    return analytics.degree(compile_tables(spark, sf))
+    return analytics.degree(_saved(spark, sf))
 
 
 @query(" , k AS (SELECT id FROM nodes WHERE type IN ('route', 'component', 'api')), e AS (SELECT * FROM edges WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)) SELECT id, count(*) AS degree FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id")
@@ -259,7 +269,7 @@ def unused_apis(spark, sf):
 
 @query(" SELECT count(*) AS n_called, count(*) FILTER (WHERE declared) AS n_declared FROM nodes WHERE type = 'api' AND id IN (SELECT dst FROM edges WHERE kind = 'calls')")
 def called_apis(spark, sf):
-    return analytics.called_apis(compile_tables(spark, sf)).agg(F.count(F.lit(1)).alias("n_called"), F.count_if("declared").alias("n_declared"))
+    return analytics.called_apis(_saved(spark, sf)).agg(F.count(F.lit(1)).alias("n_called"), F.count_if("declared").alias("n_declared"))
 
 
 @query(" SELECT id FROM nodes WHERE type = 'context' AND id NOT IN (SELECT dst FROM edges WHERE kind = 'uses') UNION ALL SELECT id FROM nodes WHERE type = 'file' AND id NOT IN (SELECT src FROM edges WHERE kind = 'imports')")
@@ -272,19 +282,19 @@ def orphan_nodes(spark, sf):
 
 @query(" SELECT id, loc FROM nodes WHERE loc >= 150")
 def large_nodes(spark, sf):
-    return analytics.large_nodes(compile_tables(spark, sf))
+    return analytics.large_nodes(_saved(spark, sf))
 
 
 @query(" SELECT name, count(*) AS n FROM (SELECT name FROM nodes WHERE type = 'component' UNION ALL SELECT p_name FROM part) GROUP BY name HAVING count(*) > 1")
 def duplicate_names(spark, sf):
-    graph = compile_tables(spark, sf)
+    graph = _saved(spark, sf)
     parts = table(spark, sf, "part").select(F.lit("component").alias("type"), F.col("p_name").alias("name"), F.lit("part").alias("file"))
     return analytics.duplicate_names(Graph(graph.nodes.select("type", "name", "file").unionByName(parts), graph.edges))
 
 
 @query(" SELECT shape, count(*) AS n, count(DISTINCT name) AS n_names FROM nodes WHERE type = 'component' AND shape <> '' GROUP BY shape HAVING count(*) > 1 AND count(DISTINCT name) > 1")
 def structural_duplicates(spark, sf):
-    return analytics.structural_duplicates(compile_tables(spark, sf))
+    return analytics.structural_duplicates(_saved(spark, sf))
 
 
 @query(
@@ -296,9 +306,9 @@ def usage_heatmap(spark, sf):
     return analytics.heatmap(_saved(spark, sf))
 
 
-@query(" SELECT dst AS id, count(*) AS consumers, count(*) >= 15 AS warning FROM edges WHERE kind = 'uses' GROUP BY dst ORDER BY consumers DESC, id LIMIT 6")
+@query(" SELECT dst AS id, count(*) AS consumers, count(*) >= 15 AS warning FROM edges WHERE kind = 'uses' AND dst IN (SELECT id FROM nodes WHERE type = 'context') GROUP BY dst ORDER BY consumers DESC, id LIMIT 6")
 def state_fanout(spark, sf):
-    return analytics.state_fanout(compile_tables(spark, sf))
+    return analytics.state_fanout(_saved(spark, sf))
 
 
 # ---- traversal --------------------------------------------------------------------------------------------------
@@ -347,14 +357,14 @@ def dependents_of(spark, sf):
 @query(_dependents(ASKED) + " SELECT root, type, count(*) AS n FROM deps GROUP BY ALL")
 def impact_by_type(spark, sf):
     graph = _saved(spark, sf)
-    return traverse.dependents(graph, _asked(graph)).groupBy("root", "type").agg(F.count(F.lit(1)).alias("n"))
+    return analytics.dependents_by_type(graph, _asked(graph))
 
 
 @query(
     _dependents(ASKED)
     + """, p AS (SELECT goal.id AS root, count(deps.id) AS n_dependents, count(deps.id) FILTER (WHERE type = 'route') AS n_routes, count(deps.id) FILTER (WHERE type = 'component') AS n_components, count(deps.id) FILTER (WHERE type = 'file') AS n_files FROM goal LEFT JOIN deps ON root = goal.id GROUP BY goal.id),
-t AS (SELECT root, id FROM deps UNION SELECT id, id FROM goal), u AS (SELECT root, count(DISTINCT e.dst) FILTER (WHERE kind = 'calls') AS n_apis, count(DISTINCT e.dst) FILTER (WHERE kind = 'uses') AS n_contexts FROM t JOIN edges e ON e.src = t.id GROUP BY root)
-SELECT p.*, coalesce(n_apis, 0) AS n_apis, coalesce(n_contexts, 0) AS n_contexts, """
+t AS (SELECT root, id FROM deps UNION SELECT id, id FROM goal), u AS (SELECT root, count(DISTINCT e.dst) FILTER (WHERE kind = 'calls') AS n_apis, count(DISTINCT e.dst) FILTER (WHERE kind = 'uses' AND e.dst IN (SELECT id FROM nodes WHERE type = 'context')) AS n_contexts, count(DISTINCT e.dst) FILTER (WHERE kind = 'invokes') AS n_channels FROM t JOIN edges e ON e.src = t.id GROUP BY root)
+SELECT p.*, coalesce(n_apis, 0) AS n_apis, coalesce(n_contexts, 0) AS n_contexts, coalesce(n_channels, 0) AS n_channels, """
     + _RISK.format(r="n_routes", d="n_dependents")
     + " AS risk, CASE WHEN n_dependents > 15 OR n_routes >= 3 THEN 'L' WHEN n_dependents >= 5 THEN 'M' ELSE 'S' END AS complexity FROM p LEFT JOIN u USING (root)"
 )
@@ -409,7 +419,7 @@ def journey_tree(spark, sf):
 
 @query(" SELECT id, CASE WHEN i AND NOT h THEN 'dangling' ELSE 'orphan' END AS gap FROM (SELECT id, id IN (SELECT dst FROM edges WHERE kind = 'invokes') AS i, id IN (SELECT dst FROM edges WHERE kind = 'handles') AS h FROM nodes WHERE type = 'channel') WHERE i <> h")
 def channel_gaps(spark, sf):
-    return analytics.channel_gaps(compile_tables(spark, sf))
+    return analytics.channel_gaps(_saved(spark, sf))
 
 
 _CYCLES = """, se AS (SELECT src AS s, dst AS t FROM edges WHERE kind = 'imports'), r(s, t) AS (SELECT s, t FROM se UNION SELECT r.s, se.t FROM r JOIN se ON r.t = se.s),

@@ -13,20 +13,20 @@ from loomgraph.plans.registry import _FEATURE, _FLOW, _LINKS, _USAGE, CUT, FIRST
 from loomgraph.schema import Graph
 from loomgraph.scratch import Scratch
 from loomgraph.sources import code, store
-from loomgraph.sources.tabular import compile_tables, table
+from loomgraph.sources.tabular import table
 from loomgraph.streaming import jobs
 
 # ---- text -------------------------------------------------------------------------------------------------------
 
 #: Descriptions of parts in Markdown: a fence around some, sections that some lack, marked names.
-_NOTES = r"""WITH d AS (SELECT p_partkey AS k, (CASE WHEN p_size % 3 = 0 THEN '```markdown' || chr(10) ELSE '  ' END) || '# Screen Type' || chr(10) || 'A **' || p_name || '** in `' || p_brand || '`' || chr(10) || (CASE WHEN p_size % 2 = 0 THEN '# Components ' || chr(10) || '- "' || p_type || '" and **' || upper(p_name) || '**' || chr(10) ELSE '## Layout' || chr(10) END) || (CASE WHEN p_size % 3 = 0 THEN '```' || chr(10) ELSE '' END) AS text FROM part) """
+_NOTES = r"""WITH d AS (SELECT p_partkey AS k, (CASE WHEN p_size % 3 = 0 THEN '```markdown' || chr(10) ELSE '  ' END) || '# Screen Type' || chr(10) || 'A **' || p_name || '** in `' || p_brand || '`' || chr(10) || (CASE WHEN p_size % 2 = 0 THEN '# Components' || chr(10) || '- **' || upper(p_name) || '**: the top bar' || chr(10) || '* ' || p_type || ' — chosen' || chr(10) || '- ' || p_name || ' (again)' || chr(10) || '- "' || p_brand || '" is no name' || chr(10) || '# Layout' || chr(10) || '- Not one: of them' || chr(10) ELSE '## Layout' || chr(10) END) || (CASE WHEN p_size % 3 = 0 THEN '```' || chr(10) ELSE '' END) AS text FROM part) """
 
 
 def _notes(spark: SparkSession, sf: str) -> DataFrame:
     third, even = F.col("p_size") % 3 == 0, F.col("p_size") % 2 == 0
     text = F.concat(
         F.when(third, "```markdown\n").otherwise("  "), F.lit("# Screen Type\nA **"), "p_name", F.lit("** in `"), "p_brand", F.lit("`\n"),
-        F.when(even, F.concat(F.lit('# Components \n- "'), "p_type", F.lit('" and **'), F.upper("p_name"), F.lit("**\n"))).otherwise("## Layout\n"), F.when(third, "```\n").otherwise(""),
+        F.when(even, F.concat(F.lit("# Components\n- **"), F.upper("p_name"), F.lit("**: the top bar\n* "), "p_type", F.lit(" — chosen\n- "), "p_name", F.lit(' (again)\n- "'), "p_brand", F.lit('" is no name\n# Layout\n- Not one: of them\n'))).otherwise("## Layout\n"), F.when(third, "```\n").otherwise(""),
     )
     return table(spark, sf, "part").select(F.col("p_partkey").alias("k"), text.alias("text"))
 
@@ -57,8 +57,8 @@ def ui_candidates(spark, sf):
 @query(
     _NOTES
     + _CANDIDATES
-    + r""" SELECT k AS doc_id, CAST(unnest([1, 2]) AS INT) AS place, unnest([regexp_extract(text, '- "([^"]+)"', 1), regexp_extract(text, 'and \*\*([^*]+)\*\*', 1)]) AS name FROM d WHERE contains(text, '# Components ')
-UNION ALL SELECT k, CAST(row_number() OVER (PARTITION BY k ORDER BY p) AS INT), name FROM u JOIN d USING (k) WHERE NOT contains(text, '# Components ')""",
+    + r""" SELECT k AS doc_id, CAST(unnest([1, 2]) AS INT) AS place, unnest([regexp_extract(text, '- \*\*([^*]+)\*\*', 1), regexp_extract(text, '\n\* (.*) — chosen', 1)]) AS name FROM d WHERE contains(text, '# Components')
+UNION ALL SELECT k, CAST(row_number() OVER (PARTITION BY k ORDER BY p) AS INT), name FROM u JOIN d USING (k) WHERE NOT contains(text, '# Components')""",
     prefix="",
 )
 def component_names(spark, sf):
@@ -285,7 +285,7 @@ def metrics_history(spark, sf):
 def carried_over_edges(spark, sf):
     """[PRV-11, PRV-12]"""
     dirty = table(spark, sf, "supplier").where("s_acctbal < 0").select(F.concat(F.lit("supplier/"), F.col("s_suppkey").cast("string")).alias("path"))
-    return temporal.carried_over(compile_tables(spark, sf).edges, dirty).select("src", "kind", "dst")
+    return temporal.carried_over(_saved(spark, sf).edges, dirty).select("src", "kind", "dst")
 
 
 @query(

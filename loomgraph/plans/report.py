@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.paths import mermaid_id
-from loomgraph.operators import analytics, ledger, lookup, temporal, traverse
+from loomgraph.operators import analytics, labels, ledger, lookup, temporal, traverse
 from loomgraph.schema import Graph
 
 #: Rows shown and nodes drawn at most.
@@ -110,17 +110,12 @@ def explain(graph: Graph, target: str) -> str:
     return "\n\n".join([f"# {target}", *body, "## Advice", table(advice)])
 
 
-def blueprint(graph: Graph, labels: list[str], most: int = 15) -> str:
+def blueprint(graph: Graph, names: list[str]) -> str:
     """Labels of a sketch matched to nodes, and the route that most of them are on. [AGG-19]"""
-    rows, votes = [], {}
-    for label in labels[:most]:
-        hit = lookup.match_ui(graph, label).first()
-        routes = [] if hit is None else [r["id"] for r in traverse.dependents(graph, graph.nodes.where(F.col("id") == hit["id"])).where(F.col("type") == "route").orderBy("id").collect()]
-        rows.append(f"| {label} | {hit['id'] if hit else '-'} | {', '.join(routes)} |")
-        for r in routes:
-            votes[r] = votes.get(r, 0) + 1
-    best = max(votes, key=votes.get) if votes else "-"
-    return "\n".join([f"# Blueprint: {best}", "", "| label | node | routes |", "|-|-|-|", *rows])
+    asked = graph.nodes.sparkSession.createDataFrame([("screen", i, x) for i, x in enumerate(names)], "screen string, place int, label string")
+    elements, screens = labels.blueprint(graph, asked)
+    top = screens.first()
+    return "\n".join([f"# Blueprint: {(top and top['route']) or '-'}", "", table(elements.orderBy("place").select("label", "id", "n_routes"))])
 
 
 def analysis(graph: Graph) -> str:

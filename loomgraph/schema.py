@@ -22,10 +22,11 @@ EDGE_KINDS = ("imports", "defines", "renders", "routes_to", "navigates_to", "use
 
 @dataclass(frozen=True)
 class Graph:
-    """nodes: at least id, type, name; edges: at least src, dst, kind."""
+    """nodes: at least id, type, name; edges: at least src, dst, kind. written: both are tables, so reading them again is cheap."""
 
     nodes: DataFrame
     edges: DataFrame
+    written: bool = False
 
 
 def complete(df: DataFrame, ddl: str) -> DataFrame:

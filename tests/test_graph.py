@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import paths
-from loomgraph.operators import analytics, features, ledger, lookup, merge, temporal, traverse
+from loomgraph.operators import analytics, features, labels, ledger, lookup, merge, order, temporal, traverse
 from loomgraph.schema import Graph, violations
 from tests.graphs import SHORT, names, shop
 
@@ -62,14 +62,14 @@ def test_links_and_simulations(spark, graph):
     assert (SHORT["useCart"], SHORT["CartCtx"]) in flow and (SHORT["CartList"], "api:POST /orders") in flow
 
 
-def test_lookup(graph):
+def test_lookup(spark, graph):
     assert [(r["id"], r["rank"]) for r in lookup.resolve(graph, "CartPage").collect()] == [(SHORT["CartPage"], 1000)]
     assert [r["id"] for r in lookup.resolve(graph, "/cart").collect()] == ["route:/cart"]
     assert [r["id"] for r in lookup.resolve(graph, "artl").collect()] == [SHORT["CartList"]]
     hits = [(r["name"], r["score"]) for r in lookup.search(graph, "cart").collect()]
     assert {n for n, s in hits if s == 80} == {"CartPage", "CartList", "CartCtx"} and {n for n, s in hits if s == 60} == {"/cart", "useCart"}
     assert names(lookup.neighbours(graph, SHORT["CartList"])) == {"CartPage", "Button", "useCart", "POST /orders"}
-    assert lookup.match_ui(graph, "Cart List").first()["id"] == SHORT["CartList"]
+    assert labels.match_labels(graph, spark.createDataFrame([("Cart List",)], "label string")).orderBy("place").first()["id"] == SHORT["CartList"]
     first = lookup.relations(graph, graph.nodes.where(F.col("name") == "CartList")).orderBy("place").collect()
     assert [r["relation"] for r in first] == ["calls → POST /orders", "renders → Button", "uses → useCart", "← renders by CartPage"]
 
@@ -94,7 +94,7 @@ def test_repair_roles_and_invariants(spark, graph):
     roles = {r["type"]: r["role"] for r in merge.normalize_roles(graph.nodes).collect()}
     assert roles["route"] == "entry-point" and roles["context"] == "state" and roles["component"] is None
     assert all(r["n"] == 0 for r in violations(graph).collect())
-    assert [r["id"] for r in merge.in_order(graph).nodes.collect()][0].startswith("api:")
+    assert [r["id"] for r in order.in_order(graph).nodes.orderBy("position").collect()][0].startswith("api:")
 
 
 def test_differences(spark, graph):
