@@ -311,6 +311,18 @@ def _streamed(spark: SparkSession, rows: DataFrame, name: str) -> tuple[DataFram
     return spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), folder
 
 
+def _in_time(spark: SparkSession, rows: DataFrame, column: str, name: str, steps: int = 4) -> tuple[DataFrame, str]:
+    """The rows as a stream of several files, which come in as many micro-batches as there are steps, each of a later range of time."""
+    folder = Scratch(spark, name).path
+    bounds = rows.agg(F.percentile_approx(F.col(column).cast("double"), [i / steps for i in range(1, steps)], 1000)).first()[0] or []
+    bounds = [None, *sorted(set(bounds)), None]
+    at, files = F.col(column).cast("double"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        part = rows.where((F.lit(True) if low is None else at >= low) & (F.lit(True) if high is None else at < high))
+        part.repartition(files).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in"), folder
+
+
 def _numbered(df: DataFrame) -> StructType:
     return StructType([*df.schema.fields, StructField("batch", IntegerType())])
 
@@ -341,7 +353,8 @@ def usage_totals_stream(spark, sf):
 @query(_USAGE + ", w AS (SELECT time_bucket(INTERVAL '10 minutes', t) AS start, tool, count(*) AS n, sum(out)::BIGINT AS out FROM u GROUP BY ALL) SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, tool, n, out FROM w WHERE start + INTERVAL '10 minutes' <= (SELECT max(t) FROM u) - INTERVAL '10 minutes'", prefix="")
 def usage_windows_stream(spark, sf):
     """Windows that the watermark has closed."""
-    stream, folder = _streamed(spark, _usage(spark, sf).withColumn("t", F.col("t").cast("timestamp")).coalesce(1), "windows")
+    usage = _usage(spark, sf).withColumn("t", F.col("t").cast("timestamp"))
+    stream, folder = _in_time(spark, usage, "t", "windows")
     windows = jobs.usage_windows(stream)
     rows = _finished(windows, folder, "append", windows.schema)
     return rows.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "tool", "n", "out")
@@ -359,11 +372,27 @@ def job_states_stream(spark, sf):
     event = F.when(kind == "signup", "upload").when(kind.isin("click", "view"), "start").when(kind == "purchase", "finish").otherwise("fail")
     error = F.when(kind == "error", F.when(F.col("value") > 95, "no-key").otherwise("busy"))
     rows = table(spark, sf, "events").select(F.concat(F.lit("j"), F.col("user_id").cast("string")).alias("job_id"), F.col("ts").cast("timestamp").alias("t"), event.alias("event"), error.alias("error"))
-    stream, folder = _streamed(spark, rows.coalesce(1), "jobs")
-    states = jobs.job_states(stream)
-    rows = _finished(states, folder, "update", _numbered(states))
+    # a file holds whole jobs, so that their events come in order; files come in several micro-batches
+    folder = Scratch(spark, "jobs").path
+    rows.repartition(3 * jobs.CONCURRENCY, "job_id").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", jobs.CONCURRENCY).parquet(f"{folder}/in")
+    before, total = spark.conf.get("spark.sql.streaming.stateStore.providerClass"), rows.count()
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.STORE)
+    try:
+        states = jobs.job_states(stream)
+        run = states.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(processingTime="1 second").start()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    jobs.run_until(run, lambda: jobs.rows_read(run) >= total, 3600)
+    rows = spark.read.schema(_numbered(states)).parquet(f"{folder}/out")
     last = Window.partitionBy("job_id").orderBy(F.desc("batch"))
-    return rows.withColumn("k", F.row_number().over(last)).where("k = 1").select("job_id", "status", "attempts")
+    # a job that waits for another attempt counts as queued, whether its timer has rung in the meantime or not
+    status = F.when(F.col("status") == "waiting", "queued").otherwise(F.col("status")).alias("status")
+    return rows.withColumn("k", F.row_number().over(last)).where("k = 1").select("job_id", status, "attempts")
 
 
 @query("SELECT o_orderpriority AS tool, count(*) AS n, sum(o_custkey)::BIGINT AS keys FROM orders GROUP BY o_orderpriority", prefix="")

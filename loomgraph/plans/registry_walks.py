@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import analytics, labels, order
 from loomgraph.plans.registry import _SCORE, GRAPH, _dependents, _saved, query  # noqa: F401
+from loomgraph.scratch import Scratch
 from loomgraph.sources.tabular import table
+from loomgraph.streaming import jobs
 
 # ---- order ------------------------------------------------------------------------------------------------------
 
@@ -79,3 +81,33 @@ SELECT el.screen, count(*) AS n_labels, count(el.id) AS n_matched, any_value(v.r
 def blueprint_screens(spark, sf):
     """[AGG-19]"""
     return labels.blueprint(_saved(spark, sf), _labels(spark, sf))[1]
+
+
+# ---- jobs -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT 'c' || c_custkey AS job_id, CASE WHEN f > 0 AND c_mktsegment = 'MACHINERY' THEN 'failed' WHEN f <= 2 THEN 'done' ELSE 'failed' END AS status, CAST(CASE WHEN f > 0 AND c_mktsegment = 'MACHINERY' THEN 1 ELSE least(f, 2) + 1 END AS INT) AS attempts, 0::BIGINT AS kept FROM (SELECT *, c_nationkey % 5 AS f FROM customer)", prefix="")
+def job_retries_stream(spark, sf):
+    """Customers as jobs that fail a number of times: how each ended, after how many attempts, and how many jobs the state still holds. [STM-02, STM-03]
+
+    Uploads come in several files; each failure waits for its timer, queues again and is tried again, until all jobs have ended.
+    """
+    folder = Scratch(spark, "retries").path
+    customer = table(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("job_id"), F.expr("CAST(c_nationkey % 5 AS INT)").alias("fails"), (F.col("c_mktsegment") == "MACHINERY").alias("final"))
+    total = customer.count()
+    customer.repartition(3 * jobs.CONCURRENCY, "job_id").select("job_id", F.timestamp_micros(F.lit(0)).alias("t"), F.lit("upload").alias("event"), F.lit(None).cast("string").alias("error")).write.json(f"{folder}/in")
+
+    def attempt(queued: DataFrame) -> DataFrame:
+        fails = F.col("attempts") < F.col("fails")
+        return queued.join(customer, "job_id").select("job_id", F.when(fails, "fail").otherwise("finish").alias("event"), F.when(fails, F.when(F.col("final"), "no-key").otherwise("busy")).alias("error"))
+
+    def ended() -> DataFrame:
+        return spark.read.schema(jobs.JOB_STATES).parquet(f"{folder}/out").where(F.col("status").isin(*jobs.ENDED))
+
+    def done() -> bool:
+        out = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/out")
+        return out.getFileSystem(spark._jsc.hadoopConfiguration()).exists(out) and ended().count() >= total
+
+    last = jobs.run_jobs(spark, folder, attempt, done)
+    kept = sum(x["numRowsTotal"] for x in last["stateOperators"])
+    return ended().select("job_id", "status", "attempts", F.lit(kept).cast("long").alias("kept"))

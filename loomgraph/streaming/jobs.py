@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from loomgraph.schema import USAGE
 
@@ -17,53 +18,140 @@ ATTEMPTS, BACKOFF_MS, CONCURRENCY = 3, 2000, 4
 FINAL_ERRORS = ("no-key",)
 ENDED = ("done", "failed")
 JOB_EVENTS = "job_id string, t timestamp, event string, error string"
-JOB_STATES = "job_id string, status string, attempts int, error string, next_at timestamp, t timestamp"
-_STATE = "status string, attempts int"
+JOB_STATES = "job_id string, status string, attempts int, error string, delay_ms long"
+_STATE = "status string, attempts int, error string"
+#: How long a job that nothing is heard of is kept.
+TTL_MS = 24 * 3600 * 1000
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _advance(status: str, attempts: int, event: str, error: str | None) -> tuple[str, int, float | None]:
-    """Status, attempts and seconds to wait after one event. queued -> processing -> done or failed; a failure queues again while attempts are left.
+def _advance(status: str, attempts: int, event: str, error: str | None) -> tuple[str, int, int | None]:
+    """Status, attempts and milliseconds to wait after one event. queued -> processing -> done or failed; a failure waits while attempts
+    are left, then queues again.
 
-    An upload of a job that has ended begins it anew, as one of a new job does.
+    An upload of a job that has ended begins it anew, as one of a new job does. A waiting job may be started early.
     """
     if event == "upload" and status in ("", *ENDED):
         return "queued", 0, None
-    if event == "start" and status == "queued":
+    if event == "start" and status in ("queued", "waiting"):
         return "processing", attempts + 1, None
     if event == "finish" and status == "processing":
         return "done", attempts, None
     if event == "fail" and status == "processing":
         if error in FINAL_ERRORS or attempts >= ATTEMPTS:
             return "failed", attempts, None
-        return "queued", attempts, BACKOFF_MS / 1000 * 2 ** (attempts - 1)
+        return "waiting", attempts, BACKOFF_MS * 2 ** (attempts - 1)
     return status, attempts, None  # repeated and late events change nothing
 
 
-def job_states(events: DataFrame) -> DataFrame:
-    """Each job's state after every micro-batch that has events of it. [STM-02, STM-03]
+class JobMachine(StatefulProcessor):
+    """A job's status and attempts as value state that lapses when nothing is heard of the job for ttl_ms; a timer queues it again after
+    its delay. A job that has ended has no state."""
 
-    events: a stream of job_id, t, event (upload, start, finish, fail) and error; state is kept per job until it ends. Events of
-    a job that isn't known, but for an upload, give no row.
-    """
+    def __init__(self, ttl_ms: int = TTL_MS):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.job = handle, handle.getValueState("job", _STATE, self.ttl_ms)
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, attempts = state.get if state.exists else ("", 0)
-        error, wait, last = None, None, None
-        for row in pd.concat(list(frames)).sort_values("t", kind="stable").itertuples():
+    def _row(self, key: tuple, status: str, attempts: int, error: str | None, delay: int | None) -> pd.DataFrame:
+        return pd.DataFrame({"job_id": [key[0]], "status": [status], "attempts": pd.array([attempts], "Int32"), "error": pd.Series([error], dtype=object), "delay_ms": pd.array([delay], "Int64")})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self.job.get() if self.job.exists() else None
+        status, attempts, error = held if held else ("", 0, None)
+        delay = None
+        for row in pd.concat(list(rows)).sort_values("t", kind="stable").itertuples():
             before = status
             status, attempts, wait = _advance(status, attempts, row.event, row.error)
-            error = row.error if row.event == "fail" and before == "processing" else (None if row.event == "start" else error)
-            last = row.t
-        if status in ENDED:
-            state.remove()
-        elif status:
-            state.update((status, attempts))
+            if status != before or wait is not None:
+                delay = wait
+            error = row.error if row.event == "fail" and before == "processing" else None if row.event == "start" else error
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
+        if status in ENDED or not status:
+            self.job.clear()
         else:
-            return
-        next_at = last + pd.Timedelta(seconds=wait) if wait is not None and last is not None else pd.NaT
-        yield pd.DataFrame({"job_id": [key[0]], "status": [status], "attempts": [attempts], "error": [error], "next_at": pd.Series([next_at], dtype="datetime64[ns]"), "t": pd.Series([last], dtype="datetime64[ns]")})
+            self.job.update((status, attempts, error))
+        if status == "waiting":
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + (delay or 0))
+        if status:
+            yield self._row(key, status, attempts, error, delay if status == "waiting" else None)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.job.exists():
+            status, attempts, error = self.job.get()
+            if status == "waiting":
+                self.job.update(("queued", attempts, error))
+                yield self._row(key, "queued", attempts, error, None)
+
+    def close(self) -> None:
+        pass
+
 
-    return events.groupBy("job_id").applyInPandasWithState(step, JOB_STATES, _STATE, "update", GroupStateTimeout.NoTimeout)
+def job_states(events: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
+    """Each job's state after every micro-batch that has events of it, and when its delay is over and it queues again. [STM-02, STM-03]
+
+    events: a stream of job_id, t, event (upload, start, finish, fail) and error; delay_ms is how long a waiting job waits. Events
+    of a job that isn't known, but for an upload, give no row. The session must keep state in RocksDB (STORE).
+    """
+    return events.groupBy("job_id").transformWithStateInPandas(JobMachine(ttl_ms), JOB_STATES, "Update", "processingTime")
+
+
+def run_jobs(spark: SparkSession, folder: str, attempt: Callable[[DataFrame], DataFrame], done: Callable[[], bool], seconds: int = 600) -> dict:
+    """Runs the jobs whose events are put into `folder`/in, until done() or the time is up; the last progress of the query. [STM-02, STM-03, STM-04]
+
+    attempt: given queued jobs (job_id and attempts so far), returns what became of each: event (finish or fail) and error. What
+    it returns goes back into the folder as events, so a failure is tried again when its timer says so. States of a batch are
+    written under its number to `folder`/out; a batch that runs again writes them anew.
+    """
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    states = job_states(spark.readStream.schema(JOB_EVENTS).option("maxFilesPerTrigger", 2 * CONCURRENCY).json(f"{folder}/in"))
+
+    def take(batch: DataFrame, number: int) -> None:
+        path = f"{folder}/out/batch={number}"
+        batch.write.mode("overwrite").parquet(path)
+        queued = spark.read.schema(JOB_STATES).parquet(path).where("status = 'queued'").select("job_id", "attempts")
+        if queued.isEmpty():
+            return
+        came = attempt(queued).select("job_id", F.explode(F.array(F.struct(F.lit("start").alias("event"), F.lit(None).cast("string").alias("error")), F.struct("event", "error"))).alias("e"))
+        at = F.timestamp_micros(F.lit(number * 10) + F.when(F.col("e.event") == "start", 0).otherwise(1))
+        # a name of its own for each batch: one that runs again replaces what it wrote
+        came.select("job_id", at.alias("t"), "e.event", "e.error").write.mode("overwrite").json(f"{folder}/next/{number}")
+        _move(spark, f"{folder}/next/{number}", f"{folder}/in", f"batch-{number}")
+
+    try:
+        query = states.writeStream.foreachBatch(take).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(processingTime="1 second").start()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return run_until(query, done, seconds)
+
+
+def run_until(query, done: Callable[[], bool], seconds: int = 600) -> dict:
+    """Lets a query run until done() or the time is up, and stops it; its last progress. One with timers never ends by itself. [STM-04]"""
+    end = time.time() + seconds
+    while time.time() < end and query.isActive and not done():
+        query.awaitTermination(1)
+    if query.exception():
+        raise query.exception()
+    last = query.lastProgress
+    query.stop()
+    return last
+
+
+def rows_read(query) -> int:
+    """Rows that the query's recent micro-batches have read."""
+    return sum(p["numInputRows"] for p in query.recentProgress)
+
+
+def _move(spark: SparkSession, source: str, folder: str, prefix: str) -> None:
+    """Gives a folder's data files to another folder; the names are the prefix and a number."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted(f.getPath().toString() for f in files.listStatus(path(source)) if f.getPath().getName().startswith("part-"))
+    for i, part in enumerate(parts):
+        files.rename(path(part), path(f"{folder}/{prefix}-{i}.json"))
 
 
 def work_queue(spark: SparkSession, folder: str, schema: str, handle: Callable[[DataFrame, int], None], checkpoint: str):

@@ -109,7 +109,7 @@ def test_job_steps():
     for event, error in steps:
         status, attempts, wait = jobs._advance(status, attempts, event, error)
         waits.append(wait)
-    assert (status, attempts) == ("failed", 3) and [w for w in waits if w] == [2.0, 4.0]
+    assert (status, attempts) == ("failed", 3) and [w for w in waits if w] == [2000, 4000]
     assert jobs._advance("processing", 1, "fail", "no-key")[0] == "failed" and jobs._advance("processing", 1, "finish", None)[0] == "done"
 
 
@@ -118,10 +118,13 @@ def test_streams(spark, tmp_path):
     (tmp_path / "events").mkdir()
     (tmp_path / "events" / "1.json").write_text("\n".join(json.dumps(dict(zip(("job_id", "t", "event", "error"), x, strict=True))) for x in lines))
     stream = spark.readStream.schema(jobs.JOB_EVENTS).json(f"{tmp_path}/events")
-    query = jobs.job_states(stream).writeStream.format("memory").queryName("job_states").outputMode("update").option("checkpointLocation", f"{tmp_path}/c1").trigger(availableNow=True).start()
-    assert jobs.wait_for(query, 120)
-    got = {r["job_id"]: (r["status"], r["attempts"], r["error"], str(r["next_at"])) for r in spark.table("job_states").collect()}
-    assert got == {"j1": ("queued", 1, "busy", "2026-01-01 00:00:04"), "j2": ("queued", 0, None, "None")}
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.STORE)
+    query = jobs.job_states(stream).writeStream.format("memory").queryName("job_states").outputMode("update").option("checkpointLocation", f"{tmp_path}/c1").start()
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    jobs.run_until(query, lambda: spark.table("job_states").count() == 3, 120)
+    got = sorted((r["job_id"], r["status"], r["attempts"], r["error"], r["delay_ms"]) for r in spark.table("job_states").collect())
+    # the failed job waits, and when its timer rings it is queued again
+    assert got == [("j1", "queued", 1, "busy", None), ("j1", "waiting", 1, "busy", 2000), ("j2", "queued", 0, None, None)]
     (tmp_path / "usage").mkdir()
     for i, t in enumerate(("2026-01-01T00:00:00", "2026-01-01T00:07:00", "2026-01-01T02:00:00")):
         (tmp_path / "usage" / f"{i}.json").write_text(json.dumps({"t": t, "tool": "map", "out": 1, "base": 2}))
