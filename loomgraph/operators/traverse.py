@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.spread import Reached, set_bits, spread
+from loomgraph.operators.trees import preorder
 from loomgraph.schema import Graph
 from loomgraph.scratch import Scratch
 
@@ -150,6 +151,27 @@ def journeys(links: DataFrame, start: str, rounds: int = 4, most: int = 22) -> D
     return out.orderBy("round", "src", "dst").limit(most)
 
 
+def component_trees(graph: Graph, roots: DataFrame, depth: int = TREE_DEPTH) -> DataFrame:
+    """tree, node, type, name, file, place, depth and last of what each tree's root (tree, node) renders, in pre-order. [TRV-04]
+
+    Children follow by id and a node stands where it is met first. Ways are at most `depth` edges long, so a row holds no more of its
+    way than that; the order is that of an Euler tour (trees.preorder), without a walk.
+    """
+    scratch = Scratch(graph.nodes.sparkSession, "trees")
+    steps = of_kinds(graph, "renders").select(F.col("src").alias("node"), F.col("dst").alias("child")).distinct()
+    newest = scratch.save(roots.select("tree", "node").distinct().withColumn("way", F.array("node")))
+    ways = newest
+    for _ in range(depth):
+        found = newest.join(steps, "node").where(~F.array_contains("way", F.col("child"))).select("tree", F.col("child").alias("node"), F.concat("way", F.array("child")).alias("way"))
+        newest = scratch.save(found.groupBy("tree", "node").agg(F.min("way").alias("way")))
+        if newest.isEmpty():
+            break
+        ways = ways.unionByName(newest)
+    first = ways.groupBy("tree", "node").agg(F.min("way").alias("way")).select("tree", "node", F.when(F.size("way") > 1, F.element_at("way", -2)).alias("parent"))
+    known = scratch.save(first.join(graph.nodes.select(F.col("id").alias("node"), "type", "name", "file"), "node"))
+    return preorder(known, [F.col("node")]).where(F.col("depth") <= depth).drop("parent")
+
+
 def _spread_least(edges: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """v, f and b: the smallest of v and all that reach it by edges (src, dst), and of v and all that it reaches.
 

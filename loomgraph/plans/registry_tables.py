@@ -433,15 +433,6 @@ def savings_pie(spark, sf):
     return spark.createDataFrame([(line,) for line in text.split("\n") if line.startswith('  "')], "line string")
 
 
-@query(
-    " , kids AS (SELECT e.dst AS id, n.name FROM edges e JOIN nodes n ON n.id = e.dst WHERE e.src = 'nation#NATION_1' AND e.kind = 'renders') SELECT CAST(0 AS INT) AS place, '- NATION_1' AS line UNION ALL SELECT CAST(row_number() OVER (ORDER BY id) AS INT), '  - ' || name FROM kids"
-)
-def component_tree(spark, sf):
-    """[TRV-04]"""
-    text = report.component_tree(_saved(spark, sf), "nation#NATION_1")
-    return spark.createDataFrame(list(enumerate(text.split("\n"))), "place int, line string")
-
-
 @query(
     _FLOW
     + f""", tail(id, hop) AS (SELECT id, hop FROM level WHERE id = {FIRST_PART} UNION SELECT l.id, l.hop FROM tail JOIN flows e ON e.dst = tail.id JOIN level l ON l.id = e.src AND l.hop = tail.hop - 1),

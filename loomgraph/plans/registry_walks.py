@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.operators import analytics, labels, order
+from loomgraph.operators import analytics, intervals, labels, order, refresh, traverse, trees
 from loomgraph.plans.registry import _SCORE, GRAPH, _dependents, _saved, query  # noqa: F401
 from loomgraph.scratch import Scratch
 from loomgraph.sources.tabular import table
@@ -111,3 +111,113 @@ def job_retries_stream(spark, sf):
     last = jobs.run_jobs(spark, folder, attempt, done)
     kept = sum(x["numRowsTotal"] for x in last["stateOperators"])
     return ended().select("job_id", "status", "attempts", F.lit(kept).cast("long").alias("kept"))
+
+
+# ---- refresh ----------------------------------------------------------------------------------------------------
+
+
+def _changes(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """Three rounds of changed files of customers and parts: most of them; changed and new ones; deletions."""
+    key = F.col("c_custkey").cast("string")
+    customer = table(spark, sf, "customer").join(table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("early"), F.count_if(F.col("o_orderdate") >= F.lit("1997-06-01").cast("timestamp")).alias("late")), "c_custkey", "left")
+    customer = customer.na.fill(0, ["early", "late"])
+    fact = lambda kind, name, target: F.struct(F.lit(kind).alias("fact"), name.cast("string").alias("name"), target.cast("string").alias("target"))
+    own = F.concat(F.lit("customer#"), key)
+    to = F.concat(F.lit("/"), (F.col("c_custkey") % 40).cast("string"), F.lit("/"), F.when(F.col("c_custkey") % 7 == 0, ":id").otherwise(F.col("c_mktsegment")))
+
+    def file(version) -> DataFrame:
+        facts = F.array(fact("node", own, F.lit("component")), fact("node", F.concat(F.lit("state#"), version.cast("string")), F.lit("context")), fact("nav", own, to), fact("import", F.lit(None), F.concat(F.lit("customer/"), F.floor(F.col("c_custkey") / 2).cast("string"))))
+        return F.struct(F.concat(F.lit("customer/"), key).alias("path"), F.lit("put").alias("op"), facts.alias("facts"))
+
+    part = table(spark, sf, "part")
+    route = F.concat(F.lit("/"), (F.col("p_partkey") % 50).cast("string"), F.lit("/"), F.when(F.col("p_partkey") % 50 < 20, ":x").otherwise(F.col("p_type")))
+    page = F.struct(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("path"), F.lit("put").alias("op"), F.array(fact("route", F.lit(None), route)).alias("facts"))
+    gone = lambda prefix, column: F.struct(F.concat(F.lit(prefix), F.col(column).cast("string")).alias("path"), F.lit("delete").alias("op"), F.lit(None).cast("array<struct<fact:string,name:string,target:string>>").alias("facts"))
+    rounds = [
+        [customer.where("c_custkey % 10 != 0").select(file(F.col("early") - F.col("late")).alias("c")), part.where("p_size % 3 != 0").select(page.alias("c"))],
+        [customer.where("c_custkey % 10 = 0 OR late > 0").select(file(F.col("early")).alias("c")), part.where("p_size % 3 = 0").select(page.alias("c"))],
+        [customer.where("c_mktsegment = 'MACHINERY'").select(gone("customer/", "c_custkey").alias("c")), part.where("p_size > 30").select(gone("part/", "p_partkey").alias("c"))],
+    ]
+    return [a.unionByName(b).select(F.lit(i).cast("long").alias("seq"), "c.*") for i, (a, b) in enumerate(rounds)]
+
+
+def _refreshed(spark: SparkSession, sf: str) -> refresh.Store:
+    folder, files = Scratch(spark, "refresh").path, 4
+    for rows in _changes(spark, sf):
+        rows.repartition(files).write.mode("append").parquet(f"{folder}/in")
+    return refresh.follow(spark, f"{folder}/in", f"{folder}/graph", files)
+
+
+_REFRESHED = """WITH cu AS (SELECT c_custkey AS k, c_mktsegment, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS v FROM customer WHERE c_mktsegment <> 'MACHINERY'), pa AS (SELECT DISTINCT '/' || (p_partkey % 50) || '/' || CASE WHEN p_partkey % 50 < 20 THEN ':x' ELSE p_type END AS route, p_partkey FROM part WHERE p_size <= 30), r AS (SELECT DISTINCT route FROM pa),
+nv AS (SELECT k, '/' || (k % 40) || '/' || CASE WHEN k % 7 = 0 THEN ':id' ELSE c_mktsegment END AS target FROM cu), t AS (SELECT DISTINCT target FROM nv),
+m AS (SELECT target, route FROM t JOIN r ON split_part(target, '/', 2) = split_part(route, '/', 2) AND (split_part(target, '/', 3) = split_part(route, '/', 3) OR split_part(target, '/', 3)[1] = ':' OR split_part(route, '/', 3)[1] = ':') WHERE target NOT IN (SELECT route FROM r)),
+o AS (SELECT target, min(route) AS route FROM m GROUP BY target HAVING count(*) = 1) """
+
+
+@query(_REFRESHED + "SELECT 'customer#' || nv.k AS src, 'navigates_to' AS kind, 'route:' || coalesce(o.route, nv.target) AS dst, count(*) AS n FROM nv LEFT JOIN o USING (target) GROUP BY ALL UNION ALL SELECT 'customer/' || a.k, 'imports', 'customer/' || b.k, 1 FROM cu a JOIN cu b ON b.k = a.k // 2", prefix="")
+def refreshed_edges(spark, sf):
+    """Edges after files were added, changed and deleted in several micro-batches: those of the last state. [PRV-10..PRV-12, STM-05]"""
+    return _refreshed(spark, sf).read("edges")
+
+
+@query(_REFRESHED + "SELECT 'customer#' || k AS id, 'component' AS type, 1 AS n FROM cu UNION ALL SELECT 'state#' || v, 'context', count(*) FROM cu GROUP BY v UNION ALL SELECT 'route:' || route, 'route', count(*) FROM pa GROUP BY route UNION ALL SELECT 'customer/' || k, 'file', 1 FROM cu UNION ALL SELECT 'part/' || p_partkey, 'file', 1 FROM pa", prefix="")
+def refreshed_nodes(spark, sf):
+    """Nodes after files were added, changed and deleted. [PRV-10..PRV-12, STM-05]"""
+    return _refreshed(spark, sf).read("nodes")
+
+
+# ---- trees ------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """, way(tree, id, w, d) AS (SELECT src || ' > ' || dst, dst, [dst], 0 FROM edges WHERE kind = 'routes_to' UNION ALL SELECT tree, e.dst, list_append(w, e.dst), d + 1 FROM way JOIN edges e ON e.src = way.id AND e.kind = 'renders' WHERE d < 4 AND NOT list_contains(w, e.dst)),
+f AS (SELECT tree, id, min(w) AS w FROM way GROUP BY ALL), p AS (SELECT tree, type, name, file, len(w) - 1 AS depth, row_number() OVER (PARTITION BY tree ORDER BY w) - 1 AS place FROM f JOIN nodes USING (id))
+SELECT tree, place, repeat('  ', CAST(depth AS INT)) || '- ' || name || CASE WHEN depth = 0 THEN ' (' || file || ')' ELSE '' END AS line FROM p WHERE type = 'component'"""
+)
+def component_tree(spark, sf):
+    """The tree of components below each end of each route, in pre-order. [TRV-04]"""
+    graph = _saved(spark, sf)
+    roots = traverse.of_kinds(graph, "routes_to").select(F.concat("src", F.lit(" > "), "dst").alias("tree"), F.col("dst").alias("node"))
+    rows = traverse.component_trees(graph, roots).where("type = 'component'")
+    file = F.when(F.col("depth") == 0, F.concat(F.lit(" ("), "file", F.lit(")"))).otherwise("")
+    return rows.select("tree", "place", F.concat(F.repeat(F.lit("  "), F.col("depth").cast("int")), F.lit("- "), "name", file).alias("line"))
+
+
+@query(
+    """WITH RECURSIVE n AS (SELECT 'heap' AS tree, c_custkey AS v, CASE WHEN c_custkey > 0 THEN c_custkey // 2 END AS p, -c_acctbal AS o FROM customer UNION ALL SELECT 'chain', s_suppkey, CASE WHEN s_suppkey > 0 THEN s_suppkey - 1 END, s_acctbal FROM supplier),
+w(tree, v, way, up) AS (SELECT tree, v, [{'o': o, 'v': v}], [v] FROM n WHERE p IS NULL UNION ALL SELECT n.tree, n.v, list_append(way, {'o': n.o, 'v': n.v}), list_append(up, n.v) FROM w JOIN n ON n.tree = w.tree AND n.p = w.v),
+size AS (SELECT tree, a AS v, count(*) AS k FROM (SELECT tree, unnest(up) AS a FROM w) GROUP BY ALL)
+SELECT tree, v AS node, row_number() OVER (PARTITION BY tree ORDER BY way) - 1 AS place, len(up)::BIGINT - 1 AS depth, row_number() OVER (PARTITION BY tree ORDER BY way) - 2 + k AS last FROM w JOIN size USING (tree, v)""",
+    prefix="",
+)
+def tree_preorder(spark, sf):
+    """Customers as a heap, siblings by balance, and suppliers as one chain: place, depth and end of subtree of each. [RND-15]"""
+    customer, supplier = table(spark, sf, "customer"), table(spark, sf, "supplier")
+    heap = customer.select(F.lit("heap").alias("tree"), F.col("c_custkey").cast("long").alias("node"), F.when(F.col("c_custkey") > 0, F.floor(F.col("c_custkey") / 2)).cast("long").alias("parent"), (-F.col("c_acctbal")).cast("double").alias("o"))
+    chain = supplier.select(F.lit("chain").alias("tree"), F.col("s_suppkey").cast("long").alias("node"), F.when(F.col("s_suppkey") > 0, F.col("s_suppkey") - 1).cast("long").alias("parent"), F.col("s_acctbal").cast("double").alias("o"))
+    return trees.preorder(heap.unionByName(chain), [F.col("o")]).select("tree", "node", "place", "depth", "last")
+
+
+# ---- intervals --------------------------------------------------------------------------------------------------
+
+_RANGES = """WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS pos, event_type, value FROM events),
+r AS (SELECT user_id, pos AS s, pos + CAST(floor(value * 60) AS BIGINT) * 60000000 AS e, 'p' || event_id AS name FROM e WHERE event_type = 'purchase' UNION ALL SELECT user_id, pos, lead(pos) OVER (PARTITION BY user_id ORDER BY pos, event_id), 's' || event_id FROM e WHERE event_type = 'signup') """
+
+
+def _ranges(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Events as positions of their users, and users' ranges: some minutes from a purchase on, nested, and from one signup to the next, adjacent."""
+    events = table(spark, sf, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("pos"), "event_type", "value")
+    bought = events.where("event_type = 'purchase'").select("user_id", F.col("pos").alias("start"), (F.col("pos") + F.floor(F.col("value") * 60).cast("long") * 60000000).alias("end"), F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("name"))
+    came = events.where("event_type = 'signup'").select("user_id", F.col("pos").alias("start"), F.lead("pos").over(Window.partitionBy("user_id").orderBy("pos", "event_id")).alias("end"), F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("name"))
+    return events.select("event_id", "user_id", "pos"), bought.unionByName(came)
+
+
+@query(
+    _RANGES
+    + """SELECT event_id, e.user_id, pos, count(name) AS n, arg_min(name, {'a': s, 'b': -r.e, 'c': name}) AS "outer", arg_min(name, {'a': -s, 'b': r.e, 'c': name}) AS "inner" FROM e LEFT JOIN r ON r.user_id = e.user_id AND r.s <= pos AND pos < r.e GROUP BY ALL""",
+    prefix="",
+)
+def events_enclosed(spark, sf):
+    """How many ranges hold each event, the outermost and the innermost. [JON-11, PRV-24]"""
+    points, ranges = _ranges(spark, sf)
+    return intervals.enclosing(points, ranges, ["user_id"], ["event_id"], "name").select("event_id", "user_id", "pos", "n", "outer", "inner")

@@ -52,29 +52,12 @@ def project_map(graph: Graph) -> str:
     return "\n\n".join(["# Project map", table(analytics.route_risk(graph).orderBy("route")), flowchart(graph, links)])
 
 
-def component_tree(graph: Graph, root: str, depth: int = traverse.TREE_DEPTH) -> str:
-    """An indented tree in pre-order, a node at its first place only. [TRV-04]
-
-    What is below the root within four levels is fetched and walked on the driver, as it is printed there.
-    """
-    near = traverse.render_subtree(graph, graph.nodes.where(F.col("id") == root), depth).select("id").unionByName(graph.nodes.where(F.col("id") == root).select("id"))
-    edges = traverse.of_kinds(graph, "renders").join(near.withColumnRenamed("id", "src"), "src", "left_semi").join(near.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    below: dict[str, list[str]] = {}
-    for r in edges.select("src", "dst").orderBy("src", "dst").collect():
-        below.setdefault(r["src"], []).append(r["dst"])
-    names = {r["id"]: r["name"] for r in graph.nodes.join(near.distinct(), "id", "left_semi").select("id", "name").collect()}
-    lines, seen = [], set()
-
-    def walk(node: str, level: int) -> None:
-        if level > depth or node in seen:
-            return
-        seen.add(node)
-        lines.append("  " * level + f"- {names.get(node, node)}")
-        for child in below.get(node, []):
-            walk(child, level + 1)
-
-    walk(root, 0)
-    return "\n".join(lines)
+def component_tree(graph: Graph, root: str, depth: int = traverse.TREE_DEPTH, limit: int = SHOWN) -> str:
+    """An indented tree of the components below a node, the root with its file, at most `limit` lines. [TRV-04]"""
+    node = graph.nodes.where(F.col("id") == root).select(F.col("id").alias("tree"), F.col("id").alias("node"))
+    rows = traverse.component_trees(graph, node, depth).where(F.col("type") == "component").orderBy("place").limit(limit + 1).collect()
+    lines = ["  " * r["depth"] + f"- {r['name']}" + (f" ({r['file']})" if r["depth"] == 0 else "") for r in rows[:limit]]
+    return "\n".join(lines + ["- …"] * (len(rows) > limit))
 
 
 def impact(graph: Graph, target: str) -> str:
