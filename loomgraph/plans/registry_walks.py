@@ -221,3 +221,22 @@ def events_enclosed(spark, sf):
     """How many ranges hold each event, the outermost and the innermost. [JON-11, PRV-24]"""
     points, ranges = _ranges(spark, sf)
     return intervals.enclosing(points, ranges, ["user_id"], ["event_id"], "name").select("event_id", "user_id", "pos", "n", "outer", "inner")
+
+
+# ---- flows ------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """, flows AS (SELECT src, dst, kind FROM edges WHERE kind IN ('navigates_to', 'routes_to', 'renders', 'calls')), pr AS (SELECT DISTINCT a.dst AS s, b.src AS t FROM edges a JOIN edges b ON b.dst = a.src AND b.kind = 'renders' WHERE a.kind = 'navigates_to'),
+flow(s, id, hop) AS (SELECT DISTINCT s, s, 0 FROM pr UNION SELECT s, e.dst, hop + 1 FROM flow JOIN flows e ON e.src = flow.id WHERE hop < 12), level AS (SELECT s, id, min(hop) AS hop FROM flow GROUP BY ALL),
+tail(s, t, id, hop) AS (SELECT s, t, t, hop FROM pr JOIN level USING (s) WHERE level.id = t UNION SELECT tail.s, t, l.id, l.hop FROM tail JOIN flows e ON e.dst = tail.id JOIN level l ON l.s = tail.s AND l.id = e.src AND l.hop = tail.hop - 1),
+way(s, t, id, hop, k, ids) AS (SELECT s, t, s, 0, CAST([] AS VARCHAR[]), [s] FROM pr UNION ALL SELECT way.s, way.t, e.dst, way.hop + 1, list_concat(k, [e.kind, e.dst]), list_append(ids, e.dst) FROM way JOIN flows e ON e.src = way.id JOIN tail t ON t.s = way.s AND t.t = way.t AND t.id = e.dst AND t.hop = way.hop + 1),
+best AS (SELECT s, t, arg_min(ids, k) AS ids FROM way WHERE id = t GROUP BY ALL) SELECT s AS "start", t AS goal, CAST(generate_subscripts(ids, 1) - 1 AS INT) AS hop, unnest(ids) AS id FROM best"""
+)
+def shortest_flows(spark, sf):
+    """The shortest flows from routes to nations' components, all in one search from both ends. [TRV-06]"""
+    graph = _saved(spark, sf)
+    # a customer's nation is asked for from each route that the customer navigates to
+    into = traverse.of_kinds(graph, "navigates_to").select("src", F.col("dst").alias("start"))
+    home = traverse.of_kinds(graph, "renders").select(F.col("src").alias("goal"), F.col("dst").alias("src"))
+    return traverse.shortest_paths(graph, into.join(home, "src").select("start", "goal"))

@@ -112,3 +112,29 @@ def test_blueprint_votes(spark):
     got = {r["screen"]: (r["n_labels"], r["n_matched"], r["route"], r["votes"]) for r in screens.collect()}
     assert got == {"s": (3, 2, "route:/cart", 2), "t": (1, 1, "route:/cart", 1), "u": (1, 0, None, 0)}
     assert {(r["screen"], r["place"]): r["n_routes"] for r in elements.collect()}["s", 3] == 0
+
+
+def test_shortest_paths_of_many_pairs_equal_single_searches(spark):
+    nodes, edges, graph = built(spark, 5, 25, 60)
+    steps = sorted((k, b, a) for a, b, k in edges if k in traverse.FLOW_KINDS)
+    ids = [x[0] for x in nodes]
+    pairs = [(a, b) for a in ids[:8] for b in ids[5:15]] + [("ghost1", "n3"), ("n3", "nowhere")]
+
+    def search(start, goal):
+        """Breadth first, keeping the smallest way by kind and id of each node."""
+        ways, newest = {start: ()}, {start: ()}
+        while newest and goal not in ways:
+            found = {}
+            for v, way in newest.items():
+                for k, b, a in steps:
+                    if a == v and b not in ways:
+                        found[b] = min(found.get(b, way + ((k, b),)), way + ((k, b),))
+            newest = found
+            ways.update(found)
+        return [start, *[b for _, b in ways[goal]]] if goal in ways and start != goal and len(ways[goal]) <= traverse.FLOW_DEPTH else []
+
+    got = {}
+    for r in traverse.shortest_paths(graph, spark.createDataFrame(pairs, "start string, goal string")).orderBy("hop").collect():
+        got.setdefault((r["start"], r["goal"]), []).append(r["id"])
+    want = {p: w for p in pairs if (w := search(*p))}
+    assert got == want and max(map(len, want.values())) > 3
