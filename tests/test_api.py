@@ -26,7 +26,7 @@ def test_answers(spark, tmp_path):
 
 def test_pages_and_trees(spark, tmp_path):
     graph = shop(spark)
-    assert report.component_tree(graph, SHORT["CartPage"]) == "- CartPage\n  - CartList\n    - Button"
+    assert report.component_tree(graph, SHORT["CartPage"]) == "- CartPage (app/cart/page.tsx)\n  - CartList\n    - Button"
     text = report.page(graph, "a <b>", f"{tmp_path}/page")
     rows = "".join(p.read_text() for p in (tmp_path / "page" / "nodes").glob("part-*"))
     assert "a &lt;b&gt;" in text and "edges/part-" in text and "CartList" in rows and "<" not in rows
