@@ -87,6 +87,64 @@ def test_good_words_lift_no_bar():
     assert "Head" in html.extract(f'<body><div class="content has-sidebar"><div class="entry-header"><h1>Head</h1></div><p>{text}</p></div></body>')
 
 
+TEXT = "real words, here. " * 20
+WRAPPED = ("post type-post category-advertising", "story tag-social", "elementor-widget-container", "content widget-area", "opinion-comment", "tabs-content", "dialog-history", "social-science", "login-guide", "discussion")
+
+
+@pytest.mark.parametrize("name", WRAPPED)
+def test_what_is_wrapped_around_the_main_text_is_opened(name):
+    inside = f"<p>{TEXT}</p><p>{TEXT}</p>"
+    for page in (
+        f'<body><nav><a href=x>m</a></nav><div class="{name}"><h1>Head</h1>{inside}</div><div class=footer><p>foot {TEXT}</p></div></body>',
+        f'<body><div class=header><a href=/>Site</a></div><div class="{name}">{inside}</div><div class=sidebar><p>foot</p></div></body>',
+        f'<body><h1>Head</h1><div class="{name}">{inside}<div class=comments><p>foot {TEXT * 3}</p></div></div></body>',
+        f'<body><div class="{name}"><p>{TEXT}</p></div><div class="{name}"><p>{TEXT}</p></div></body>',
+    ):
+        got = html.extract(page)
+        assert got.count("real") == 40 and "foot" not in got, page
+
+
+def test_comments_adverts_and_notices_of_glued_names_are_barred():
+    for name in "usercomments disqus_thread reader-feedback reviews reactions responses pagefooter sitenav adsbygoogle adslot cookiebar cookieconsent relatedposts sharebar".split():
+        for own, other in ((TEXT, "not, this"), ("real, but short and plain.", f"not, this {TEXT * 9}")):
+            got = html.extract(f'<body><article><h1>T</h1><p>{own}</p><div class="{name}"><p>{other}</p></div></article></body>')
+            assert "not, this" not in got and "real" in got, name
+    assert html.extract(f'<body><div class="cookie-notice"><p>{TEXT}</p></div><div class=footer>{TEXT}</div></body>') == ""
+
+
+def test_a_form_around_the_page_is_opened_and_one_within_is_not():
+    assert html.extract(f'<body><form id=page><div class=menu>m</div><div id=x><h1>Head</h1><p>{TEXT}</p></div><input></form>').count("real") == 20
+    assert "mail" not in html.extract(f"<body><div id=x><h1>Head</h1><p>{TEXT}</p><form><p>your mail, please</p><input></form></div>")
+
+
+def test_comments_are_told_by_their_structure():
+    one = '<div class="row r{0}"><b class=author>Al</b><time>1</time><p>said, {1}</p><a href=#>Reply</a></div>'
+    page = "<body><article><h1>H</h1><p>{0}</p><section>{1}</section></article></body>"
+    got = html.extract(page.format(TEXT, "".join(one.format(i, TEXT) for i in range(9))))
+    assert got.count("real") == 20 and "said" not in got
+    cards = "".join(f"<div class=card><b class=author>Al</b><time>{i}</time><p>said, {TEXT}</p></div>" for i in range(3))
+    assert html.extract(page.format(TEXT, cards)).count("said") == 3  # no reply
+
+
+def test_stray_tags_take_time_by_the_length_of_the_page():
+    import time
+
+    kinds = {
+        "end tags in a cell": lambda n: "<b><table><tr><td>" + "<span>" * n + "x</b>" * n,
+        "lists in a cell in a paragraph": lambda n: "<p><table><tr><td>" + "<ul>" * n + "x",
+        "items in spans": lambda n: "<li>" + "<span>" * n + "<li>x" * n,
+        "wrappers in wrappers": lambda n: "".join(f"<div class=widget-{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i // 100 % 10]}>" for i in range(n)) + "x" * 300,
+    }
+    for kind, page in kinds.items():
+        html.extract(page(500))
+        began = time.process_time()
+        html.extract(page(2000))
+        short = time.process_time() - began
+        began = time.process_time()
+        html.extract(page(16000))
+        assert time.process_time() - began < 8 * 3 * max(short, 0.05), kind
+
+
 def test_paragraphs_in_wrappers_of_their_own():
     for n in (1, 2, 3, 12):
         body = "".join(f"<div><div><div><p>para {i}, {'some words, and more. ' * 9}</p></div></div></div>" for i in range(n))
