@@ -22,6 +22,9 @@ from loomgraph.scratch import delete_at_end, is_local, shared_root
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one step of an Arrow task holds in arrays.
 SLICE_BYTES = 2 << 20
+#: Bytes of an Arrow batch that Spark sends to Python, unless the session says otherwise: Spark's own is 10,000 rows, up to 64 MB,
+#: which JVM and worker each hold.
+ARROW_BATCH, ARROW_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 #: A key is hot when it has more than total / HOT_SHARE rows: at most HOT_SHARE keys are broadcast.
 HOT_SHARE = 500
 HOT_LEAST = 200
@@ -77,7 +80,12 @@ def release(spark: SparkSession) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Python workers started by this session can import this package: on a cluster Spark sends it to them, once a session."""
+    """Python workers started by this session can import this package: on a cluster Spark sends it to them, once a session.
+
+    The batches sent to them are limited by bytes.
+    """
+    if spark.conf.get(ARROW_BATCH, None) is None:
+        spark.conf.set(ARROW_BATCH, ARROW_BATCH_BYTES)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     context = spark.sparkContext
     if is_local(spark):
