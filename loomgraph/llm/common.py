@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -161,6 +162,9 @@ def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], sc
 
 # ---- Arrow side -------------------------------------------------------------------------------------------------
 
+#: Gives freed memory back to the system, where the C library can: numpy's arrays leave holes that a worker would keep for its life.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut between rows so that each has about `most` bytes of text; one long text stays whole.
@@ -176,6 +180,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             yield batch.slice(start, stop - start)
             start = stop
         pa.default_memory_pool().release_unused()
+    _trim(0)
 
 
 def split_words(text: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
