@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.scratch import Scratch
+from loomgraph.scratch import Scratch, ship
 
 #: Style classes and the facet that each sets; pixels of a step; facets that are compared.
 CLASS_FACETS = {
@@ -160,6 +160,7 @@ def alignment_scores(ours: DataFrame, real: DataFrame) -> DataFrame:
         kf = (a if len(a) else b)["kf"].iloc[0]
         return pd.DataFrame({"kf": [kf], "score": [2 * _common(x, y) / (len(x) + len(y))]})
 
+    ship(ours.sparkSession)
     columns, kind = ["kf", "ord", "sig"], ours.schema["kf"].dataType.simpleString()
     return ours.select(columns).groupBy("kf").cogroup(real.select(columns).groupBy("kf")).applyInPandas(score, f"kf {kind}, score double")
 

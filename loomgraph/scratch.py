@@ -1,9 +1,11 @@
-"""Parquet tables that cut lineage, in the folder that driver and executors share."""
+"""What a session needs on a cluster: tables that cut lineage in the shared folder, and this package on the executors."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +33,27 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Has Python workers that start from now on find this package, wherever the session was started from.
+
+    A local session's workers get its folder in PYTHONPATH. On a cluster Spark sends the package's files to the executors, once a session.
+    """
+    package = os.path.dirname(os.path.abspath(__file__))
+    above, context = os.path.dirname(package), spark.sparkContext
+    if is_local(spark):
+        known = context.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
+        if above not in known:
+            context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [above, *known]))
+    elif not getattr(context, "_loomgraph_shipped", False):
+        archive = os.path.join(tempfile.mkdtemp(prefix="loomgraph-"), "loomgraph_package.zip")  # the driver's copy; Spark serves it
+        with zipfile.ZipFile(archive, "w") as out:
+            for folder, _, names in os.walk(package):
+                for file in (os.path.join(folder, n) for n in names if n.endswith(".py")):
+                    out.write(file, os.path.relpath(file, above))
+        context.addPyFile(archive)
+        context._loomgraph_shipped = True
+
+
 def delete_at_end(spark: SparkSession, uri: str) -> None:
     """Has the folder deleted when the session's JVM ends: frames that read it may live till then."""
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.paths import api_route_for_file, normalize_route, route_for_file, to_pathname
 from loomgraph.operators.merge import dedup_edges, merge_nodes, normalize_roles, repair
 from loomgraph.schema import EDGES, NODES, Graph, complete
-from loomgraph.scratch import Scratch
+from loomgraph.scratch import Scratch, ship
 from loomgraph.sources.pages import canonical_routes
 
 #: Folders that are skipped, and extensions.
@@ -118,6 +118,7 @@ def scan(files: DataFrame, provider: str) -> DataFrame:
             types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["path", "rule", "offset", "line", "a", "b"])
 
+    ship(files.sparkSession)
     return files.select("path", "content").mapInArrow(run, HITS)
 
 
@@ -241,6 +242,7 @@ def facts(files: DataFrame) -> DataFrame:
                     out.append({"path": path, "fact": fact, "offset": offset, "line": bisect_left(ends, offset) + 1, "name": name, "of": of, "args": told})
             yield pa.RecordBatch.from_pylist(out, schema)
 
+    ship(files.sparkSession)
     return files.select("path", "content").mapInArrow(run, FACTS)
 
 

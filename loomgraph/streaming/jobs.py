@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from loomgraph.schema import USAGE
+from loomgraph.scratch import ship
 
 #: Attempts of a job, first delay before another one (it doubles), jobs taken at once.
 ATTEMPTS, BACKOFF_MS, CONCURRENCY = 3, 2000, 4
@@ -95,6 +96,7 @@ def job_states(events: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
     events: a stream of job_id, t, event (upload, start, finish, fail) and error; delay_ms is how long a waiting job waits. Events
     of a job that isn't known, but for an upload, give no row. The session must keep state in RocksDB (STORE).
     """
+    ship(events.sparkSession)
     return events.groupBy("job_id").transformWithStateInPandas(JobMachine(ttl_ms), JOB_STATES, "Update", "processingTime")
 
 

@@ -21,6 +21,24 @@ def test_imports_without_the_training_data_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": ""})
 
 
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    """Scans and sources run in Python workers, which look for the package by name."""
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from loomgraph.sources import code, readers
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+files = spark.createDataFrame([("lib/a.dart", "class A extends StatelessWidget {{}}")], "path string, content string")
+assert code.facts(files).count() > 0
+readers.register(spark)
+files.coalesce(1).write.format("source_tree").mode("append").save({str(tmp_path / "tree")!r})
+assert spark.read.format("source_tree").load({str(tmp_path / "tree")!r}).count() == 1
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": ""})
+
+
 def test_flagship(spark):
     rows = entry.entry(spark).collect()
     assert len(rows) == 5 and {"route", "risk"} <= set(rows[0].asDict())
