@@ -4,6 +4,7 @@ import pytest
 
 from loomgraph.operators import analytics, labels, order, spread, traverse
 from loomgraph.schema import EDGES, NODES, Graph
+from loomgraph.scratch import Scratch
 
 
 def built(spark, seed=0, n=30, m=75):
@@ -104,6 +105,16 @@ def test_search_of_many_terms_equals_a_scan(spark):
         assert got.get(t, set()) == {(i, -s) for s, i in want}, t
 
 
+def test_search_never_broadcasts_index_and_nodes(spark):
+    """They weigh little in files and much in the driver: Spark, which goes by files, must not choose them."""
+    graph, scratch = built(spark)[2], Scratch(spark, "test")
+    graph = Graph(scratch.save(graph.nodes), scratch.save(graph.edges), written=True)
+    found = labels.search_terms(graph, spark.createDataFrame([(f"name{i}",) for i in range(30)], "term string"))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BuildLeft" not in plan
+    assert found.select("term").distinct().count() == 30
+
+
 def test_blueprint_votes(spark):
     from tests.graphs import shop
 
