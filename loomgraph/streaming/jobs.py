@@ -5,8 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,6 +22,8 @@ JOB_STATES = "job_id string, status string, attempts int, error string, delay_ms
 _STATE = "status string, attempts int, error string"
 #: How long a job that nothing is heard of is kept.
 TTL_MS = 24 * 3600 * 1000
+#: Bytes of events that a micro-batch takes, about half a million of them.
+BATCH_BYTES = 32 << 20
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -55,36 +56,34 @@ class JobMachine(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.job = handle, handle.getValueState("job", _STATE, self.ttl_ms)
 
-    def _row(self, key: tuple, status: str, attempts: int, error: str | None, delay: int | None) -> pd.DataFrame:
-        return pd.DataFrame({"job_id": [key[0]], "status": [status], "attempts": pd.array([attempts], "Int32"), "error": pd.Series([error], dtype=object), "delay_ms": pd.array([delay], "Int64")})
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.job.get() if self.job.exists() else None
-        status, attempts, error = held if held else ("", 0, None)
-        delay = None
-        for row in pd.concat(list(rows)).sort_values("t", kind="stable").itertuples():
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.job.get()
+        status, attempts, error = held or ("", 0, None)
+        waited, delay = status == "waiting", None
+        for row in sorted(rows, key=lambda x: (x.t is None, x.t or 0)):
             before = status
             status, attempts, wait = _advance(status, attempts, row.event, row.error)
             if status != before or wait is not None:
                 delay = wait
             error = row.error if row.event == "fail" and before == "processing" else None if row.event == "start" else error
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
-        if status in ENDED or not status:
-            self.job.clear()
-        else:
+        if waited:  # no other job has a timer
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
+        if status and status not in ENDED:
             self.job.update((status, attempts, error))
+        elif held:
+            self.job.clear()
         if status == "waiting":
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + (delay or 0))
         if status:
-            yield self._row(key, status, attempts, error, delay if status == "waiting" else None)
+            yield Row(job_id=key[0], status=status, attempts=attempts, error=error, delay_ms=delay if status == "waiting" else None)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.job.exists():
-            status, attempts, error = self.job.get()
-            if status == "waiting":
-                self.job.update(("queued", attempts, error))
-                yield self._row(key, "queued", attempts, error, None)
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.job.get()
+        if held and held[0] == "waiting":
+            _, attempts, error = held
+            self.job.update(("queued", attempts, error))
+            yield Row(job_id=key[0], status="queued", attempts=attempts, error=error, delay_ms=None)
 
     def close(self) -> None:
         pass
@@ -97,19 +96,22 @@ def job_states(events: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
     of a job that isn't known, but for an upload, give no row. The session must keep state in RocksDB (STORE).
     """
     ship(events.sparkSession)
-    return events.groupBy("job_id").transformWithStateInPandas(JobMachine(ttl_ms), JOB_STATES, "Update", "processingTime")
+    return events.groupBy("job_id").transformWithState(JobMachine(ttl_ms), JOB_STATES, "Update", "processingTime")
 
 
-def run_jobs(spark: SparkSession, folder: str, attempt: Callable[[DataFrame], DataFrame], done: Callable[[], bool], seconds: int = 600) -> dict:
+def run_jobs(spark: SparkSession, folder: str, attempt: Callable[[DataFrame], DataFrame], done: Callable[[], bool], seconds: int = 3600) -> dict:
     """Runs the jobs whose events are put into `folder`/in, until done() or the time is up; the last progress of the query. [STM-02, STM-03, STM-04]
 
     attempt: given queued jobs (job_id and attempts so far), returns what became of each: event (finish or fail) and error. What
     it returns goes back into the folder as events, so a failure is tried again when its timer says so. States of a batch are
     written under its number to `folder`/out; a batch that runs again writes them anew.
+
+    A batch takes what has come in, up to BATCH_BYTES, in as many files as there are: what one batch writes is all there for the next,
+    so batches are as many as attempts and waits make them, not as files do. That the time is up before done() is an error.
     """
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    states = job_states(spark.readStream.schema(JOB_EVENTS).option("maxFilesPerTrigger", 2 * CONCURRENCY).json(f"{folder}/in"))
+    states = job_states(spark.readStream.schema(JOB_EVENTS).option("maxBytesPerTrigger", BATCH_BYTES).json(f"{folder}/in"))
 
     def take(batch: DataFrame, number: int) -> None:
         path = f"{folder}/out/batch={number}"
@@ -127,7 +129,10 @@ def run_jobs(spark: SparkSession, folder: str, attempt: Callable[[DataFrame], Da
         query = states.writeStream.foreachBatch(take).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(processingTime="1 second").start()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    return run_until(query, done, seconds)
+    last = run_until(query, done, seconds)
+    if not done():
+        raise TimeoutError("the jobs didn't end in time")
+    return last
 
 
 def run_until(query, done: Callable[[], bool], seconds: int = 600) -> dict:
@@ -135,6 +140,10 @@ def run_until(query, done: Callable[[], bool], seconds: int = 600) -> dict:
     end = time.time() + seconds
     while time.time() < end and query.isActive and not done():
         query.awaitTermination(1)
+    batches = lambda: (query.lastProgress or {"batchId": -1})["batchId"]
+    ended = batches()
+    while time.time() < end and query.isActive and query.status["isTriggerActive"] and batches() == ended:
+        query.awaitTermination(0.1)  # a batch that is under way counts in the progress when it has ended
     if query.exception():
         raise query.exception()
     last = query.lastProgress

@@ -1,4 +1,5 @@
 import json
+import os
 import subprocess
 
 import pytest
@@ -134,3 +135,19 @@ def test_streams(spark, tmp_path):
     query = jobs.usage_windows(jobs.usage_stream(spark, f"{tmp_path}/usage")).writeStream.format("memory").queryName("windows").outputMode("append").option("checkpointLocation", f"{tmp_path}/c3").trigger(availableNow=True).start()
     assert jobs.wait_for(query, 120) and [r["n"] for r in spark.table("windows").collect()] == [2]
     assert jobs.usage_totals(spark.read.schema("t timestamp, tool string, out long, base long").json(f"{tmp_path}/usage")).first()["n"] == 3
+
+
+def test_jobs_take_what_came_in_at_once_and_say_when_time_is_up(spark, tmp_path):
+    """What a batch writes is one batch for the next, however many files it is: batches don't grow with files."""
+    queue = lambda folder: spark.range(40).repartition(40).select(F.col("id").cast("string").alias("job_id"), F.timestamp_micros(F.lit(0)).alias("t"), F.lit("upload").alias("event"), F.lit(None).cast("string").alias("error")).write.json(f"{folder}/in")
+    finish = lambda queued: queued.select("job_id", F.lit("finish").alias("event"), F.lit(None).cast("string").alias("error"))
+    folder = str(tmp_path / "jobs")
+    queue(folder)
+    out = lambda: spark.read.schema(jobs.JOB_STATES + ", batch int").parquet(f"{folder}/out")
+    last = jobs.run_jobs(spark, folder, finish, lambda: os.path.exists(f"{folder}/out") and out().where("status = 'done'").count() == 40, 120)
+    assert out().groupBy("status", "batch").count().orderBy("batch").select("status", "count").collect() == [("queued", 40), ("done", 40)]
+    assert last["stateOperators"][0]["numRowsTotal"] == 0
+    folder = str(tmp_path / "late")
+    queue(folder)
+    with pytest.raises(TimeoutError):
+        jobs.run_jobs(spark, folder, finish, lambda: False, 1)
