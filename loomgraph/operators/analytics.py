@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.paths import same_shape, segments  # noqa: F401
 from loomgraph.operators import traverse as walk
-from loomgraph.operators.spread import bit_names, how_many, per_start, pushed, set_bits
+from loomgraph.operators.spread import bit_names, how_many, per_start, pushed, set_bits, spread
 from loomgraph.schema import Graph
+from loomgraph.scratch import Scratch
 
-#: Files whose components a framework calls, thresholds, and the points and cap of each penalty.
+#: Files whose components a framework calls, targets from which on cycles are contracted, thresholds, and the points and cap of each penalty.
 FRAMEWORK_ENTRY = ("page", "layout", "template", "error", "loading", "not-found", "global-error", "default", "middleware", "_app", "_document")
+MANY_TARGETS = 1024
 LARGE_LOC, HEAT_LIMIT, FANOUT_LIMIT, FANOUT_WARNING = 150, 8, 6, 15
 PENALTIES = {
     "cycles": (8, 24), "dead": (2, 16), "large": (3, 15), "unused_apis": (2, 10), "duplicate_names": (2, 10),
@@ -132,7 +134,20 @@ def _together(parts: list[DataFrame], ddl: str, graph: Graph) -> DataFrame:
 
 
 def dependents_by_type(graph: Graph, targets: DataFrame) -> DataFrame:
-    """root, type and n: how many of each type depend on each target. [AGG-01]"""
+    """root, type and n: how many of each type depend on each target. [AGG-01]
+
+    More than MANY_TARGETS of them are asked for by their cycles: nodes of one cycle have the same dependents, but for themselves.
+    """
+    targets = targets.select("id").where("id IS NOT NULL").distinct()
+    if targets.limit(MANY_TARGETS + 1).count() <= MANY_TARGETS:
+        return _by_type(graph, targets)
+    nodes = graph.nodes.select("id")
+    unknown = targets.join(nodes, "id", "left_anti")
+    rows = _by_type_of_cycles(graph, targets.join(nodes, "id", "left_semi"))
+    return rows if unknown.isEmpty() else rows.unionByName(_by_type(graph, unknown))
+
+
+def _by_type(graph: Graph, targets: DataFrame) -> DataFrame:
     parts = []
     for found in walk.target_bits(graph, targets):
         typed = found.nodes.select(F.col("node").alias("id"), *found.bits()).join(graph.nodes.select("id", "type"), "id")
@@ -140,6 +155,33 @@ def dependents_by_type(graph: Graph, targets: DataFrame) -> DataFrame:
     return _together(parts, "root string, type string, n long", graph)
 
 
+def _by_type_of_cycles(graph: Graph, targets: DataFrame) -> DataFrame:
+    """dependents_by_type of targets that are nodes: one walk finds what leads to any of them, the cycles among that are contracted, and
+    the walks by blocks go from cycle to cycle over what is left."""
+    scratch = Scratch(graph.nodes.sparkSession, "dependents")
+    types = graph.nodes.select("id", "type")
+    every = targets.select(F.lit("").alias("start"), F.col("id").alias("node"))
+    (found,) = spread(graph.edges, every, reverse=True, known=types, written=graph.written)
+    # an end that is no node leads no further and counts for nothing
+    near = scratch.save(found.nodes.select(F.col("node").alias("id")).join(types, "id"))
+    end = lambda name: near.select(F.col("id").alias(name))
+    edges = scratch.save(graph.edges.select("src", "dst").where("src != dst").join(end("dst"), "dst", "left_semi").join(end("src"), "src", "left_semi").select("src", "dst", F.lit("any").alias("kind")).distinct())
+    cyclic = walk.cycles(Graph(near, edges, written=True), "any").select(F.col("member").alias("id"), "cycle")
+    near = scratch.save(near.join(cyclic, "id", "left").withColumn("cycle", F.coalesce("cycle", "id")))
+    of = lambda name: near.select(F.col("id").alias(name), F.col("cycle").alias(f"{name}_cycle"))
+    between = edges.join(of("src"), "src").join(of("dst"), "dst").select(F.col("src_cycle").alias("src"), F.col("dst_cycle").alias("dst")).where("src != dst").distinct()
+    asked = scratch.save(targets.join(near, "id"))
+    starts = asked.select(F.col("cycle").alias("start"), F.col("cycle").alias("node")).distinct()
+    sizes = scratch.save(near.groupBy(F.col("cycle").alias("node"), "type").agg(F.count(F.lit(1)).alias("size")))
+    parts = []
+    for found in spread(between, starts, reverse=True):
+        typed = found.nodes.select("node", *found.bits(own=True)).join(sizes, "node")
+        parts.append(per_start(typed, found, ["type"], {"n": F.col("size")}).select(F.col("start").alias("cycle"), "type", "n"))
+    counted = _together(parts, "cycle string, type string, n long", graph)
+    rows = asked.select(F.col("id").alias("root"), "cycle", F.col("type").alias("own")).join(counted, "cycle")
+    return rows.select("root", "type", (F.col("n") - F.when(F.col("own") == F.col("type"), 1).otherwise(0)).alias("n")).where("n > 0")
+
+
 def impact(graph: Graph, targets: DataFrame) -> DataFrame:
     """Per target: how many of each type depend on it, apis, contexts and channels in their reach, the risk and the size of a change. [AGG-01, AGG-02, API-22]
 

@@ -105,6 +105,18 @@ def test_search_of_many_terms_equals_a_scan(spark):
         assert got.get(t, set()) == {(i, -s) for s, i in want}, t
 
 
+def test_dependents_of_many_targets_by_cycles(spark, monkeypatch):
+    """Targets of one cycle are one start; counts are those of a walk a target, ends that are no nodes included."""
+    _, _, graph = built(spark, 3)
+    targets = graph.nodes.select("id").unionByName(spark.createDataFrame([("ghost1",)], "id string"))
+    rows = lambda: sorted((r["root"], r["type"], r["n"]) for r in analytics.dependents_by_type(graph, targets).collect())
+    expected, starts, spread_ = rows(), [], analytics.spread
+    monkeypatch.setattr(analytics, "MANY_TARGETS", 5)
+    monkeypatch.setattr(analytics, "spread", lambda edges, some, **o: (starts.append(some.select("start").distinct().count()), spread_(edges, some, **o))[1])
+    assert rows() == expected and expected
+    assert starts[0] == 1 and starts[1] < graph.nodes.count()
+
+
 def test_search_never_broadcasts_index_and_nodes(spark):
     """They weigh little in files and much in the driver: Spark, which goes by files, must not choose them."""
     graph, scratch = built(spark)[2], Scratch(spark, "test")
