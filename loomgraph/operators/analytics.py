@@ -99,7 +99,7 @@ def structural_duplicates(graph: Graph) -> DataFrame:
 def channel_gaps(graph: Graph) -> DataFrame:
     """id and gap of channels invoked but not handled, or handled but not invoked. [JON-05]"""
     channels = graph.nodes.where(F.col("type") == "channel").select("id")
-    sides = graph.edges.where(F.col("kind").isin("invokes", "handles")).groupBy(F.col("dst").alias("id")).agg(F.bool_or(F.col("kind") == "invokes").alias("invoked"), F.bool_or(F.col("kind") == "handles").alias("handled"))
+    sides = walk.of_kinds(graph, "invokes", "handles").groupBy(F.col("dst").alias("id")).agg(F.bool_or(F.col("kind") == "invokes").alias("invoked"), F.bool_or(F.col("kind") == "handles").alias("handled"))
     return channels.join(sides, "id").where(F.col("invoked") != F.col("handled")).select("id", F.when(F.col("invoked"), "dangling").otherwise("orphan").alias("gap"))
 
 
@@ -324,7 +324,7 @@ def what_if_lazy_load(graph: Graph, target: str) -> DataFrame:
     alone = F.col("shared").isNull() & (F.col("id") != target)
     out = tree.agg(F.count_if(alone).alias("exclusive"), F.coalesce(F.sum(F.when(alone, F.coalesce("loc", F.lit(0)))), F.lit(0)).alias("exclusive_loc"), F.count_if(F.col("shared").isNotNull()).alias("shared"))
     kinds = ["navigates_to"] if is_route else ["renders", "routes_to"]
-    entries = graph.edges.where((F.col("dst") == target) & F.col("kind").isin(kinds)).agg(F.count(F.lit(1)).alias("entries"))
+    entries = walk.of_kinds(graph, *kinds).where(F.col("dst") == target).agg(F.count(F.lit(1)).alias("entries"))
     return out.join(entries).withColumn("worthwhile", (F.col("exclusive") >= 3) | (F.col("exclusive_loc") > 200))
 
 
