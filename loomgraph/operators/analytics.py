@@ -161,11 +161,12 @@ def _by_type_of_cycles(graph: Graph, targets: DataFrame) -> DataFrame:
     scratch = Scratch(graph.nodes.sparkSession, "dependents")
     types = graph.nodes.select("id", "type")
     every = targets.select(F.lit("").alias("start"), F.col("id").alias("node"))
-    (found,) = spread(graph.edges, every, reverse=True, known=types, written=graph.written)
+    into = walk.edges_into(graph, targets)
+    (found,) = spread(into, every, reverse=True, known=types, written=graph.written)
     # an end that is no node leads no further and counts for nothing
     near = scratch.save(found.nodes.select(F.col("node").alias("id")).join(types, "id"))
     end = lambda name: near.select(F.col("id").alias(name))
-    edges = scratch.save(graph.edges.select("src", "dst").where("src != dst").join(end("dst"), "dst", "left_semi").join(end("src"), "src", "left_semi").select("src", "dst", F.lit("any").alias("kind")).distinct())
+    edges = scratch.save(into.select("src", "dst").where("src != dst").join(end("dst"), "dst", "left_semi").join(end("src"), "src", "left_semi").select("src", "dst", F.lit("any").alias("kind")).distinct())
     cyclic = walk.cycles(Graph(near, edges, written=True), "any").select(F.col("member").alias("id"), "cycle")
     near = scratch.save(near.join(cyclic, "id", "left").withColumn("cycle", F.coalesce("cycle", "id")))
     of = lambda name: near.select(F.col("id").alias(name), F.col("cycle").alias(f"{name}_cycle"))
@@ -209,7 +210,7 @@ def impact(graph: Graph, targets: DataFrame) -> DataFrame:
 def route_counts(graph: Graph, ids: DataFrame, by: str = "id") -> DataFrame:
     """id and routes: how many routes (told apart by id or name) lead to each of the ids that any leads to. One row a node and block of routes."""
     parts = []
-    for found in walk.route_bits(graph, by):
+    for found in walk.route_bits(graph, ids, by):
         rows = found.nodes.select(F.col("node").alias("id"), *found.bits()).join(ids.select("id"), "id", "left_semi")
         parts.append(rows.select("id", how_many(found.words).alias("routes")).where("routes > 0"))
     return _together(parts, "id string, routes long", graph).groupBy("id").agg(F.sum("routes").alias("routes"))
@@ -384,7 +385,7 @@ def api_flow(graph: Graph, most_callers: int = 8, most_routes: int = 3) -> DataF
     calls = walk.of_kinds(graph, "calls").select(F.col("dst").alias("api"), F.col("src").alias("caller"))
     calls = calls.withColumn("k", F.row_number().over(Window.partitionBy("api").orderBy("caller"))).where(F.col("k") <= most_callers).drop("k")
     asked, parts = calls.select(F.col("caller").alias("node")).distinct(), []
-    for found in walk.route_bits(graph):
+    for found in walk.route_bits(graph, asked.withColumnRenamed("node", "id")):
         # bits are numbered by id, so the lowest ones set are the first routes
         lowest = F.slice(set_bits(found.words), 1, most_routes)
         rows = found.nodes.join(asked, "node", "left_semi").select("node", *found.bits()).select(F.col("node").alias("caller"), F.explode(lowest).alias("bit"))

@@ -2,6 +2,7 @@
 
 import datetime
 
+from loomgraph.operators import traverse
 from loomgraph.scratch import Scratch
 from loomgraph.sources import tabular
 
@@ -42,3 +43,22 @@ def test_following_lines_skip_unknown_suppliers_and_do_not_need_an_order(spark,
     rows = tabular.joined_lines(spark, str(tmp_path)).collect()
     assert sorted((r["l_suppkey"], r["following"]) for r in rows if r["following"] is not None) == [(10, 11), (11, 10)]
     assert sorted(r["l_suppkey"] for r in rows if r["ordered"]) == [10, 11, 12, 99]
+
+
+def test_walks_read_only_kinds_that_lead_to_the_targets(spark):
+    graph = _graph(spark)
+    kinds = lambda df: {r["kind"] for r in df.select("kind").distinct().collect()}
+    contexts = graph.nodes.where("type = 'context'").select("id")
+    traverse.edges_into(graph, graph.nodes.where("type = 'file'"))
+    assert set(graph._kinds) == {"imports"}
+    assert "uses" in kinds(traverse.edges_into(graph, contexts))
+    assert set(graph._kinds) == {"uses", "renders", "routes_to", "defines", "navigates_to", "imports"}
+    unknown = spark.createDataFrame([("nowhere",), (None,)], "id string")
+    assert traverse.edges_into(graph, unknown).count() == graph.edges.count()
+
+
+def test_ends_hold_for_every_edge(spark):
+    graph = _graph(spark)
+    of = lambda end: graph.nodes.select(graph.nodes["id"].alias(end), graph.nodes["type"].alias(f"{end}_type"))
+    seen = graph.edges.join(of("src"), "src").join(of("dst"), "dst").select("kind", "src_type", "dst_type").distinct().collect()
+    assert seen and all(r["src_type"] in graph.ends[r["kind"]][0] and r["dst_type"] in graph.ends[r["kind"]][1] for r in seen)
