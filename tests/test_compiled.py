@@ -2,7 +2,8 @@
 
 import datetime
 
-from loomgraph.operators import traverse
+from loomgraph.operators import spread, traverse
+from loomgraph.schema import Graph
 from loomgraph.scratch import Scratch
 from loomgraph.sources import tabular
 
@@ -62,3 +63,21 @@ def test_ends_hold_for_every_edge(spark):
     of = lambda end: graph.nodes.select(graph.nodes["id"].alias(end), graph.nodes["type"].alias(f"{end}_type"))
     seen = graph.edges.join(of("src"), "src").join(of("dst"), "dst").select("kind", "src_type", "dst_type").distinct().collect()
     assert seen and all(r["src_type"] in graph.ends[r["kind"]][0] and r["dst_type"] in graph.ends[r["kind"]][1] for r in seen)
+
+
+def test_a_level_has_a_row_a_node_however_many_goals(spark):
+    edges = spark.createDataFrame([(f"m{i}", f"g{j}") for i in range(3) for j in range(70)] + [("s", f"m{i}") for i in range(3)], "src string, dst string")
+    goals = spark.createDataFrame([(f"g{j}", f"g{j}") for j in range(70)], "start string, node string")
+    ((_, words, walked),) = spread.levels(edges, goals, True)
+    assert words == 2 and [level.count() for level in walked] == [70, 3, 1, 0]
+
+
+def test_shortest_flows_of_several_lengths_and_none(spark):
+    edges = [("a", "b"), ("b", "d"), ("a", "c"), ("c", "d"), ("d", "e"), ("x", "a")]
+    graph = Graph(spark.createDataFrame([(i, "component", i) for i in "abcdex"], "id string, type string, name string"), spark.createDataFrame([(*e, "renders") for e in edges], "src string, dst string, kind string"))
+    pairs = spark.createDataFrame([("a", "d"), ("a", "e"), ("x", "e"), ("e", "a"), ("a", "a"), ("b", "d"), ("q", "d")], "start string, goal string")
+    ways = {}
+    for r in traverse.shortest_paths(graph, pairs).orderBy("hop").collect():
+        ways.setdefault((r["start"], r["goal"]), []).append(r["id"])
+    assert {k: "".join(v) for k, v in ways.items()} == {("a", "d"): "abd", ("a", "e"): "abde", ("x", "e"): "xabde", ("b", "d"): "bd"}
+    assert traverse.shortest_paths(graph, pairs.where("start = 'x'"), 3).isEmpty()
