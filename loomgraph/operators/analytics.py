@@ -296,11 +296,12 @@ def what_if_remove(graph: Graph, targets: DataFrame) -> DataFrame:
 def what_if_split(graph: Graph, targets: DataFrame) -> DataFrame:
     """Per target: call sites, children, state and apis, and whether a split is worth it. [AGG-13]"""
     goal = targets.select("id").distinct()
-    leave = graph.edges.join(goal.withColumnRenamed("id", "src"), "src", "left_semi").groupBy(F.col("src").alias("id")).agg(
+    # targets may be most of the nodes, whose ids weigh far more in memory than in files: edges are counted first, and nothing is broadcast
+    leave = walk.of_kinds(graph, "renders", "uses", "calls").groupBy(F.col("src").alias("id")).agg(
         F.count_if(F.col("kind") == "renders").alias("children"), F.count_if(F.col("kind") == "uses").alias("state"), F.count_if(F.col("kind") == "calls").alias("apis")
     )
-    enter = walk.of_kinds(graph, "renders", "routes_to").join(goal.withColumnRenamed("id", "dst"), "dst", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("call_sites"))
-    rows = goal.join(graph.nodes.select("id", "loc"), "id").join(leave, "id", "left").join(enter, "id", "left").na.fill(0, ["children", "state", "apis", "call_sites"])
+    enter = walk.of_kinds(graph, "renders", "routes_to").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("call_sites"))
+    rows = goal.hint("merge").join(graph.nodes.select("id", "loc").hint("merge"), "id").join(leave.hint("merge"), "id", "left").join(enter.hint("merge"), "id", "left").na.fill(0, ["children", "state", "apis", "call_sites"])
     return rows.withColumn("worth", (F.coalesce("loc", F.lit(0)) >= LARGE_LOC) | (F.col("children") >= 5))
 
 

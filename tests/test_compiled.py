@@ -2,7 +2,7 @@
 
 import datetime
 
-from loomgraph.operators import spread, traverse
+from loomgraph.operators import analytics, spread, traverse
 from loomgraph.schema import Graph
 from loomgraph.scratch import Scratch
 from loomgraph.sources import tabular
@@ -81,3 +81,9 @@ def test_shortest_flows_of_several_lengths_and_none(spark):
         ways.setdefault((r["start"], r["goal"]), []).append(r["id"])
     assert {k: "".join(v) for k, v in ways.items()} == {("a", "d"): "abd", ("a", "e"): "abde", ("x", "e"): "xabde", ("b", "d"): "bd"}
     assert traverse.shortest_paths(graph, pairs.where("start = 'x'"), 3).isEmpty()
+
+
+def test_splits_of_all_components_broadcast_nothing(spark):
+    graph = _graph(spark)
+    plan = analytics.what_if_split(graph, graph.nodes.where("type = 'component'"))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
