@@ -28,6 +28,17 @@ def test_nodes_and_tables_of_small_kinds_are_made_without_joining_lines(spark):
     assert made == [1] and set(graph._kinds) == {"renders", "imports"}
 
 
+def test_graphs_of_a_folder_share_the_kinds_that_are_the_same_in_both(spark):
+    whole = _graph(spark)
+    called = tabular.TableGraph(spark, SF, whole._lines, called_only=True, whole=lambda: whole)
+    early = tabular.TableGraph(spark, SF, whole._lines, until="1995-03-01", called_only=True, whole=lambda: whole)
+    plain = tabular.compile_tables(spark, SF, "1995-03-01", True)
+    rows = lambda df: sorted(map(str, df.select("src", "kind", "dst", "confidence").collect()))
+    assert rows(early.edges) == rows(plain.edges) != rows(called.edges) == rows(whole.edges)
+    assert all(called._kinds[k] is whole._kinds[k] for k in whole.ends)
+    assert {k for k in whole.ends if early._kinds[k] is not whole._kinds[k]} == set(whole.dated)
+
+
 def test_kinds_together_are_the_compiled_edges(spark):
     graph, plain = _graph(spark), tabular.compile_tables(spark, SF)
     rows = lambda df: sorted(map(str, df.select("src", "kind", "dst", "confidence").collect()))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import scene, temporal
+from loomgraph.schema import NODES, Graph
 from loomgraph.sources import store
 from loomgraph.streaming import jobs
 from tests.graphs import shop
@@ -22,6 +23,18 @@ def test_snapshots(spark, tmp_path):
     assert store.prune(spark, folder, keep=1) == [name] and store.snapshots(spark, folder).count() == 1
 
 
+def test_content_keys_tell_rows_apart_whatever_their_order_without_json(spark, monkeypatch):
+    ends, none = [("a", "b"), ("a:1", "b"), ("c", None)], spark.createDataFrame([], NODES)
+    key = lambda rows: store.content_key(Graph(none, spark.createDataFrame(rows, "src string, dst string").withColumn("kind", F.lit("calls"))))
+    place = F.struct(F.lit("f").alias("file"), F.lit(1).alias("line"))
+    edges = spark.createDataFrame(ends, "src string, dst string")
+    assert store.content_key(Graph(none, edges.withColumn("source", place))) != store.content_key(Graph(none, edges))
+    assert len({key(ends), key(ends[:2]), key([*ends, ends[0]]), key([("a", "b"), ("a", "1:b"), ("c", None)]), key([("a", "b"), ("a:1", "b"), (None, "c")])}) == 5
+    to_json, asked = F.to_json, []
+    monkeypatch.setattr(store.F, "to_json", lambda x, *a: asked.append(x) or to_json(x, *a))
+    assert key(ends) == key(ends[::-1]) and set(asked) == {"source"}  # JSON of whole rows took most of the time
+
+
 def test_documents(spark, tmp_path):
     folder = f"{tmp_path}/graph"
     store.write_graph_json(shop(spark), folder, "r", F.lit("2026-01-01 00:00:00").cast("timestamp"), rows=4)
