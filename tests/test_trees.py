@@ -73,3 +73,17 @@ def test_refresh_equals_a_full_build(spark, tmp_path):
             refresh.refresh(store, changes, i)  # a batch that runs again changes nothing
         assert {(r["src"], r["dst"], r["n"]) for r in store.read("edges").collect()} == want[i], i
     assert {r["id"] for r in store.graph().nodes.collect()} == {"a", "r", "route:/x/:id"}
+
+
+def test_a_batch_sums_no_log_of_facts(spark, tmp_path, monkeypatch):
+    """Its own changes and the differences that moved files and routes make are enough; a put without facts is a file."""
+    store, asked = refresh.Store(spark, f"file://{tmp_path}/g"), []
+    read = store.read
+    monkeypatch.setattr(store, "read", lambda table, *a: asked.append(table) or read(table, *a))
+    nav = [{"fact": "nav", "name": "A", "target": "/x/1"}, {"fact": "import", "name": None, "target": "b"}]
+    refresh.refresh(store, spark.createDataFrame([(0, "a", "put", nav), (0, "b", "put", None)], refresh.CHANGES), 0)
+    refresh.refresh(store, spark.createDataFrame([(1, "a", "put", nav), (1, "r", "put", [{"fact": "route", "name": None, "target": "/x/:id"}]), (1, "b", "delete", None)], refresh.CHANGES), 1)
+    assert asked == []
+    assert {(r["src"], r["dst"], r["n"]) for r in read("edges").collect()} == {("A", "route:/x/:id", 1)}
+    assert {(r["src"], r["dst"], r["n"]) for r in read("edges", 1).collect()} == {("A", "route:/x/1", 1), ("a", "b", 1)}
+    assert {(r["id"], r["n"]) for r in read("nodes").collect()} == {("a", 1), ("r", 1), ("route:/x/:id", 1)}
