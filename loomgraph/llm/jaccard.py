@@ -128,22 +128,22 @@ def _lists_of(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
 
 
-def _compared(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, scratch: Scratch, label: str) -> DataFrame:
+def _compared(documents: DataFrame, repeats: bool, nodes: DataFrame, pairs: DataFrame, width: int, scratch: Scratch, label: str) -> DataFrame:
     """Of the pairs (a, b, likeness) those alike to `likeness` percent: a, b, nb (b's size), and what a lacks of b and has beside it.
 
     Texts, which take less room than their sets, are dealt by b in one shuffle: b's own text first, then those of its
     partners. A b of many partners is dealt to several tasks, each with a copy of its text.
     """
-    pairs = scratch.save(pairs.select("a", "b", "likeness"), f"pairs-{label}")
+    pairs, (total,) = scratch.observed(pairs.select("a", "b", "likeness"), f"pairs-{label}")
     counts = scratch.save(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("c")), f"counts-{label}")
     counts = counts.withColumn("parts", F.ceil(F.col("c") / HUB_BLOCK).cast("int"))
-    members = join_hot(pairs, counts, ["b"], "c", pairs.count()).select(F.col("a").alias("node"), "b", "likeness", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("salt"))
+    members = join_hot(pairs, counts, ["b"], "c", total).select(F.col("a").alias("node"), "b", "likeness", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("salt"))
     heads = counts.select(F.col("b").alias("node"), "b", F.lit(0.0).alias("likeness"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
     rows = members.unionByName(heads)
-    rows = scratch.save(rows.join(nodes.select("node", "doc_key").hint("shuffle_merge"), "node"), f"rows-{label}")
-    wanted = F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+    rows, (many,) = scratch.observed(rows.join(nodes.select("node", "doc_key").hint("shuffle_merge"), "node"), f"rows-{label}")
+    wanted = F.broadcast(rows) if many <= BROADCAST_IDS else rows
     texts = _keyed(documents).select("doc_key", "text")
-    texts = texts.dropDuplicates(["doc_key"]) if _has_repeats(documents) else texts
+    texts = texts.dropDuplicates(["doc_key"]) if repeats else texts
     shuffled = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = texts.join(wanted, "doc_key").select("b", "salt", (F.col("node") != F.col("b")).alias("partner"), "node", "likeness", "text")
     dealt = dealt.repartition(shuffled, "b", "salt").sortWithinPartitions("b", "salt", "partner")
@@ -179,27 +179,25 @@ def components(links: DataFrame, scratch: Scratch, label: str = "cc") -> DataFra
     """node and component (its smallest node) of every node of links (a, b).
 
     Alternating large and small stars: each round is a minimum per node and a join in which hot nodes are broadcast;
-    it ends when a round changes nothing.
+    it ends when all that is left are stars around their smallest nodes, that is when no node with a smaller neighbour has a second one.
     """
     edges = scratch.save(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{label}-0")
-    mark = None
     for step in itertools.count(1):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("c")), f"{label}-l{step}")
-        total = edges.count()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("c"))
+        least, (ends, chained) = scratch.observed(least, f"{label}-l{step}", F.sum("c"), F.count_if((F.col("m") < F.col("u")) & (F.col("c") > 1)))
+        if not chained:
+            break
+        total = ends // 2
         large = join_hot(both.where(F.col("v") > F.col("u")), least, ["u"], "c", total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = scratch.save(large, f"{label}-g{step}")
         least = scratch.save(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")), f"{label}-m{step}")
         small = join_hot(large, least, ["u"], "c", total).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = scratch.save(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), f"{label}-{step}")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == mark:
-            break
-        mark = tuple(now)
         scratch.drop(*[f"{label}-{part}{step}" for part in ("l", "g", "m")])
         scratch.drop(f"{label}-{step - 1}")
     done = scratch.save(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), f"{label}-done")
-    scratch.drop(*[f"{label}-{part}{step}" for part in ("l", "g", "m", "")], f"{label}-{step - 1}")
+    scratch.drop(f"{label}-l{step}", f"{label}-{step - 1}")
     return done
 
 
@@ -282,8 +280,8 @@ def _home_pairs(lists: DataFrame, homes: DataFrame | None, classes: DataFrame |
 
 def _leads_agree(pairs: DataFrame, leads: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs whose leading shingles have as many in common as sets so alike must have. leads: node, n, prefix."""
-    both = pairs = scratch.save(pairs, "met")
-    total = pairs.count()
+    pairs, (total,) = scratch.observed(pairs, "met")
+    both = pairs
     for side in ("a", "b"):
         uses = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("uses"))
         right = leads.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("prefix").alias(f"p{side}")).join(uses.hint("shuffle_merge"), side)
@@ -338,7 +336,7 @@ def _answers(star: DataFrame, guests: DataFrame, homes: DataFrame, percent: int,
     return links, scratch.save(n_links, "n_links")
 
 
-def link_classes(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT, scratch: Scratch | None = None, count_links: bool = False) -> DataFrame:
+def link_classes(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT, scratch: Scratch | None = None, count_links: bool = False, repeats: bool | None = None) -> DataFrame:
     """doc_id, doc_key, n_shingles, component_id, class_key and, with count_links, n_links of every row of documents.
 
     Rows link when 100 * shared >= percent * union of their sets of `width`-word shingles (A-Z lower-cased, ASCII white
@@ -352,14 +350,16 @@ def link_classes(documents: DataFrame, width: int = WIDTH, percent: int = PERCEN
     Frequent shingles come last in the global order, so lists of the leading shingles are mostly short. First each posting is
     compared with the hub of its list only. With count_links, sets alike to a hub go home to it; then homes, not sets, meet in
     the lists that hold several, and the links of members are derived from their homes' by the differences (see _answers).
-    Without, only classes are asked for: what is in one class already doesn't meet.
+    Without, only classes are asked for: what is in one class already doesn't meet. repeats tells whether an id occurs twice, if the
+    caller knows.
     """
     spark = documents.sparkSession
     ship(spark)
     scratch = scratch or Scratch(spark, "jaccard")
     documents = documents.select("doc_id", "text")
+    repeats = _has_repeats(documents) if repeats is None else repeats
     full = scratch.save(_sets(documents, width, percent), "full")
-    sets = scratch.save(full.drop("prefix"), "sets")
+    sets, (all_rows,) = scratch.observed(full.drop("prefix"), "sets")
     one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "doc_key")).alias("one")
     nodes = full.where(F.col("n") > 0).groupBy("k1", "k2", "n").agg(one, F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("copies"))
     nodes = nodes.select("k1", "k2", "n", F.col("one.doc_id").alias("first_id"), F.col("one.doc_key").alias("doc_key"), "prefix", "copies", F.monotonically_increasing_id().alias("node"))
@@ -367,30 +367,30 @@ def link_classes(documents: DataFrame, width: int = WIDTH, percent: int = PERCEN
     nodes = scratch.save(leads.drop("prefix"), "nodes")
     scratch.drop("full")
     postings = leads.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    tokens = scratch.save(postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1), "tokens")
-    total = int(tokens.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
+    tokens, (total,) = scratch.observed(postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1), "tokens", F.sum("c"))
     lists = scratch.save(join_hot(postings, tokens, ["token"], "c", total), "lists")
     scratch.drop("tokens")
     release(spark)
-    star = _compared(documents, nodes, _star_pairs(lists, percent, total, scratch), width, scratch, "star")
+    star = _compared(documents, repeats, nodes, _star_pairs(lists, percent, total, scratch), width, scratch, "star")
     scratch.drop("hubs")
     release(spark)
     homes = _homes(star, percent, scratch) if count_links else None
     classes = None if count_links else components(star.select("a", "b"), scratch, "stars")
     pairs = _leads_agree(_home_pairs(lists, homes, classes, percent, total, scratch), leads, percent, scratch)
-    guests = _compared(documents, nodes, pairs, width, scratch, "guests")
+    guests = _compared(documents, repeats, nodes, pairs, width, scratch, "guests")
     scratch.drop("lists", "known", "several", "mixed", "leads", "met")
     release(spark)
     if count_links:
         links, n_links = _answers(star, guests, homes, percent, scratch)
     else:
-        links = star.select("a", "b").unionByName(guests.select("a", "b"))
+        links = classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(guests.select("a", "b"))
     found = components(links, scratch, "all")
     scratch.drop("found-star", "found-guests", "groups", "pairs", "homes", "weights", "answers", "stars-done")
     release(spark)
     own = found.join(nodes.select("node", "first_id").hint("shuffle_merge"), "node")
     least = own.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("c"))
-    own = join_hot(own, scratch.save(least, "least"), ["component"], "c", int(found.count())).select("node", "component", "component_id")
+    least, (linked,) = scratch.observed(least, "least", F.sum("c"))
+    own = join_hot(own, least, ["component"], "c", linked).select("node", "component", "component_id")
     classed = nodes.select("k1", "k2", "n", "node", "first_id", "copies").join(own.hint("shuffle_merge"), "node", "left")
     extra = ["n_links"] * count_links
     if count_links:
@@ -398,7 +398,7 @@ def link_classes(documents: DataFrame, width: int = WIDTH, percent: int = PERCEN
     classed = scratch.save(classed.select("k1", "k2", "n", "copies", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("component", "node").alias("class_key"), *extra), "classed")
     scratch.drop("least", "all-done", "nodes", "n_links")
     rows = sets.select("doc_id", "doc_key", "n", "k1", "k2")
-    joined = join_hot(rows.where(F.col("n") > 0), classed, ["k1", "k2", "n"], "copies", int(sets.count()))
+    joined = join_hot(rows.where(F.col("n") > 0), classed, ["k1", "k2", "n"], "copies", all_rows)
     names = ["doc_id", "doc_key", F.col("n").alias("n_shingles"), "component_id", "class_key", *extra]
     alone = rows.where(F.col("n") == 0).withColumns({"component_id": F.col("doc_id"), "class_key": F.lit(None).cast("long"), "n_links": F.lit(0).cast("long")})
     return joined.select(names).unionByName(alone.select(names))
@@ -412,19 +412,19 @@ def drop_near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "neardup")
-    classes = scratch.save(link_classes(documents, width, percent, scratch), "classes").where(F.col("n_shingles") > 0)
+    repeats = _has_repeats(documents)
+    classes = scratch.save(link_classes(documents, width, percent, scratch, repeats=repeats), "classes").where(F.col("n_shingles") > 0)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "doc_key")
     best = classes.groupBy("class_key").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("c"))
-    best = scratch.save(best.where(F.col("c") > 1), "best")
-    total = int(best.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
+    best, (total,) = scratch.observed(best.where(F.col("c") > 1), "best", F.sum("c"))
     dropped = join_hot(classes, best, ["class_key"], "c", total).where(F.col("doc_key") != F.col("best.doc_key")).select("doc_key").distinct()
     name = fresh_name(documents, "gone")
-    gone = scratch.save(dropped, "dropped").select(F.col("doc_key").alias(name))
+    gone, (many,) = scratch.observed(dropped.select(F.col("doc_key").alias(name)), "dropped")
     scratch.drop("classes", "best", "classed", "sets")
     release(spark)
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    gone = F.broadcast(gone) if many <= BROADCAST_IDS else gone
     kept = documents.join(gone, doc_key() == F.col(name), "left_anti")
-    return kept.dropDuplicates(["doc_id", "text"]) if _has_repeats(documents) else kept
+    return kept.dropDuplicates(["doc_id", "text"]) if repeats else kept
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,8 +15,8 @@ MOST = 3
 WEIGHTS = (1, 2, 3)
 #: Newton ends when each source's expected words are this near its target, relatively, or its dual is known to TIGHT.
 NEAR, TIGHT = 1e-7, 1e-13
-#: Keys of taken documents broadcast at most; beyond, the join is shuffled.
-BROADCAST_KEYS = 1_000_000
+#: Keys of taken documents, and sources, broadcast at most; beyond, the join is shuffled.
+BROADCAST_KEYS, BROADCAST_SOURCES = 1_000_000, 100_000
 
 
 def sized(documents: DataFrame) -> DataFrame:
@@ -62,9 +62,11 @@ def balance(sizes: DataFrame, goals: DataFrame, scratch: Scratch, most: int = MO
     bound = F.log(F.lit(float(most))) * F.col("mean") / F.col("smallest")
     full = F.col("target") >= F.col("source_size") * (most * (1 - 1e-12))
     first = F.when(full, bound).otherwise(F.log(F.col("target") / F.col("source_size")))
-    dual = scratch.save(start.select("source", "target", "mean", first.alias("dual"), F.lit(-745.0).alias("low"), bound.alias("high"), full.alias("done")), "dual-0")
+    start = start.select("source", "target", "mean", first.alias("dual"), F.lit(-745.0).alias("low"), bound.alias("high"), full.alias("done"))
+    dual, (sources,) = scratch.observed(start, "dual-0")
+    beside = F.broadcast if sources <= BROADCAST_SOURCES else lambda dual: dual.hint("shuffle_hash")
     for step in itertools.count(1):
-        at = classes.join(dual.hint("shuffle_hash"), classes["source"].eqNullSafe(dual["source"])).select(dual["*"], "size", "n")
+        at = classes.join(beside(dual), classes["source"].eqNullSafe(dual["source"])).select(dual["*"], "size", "n")
         x = F.col("size") / F.col("mean")
         raw = F.exp(F.least(F.col("dual") * x, F.lit(50.0)))
         words = F.col("n") * F.col("size")
@@ -76,11 +78,11 @@ def balance(sizes: DataFrame, goals: DataFrame, scratch: Scratch, most: int = MO
         newton = F.col("dual") - gap / F.when(F.col("slope") > 0, F.col("slope"))
         inside = (newton > F.col("low")) & (newton < F.col("high"))
         following = F.when(F.col("done"), F.col("dual")).when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2)
-        dual = scratch.save(sums.select("source", "target", "mean", following.alias("dual"), "low", "high", "done"), f"dual-{step}")
+        dual, (moving,) = scratch.observed(sums.select("source", "target", "mean", following.alias("dual"), "low", "high", "done"), f"dual-{step}", F.count_if(~F.col("done")))
         scratch.drop(f"dual-{step - 1}")
-        if dual.where(~F.col("done")).isEmpty():
+        if not moving:
             break
-    at = classes.join(dual.hint("shuffle_hash"), classes["source"].eqNullSafe(dual["source"])).select(classes["*"], "target", "mean", "dual")
+    at = classes.join(beside(dual), classes["source"].eqNullSafe(dual["source"])).select(classes["*"], "target", "mean", "dual")
     return at.select("source", "size", "n", "target", F.least(F.lit(float(most)), F.exp(F.least(F.col("dual") * F.col("size") / F.col("mean"), F.lit(50.0)))).alias("rate"))
 
 
@@ -118,6 +120,7 @@ def mix_documents(documents: DataFrame, scratch: Scratch | None = None, weights:
     scratch = scratch or Scratch(spark, "mixing")
     sizes = scratch.save(sized(documents), "sizes")
     goals = targets(sizes, scratch, weights, most)
+    n_sources = goals.count()
     taken = scratch.save(copies_by_class(balance(sizes, goals, scratch, most), most), "copies")
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranked = rank_within(sizes, ["source", "size"], [F.col("doc_key"), F.col("doc_id")], parts, "rank")
@@ -135,7 +138,7 @@ def mix_documents(documents: DataFrame, scratch: Scratch | None = None, weights:
     each = F.coalesce(F.floor(c / n) + F.when(F.col("rank") < c % n, 1).otherwise(0), F.lit(0)).cast("long")
     rows = joined.select("doc_id", "doc_key", "source", "size", each.alias("copies"))
     goals = goals.select(F.col("source").alias("g"), "source_size", "target")
-    return rows.join(F.broadcast(goals) if goals.count() <= 100_000 else goals, F.col("source").eqNullSafe(F.col("g"))).drop("g")
+    return rows.join(F.broadcast(goals) if n_sources <= BROADCAST_SOURCES else goals, F.col("source").eqNullSafe(F.col("g"))).drop("g")
 
 
 def resampled(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -146,19 +149,21 @@ def resampled(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: in
     """
     scratch = Scratch(documents.sparkSession, "resampled")
     rows = mix_documents(documents, scratch, weights, most).groupBy("doc_key").agg(F.sum("copies").cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    taken = scratch.save(rows.where(F.col("_copies") > 0), "taken").withColumnRenamed("doc_key", "_key")
+    once = F.col("_rows") == 1
+    taken, (n_once, n_repeated) = scratch.observed(rows.where(F.col("_copies") > 0), "taken", F.count_if(once), F.count_if(~once))
+    taken = taken.withColumnRenamed("doc_key", "_key")
     scratch.drop("sizes", "copies", "classes", "sources", "ratios", "targets")
-    once, repeated = taken.where(F.col("_rows") == 1), taken.where(F.col("_rows") > 1)
+    repeated = taken.where(~once)
     row = fresh_name(documents, "_row")
     keyed = documents.select(doc_key().alias("_own"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias(row))
 
-    def drawn(side: DataFrame, rows: DataFrame) -> DataFrame:
-        side = F.broadcast(side) if side.count() <= BROADCAST_KEYS else side
+    def drawn(side: DataFrame, n: int, rows: DataFrame) -> DataFrame:
+        side = F.broadcast(side) if n <= BROADCAST_KEYS else side
         return rows.join(side, F.col("_own") == F.col("_key")).select(row, F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(f"{row}.*")
 
-    out = drawn(once, keyed)
-    if not repeated.isEmpty():
-        out = out.unionByName(drawn(repeated, keyed.join(repeated.select("_key"), F.col("_own") == F.col("_key"), "left_semi").dropDuplicates(["_own"])))
+    out = drawn(taken.where(once), n_once, keyed)
+    if n_repeated:
+        out = out.unionByName(drawn(repeated, n_repeated, keyed.join(repeated.select("_key"), F.col("_own") == F.col("_key"), "left_semi").dropDuplicates(["_own"])))
     return out
 
 

@@ -113,3 +113,28 @@ def test_repeated_and_missing_ids_neither_merge_nor_hide_classes(documents):
     assert sorted(t for i, t in got if i is not None) == [other, base]
     assert len([t for i, t in got if i is None and "x1 x2" in t]) == 1 and len(got) == 4
     assert {r["class_key"] is None for r in link_classes(documents([(1, None), (2, "")])).collect()} == {True}
+
+
+def test_classes_take_few_queries(spark, documents, monkeypatch):
+    """The driver keeps something of each query: counts are taken while tables are written, and classes of stars need no round."""
+    from pyspark.sql import DataFrame
+
+    from loomgraph.llm.common import Scratch
+    from loomgraph.llm.jaccard import components
+
+    def refused(self):
+        raise AssertionError("a query for a count alone")
+
+    monkeypatch.setattr(DataFrame, "count", refused)
+    rows = corpus(4)
+    got = link_classes(documents(rows), 5, 80).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == sorted((r[:3] for r in brute(rows, 5, 80)), key=str)
+    saved = []
+    keep = Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, label: saved.append(label) or keep(self, df, label))
+    stars = spark.createDataFrame([(9, 1), (2, 1), (1, 5), (4, 3), (7, 7)], "a long, b long")
+    assert sorted(map(tuple, components(stars, Scratch(spark, "test"), "s").collect())) == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 1), (9, 1)]
+    assert saved == ["s-0", "s-l1", "s-done"]
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 40)], "a long, b long")
+    assert sorted(map(tuple, components(chain, Scratch(spark, "test"), "c").collect())) == [(i, 1) for i in range(1, 41)]
+    assert components(stars.limit(0), Scratch(spark, "test"), "n").collect() == []

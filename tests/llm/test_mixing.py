@@ -81,3 +81,21 @@ def test_rates_are_those_of_another_solver(spark, documents):
             words = sum(r["n"] * r["size"] * min(MOST, math.exp(min(50, dual * r["size"] / mean))) for r in own)
             low, high = (dual, high) if words < target else (low, dual)
         assert all(r["rate"] == pytest.approx(min(MOST, math.exp(min(50, low * r["size"] / mean))), rel=1e-4) for r in own), source
+
+
+def test_steps_ask_nothing_of_their_own(documents, monkeypatch):
+    """Whether a step was the last is told while its duals are written, without a query that the driver would keep."""
+    from pyspark.sql import DataFrame
+
+    from loomgraph.llm.mixing import resampled
+
+    rows = [(i, "w " * (1 + (i * 37) % 90), "en", "abc"[i % 3] if i % 4 else None) for i in range(200)]
+    rows += rows[:3]
+    expected = {r["doc_id"]: r["n"] for r in mix_documents(documents(rows)).groupBy("doc_id").agg({"copies": "sum"}).toDF("doc_id", "n").collect()}
+
+    def refused(self):
+        raise AssertionError("a query for an answer that was known")
+
+    monkeypatch.setattr(DataFrame, "isEmpty", refused)
+    got = resampled(documents(rows)).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in got} == {k: n for k, n in expected.items() if n}
