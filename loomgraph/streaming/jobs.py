@@ -19,11 +19,16 @@ FINAL_ERRORS = ("no-key",)
 ENDED = ("done", "failed")
 JOB_EVENTS = "job_id string, t timestamp, event string, error string"
 JOB_STATES = "job_id string, status string, attempts int, error string, delay_ms long"
-_STATE = "status string, attempts int, error string"
+#: Jobs of a group by id; due: when a waiting one queues again; heard: when anything was heard of it, both in milliseconds.
+_STATE = "jobs array<struct<job_id:string,status:string,attempts:int,error:string,due:long,heard:long>>"
+#: Groups that jobs are dealt to by their id. A call of the machine, a state and a timer are a group's, as each costs milliseconds in Python.
+GROUPS = 2048
 #: How long a job that nothing is heard of is kept.
 TTL_MS = 24 * 3600 * 1000
-#: Bytes of events that a micro-batch takes, about half a million of them.
-BATCH_BYTES = 32 << 20
+#: Bytes of events that a micro-batch takes, about three millions of them; they are sorted by group and read one by one.
+BATCH_BYTES = 256 << 20
+#: State partitions a core at most: each costs a batch a task with its store, whatever it holds.
+STORES_PER_CORE = 4
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -47,56 +52,77 @@ def _advance(status: str, attempts: int, event: str, error: str | None) -> tuple
 
 
 class JobMachine(StatefulProcessor):
-    """A job's status and attempts as value state that lapses when nothing is heard of the job for ttl_ms; a timer queues it again after
-    its delay. A job that has ended has no state."""
+    """Status and attempts of a group's jobs as one value state; a timer queues those again whose delay is over. A job that has ended has
+    no state, and one that nothing is heard of for ttl_ms lapses: by itself where its group is heard of, with the group elsewhere."""
 
     def __init__(self, ttl_ms: int = TTL_MS):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.job = handle, handle.getValueState("job", _STATE, self.ttl_ms)
+        self.handle, self.group = handle, handle.getValueState("group", _STATE, self.ttl_ms)
+
+    def _held(self, now: int) -> dict[str | None, tuple]:
+        held = self.group.get()
+        return {x[0]: tuple(x[1:]) for x in held[0] if now - x[5] < self.ttl_ms} if held else {}
+
+    def _keep(self, held: dict[str | None, tuple]) -> None:
+        if held:
+            self.group.update(([(job, *x) for job, x in held.items()],))
+        else:
+            self.group.clear()
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = self.job.get()
-        status, attempts, error = held or ("", 0, None)
-        waited, delay = status == "waiting", None
-        for row in sorted(rows, key=lambda x: (x.t is None, x.t or 0)):
-            before = status
-            status, attempts, wait = _advance(status, attempts, row.event, row.error)
-            if status != before or wait is not None:
-                delay = wait
-            error = row.error if row.event == "fail" and before == "processing" else None if row.event == "start" else error
-        if waited:  # no other job has a timer
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
-        if status and status not in ENDED:
-            self.job.update((status, attempts, error))
-        elif held:
-            self.job.clear()
-        if status == "waiting":
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + (delay or 0))
-        if status:
-            yield Row(job_id=key[0], status=status, attempts=attempts, error=error, delay_ms=delay if status == "waiting" else None)
+        now = timerValues.getCurrentProcessingTimeInMs()
+        held, events = self._held(now), {}
+        for row in rows:
+            events.setdefault(row.job_id, []).append((row.t is None, row.t or 0, row.event, row.error))
+        out, timers = [], set()
+        for job, heard in events.items():
+            status, attempts, error, due, _ = held.pop(job, ("", 0, None, None, None))
+            delay = None
+            for *_, event, said in sorted(heard, key=lambda x: x[:2]):
+                before = status
+                status, attempts, wait = _advance(status, attempts, event, said)
+                if status != before or wait is not None:
+                    delay, due = wait, None if wait is None else now + wait
+                error = said if event == "fail" and before == "processing" else None if event == "start" else error
+            if status and status not in ENDED:
+                held[job] = status, attempts, error, due, now
+            if status == "waiting" and delay is not None:
+                timers.add(due)
+            if status:
+                out.append(Row(job_id=job, status=status, attempts=attempts, error=error, delay_ms=delay if status == "waiting" else None))
+        self._keep(held)
+        for due in timers:
+            self.handle.registerTimer(due)
+        yield from out
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        held = self.job.get()
-        if held and held[0] == "waiting":
-            _, attempts, error = held
-            self.job.update(("queued", attempts, error))
-            yield Row(job_id=key[0], status="queued", attempts=attempts, error=error, delay_ms=None)
+        """The timer of a job that was started before it rang finds nothing that is due."""
+        now = timerValues.getCurrentProcessingTimeInMs()
+        held = self._held(now)
+        over = [job for job, x in held.items() if x[0] == "waiting" and x[3] <= now]
+        for job in over:
+            held[job] = "queued", *held[job][1:3], None, now
+        if over:
+            self._keep(held)
+        for job in over:
+            yield Row(job_id=job, status="queued", attempts=held[job][1], error=held[job][2], delay_ms=None)
 
     def close(self) -> None:
         pass
 
 
-def job_states(events: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
+def job_states(events: DataFrame, ttl_ms: int = TTL_MS, groups: int = GROUPS) -> DataFrame:
     """Each job's state after every micro-batch that has events of it, and when its delay is over and it queues again. [STM-02, STM-03]
 
     events: a stream of job_id, t, event (upload, start, finish, fail) and error; delay_ms is how long a waiting job waits. Events
-    of a job that isn't known, but for an upload, give no row. The session must keep state in RocksDB (STORE).
+    of a job that isn't known, but for an upload, give no row. The session must keep state in RocksDB (STORE). A query that goes on
+    from a checkpoint must have the same number of groups.
     """
     ship(events.sparkSession)
-    return events.groupBy("job_id").transformWithState(JobMachine(ttl_ms), JOB_STATES, "Update", "processingTime")
+    dealt = events.withColumn("_group", F.pmod(F.xxhash64("job_id"), F.lit(groups)))
+    return dealt.groupBy("_group").transformWithState(JobMachine(ttl_ms), JOB_STATES, "Update", "processingTime")
 
 
 def run_jobs(spark: SparkSession, folder: str, attempt: Callable[[DataFrame], DataFrame], done: Callable[[], bool], seconds: int = 3600) -> dict:
@@ -109,8 +135,11 @@ def run_jobs(spark: SparkSession, folder: str, attempt: Callable[[DataFrame], Da
     A batch takes what has come in, up to BATCH_BYTES, in as many files as there are: what one batch writes is all there for the next,
     so batches are as many as attempts and waits make them, not as files do. That the time is up before done() is an error.
     """
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    stores = min(int(spark.conf.get("spark.sql.shuffle.partitions")), STORES_PER_CORE * spark.sparkContext.defaultParallelism)
+    wanted = {"spark.sql.streaming.stateStore.providerClass": STORE, "spark.sql.shuffle.partitions": stores}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     states = job_states(spark.readStream.schema(JOB_EVENTS).option("maxBytesPerTrigger", BATCH_BYTES).json(f"{folder}/in"))
 
     def take(batch: DataFrame, number: int) -> None:
@@ -120,7 +149,8 @@ def run_jobs(spark: SparkSession, folder: str, attempt: Callable[[DataFrame], Da
         if queued.isEmpty():
             return
         came = attempt(queued).select("job_id", F.explode(F.array(F.struct(F.lit("start").alias("event"), F.lit(None).cast("string").alias("error")), F.struct("event", "error"))).alias("e"))
-        at = F.timestamp_micros(F.lit(number * 10) + F.when(F.col("e.event") == "start", 0).otherwise(1))
+        # JSON has milliseconds; a start and its end must differ in them, as tasks that read parts of a file keep no order among each other
+        at = F.timestamp_millis(F.lit(number * 10) + F.when(F.col("e.event") == "start", 0).otherwise(1))
         # a name of its own for each batch: one that runs again replaces what it wrote
         came.select("job_id", at.alias("t"), "e.event", "e.error").write.mode("overwrite").json(f"{folder}/next/{number}")
         _move(spark, f"{folder}/next/{number}", f"{folder}/in", f"batch-{number}")
@@ -128,7 +158,8 @@ def run_jobs(spark: SparkSession, folder: str, attempt: Callable[[DataFrame], Da
     try:
         query = states.writeStream.foreachBatch(take).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(processingTime="1 second").start()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     last = run_until(query, done, seconds)
     if not done():
         raise TimeoutError("the jobs didn't end in time")

@@ -3,6 +3,7 @@ import os
 import subprocess
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from loomgraph.operators import scene, temporal
@@ -164,3 +165,63 @@ def test_jobs_take_what_came_in_at_once_and_say_when_time_is_up(spark, tmp_path)
     queue(folder)
     with pytest.raises(TimeoutError):
         jobs.run_jobs(spark, folder, finish, lambda: False, 1)
+
+
+def test_a_jobs_start_and_end_differ_in_time_as_they_are_written(spark, tmp_path):
+    """Tasks of a cluster that read parts of a file keep no order among each other, so the written time must tell."""
+    folder = str(tmp_path / "jobs")
+    spark.range(5).select(F.col("id").cast("string").alias("job_id"), F.timestamp_micros(F.lit(0)).alias("t"), F.lit("upload").alias("event"), F.lit(None).cast("string").alias("error")).write.json(f"{folder}/in")
+    finish = lambda queued: queued.select("job_id", F.lit("finish").alias("event"), F.lit(None).cast("string").alias("error"))
+    out = lambda: spark.read.schema(jobs.JOB_STATES).parquet(f"{folder}/out")
+    jobs.run_jobs(spark, folder, finish, lambda: os.path.exists(f"{folder}/out") and out().where("status = 'done'").count() == 5, 120)
+    written = spark.read.schema(jobs.JOB_EVENTS).json(f"{folder}/in").where("event <> 'upload'").groupBy("job_id").agg(F.min_by("event", "t").alias("first"), F.countDistinct("t").alias("times"))
+    assert [(r["first"], r["times"]) for r in written.collect()] == [("start", 2)] * 5
+
+
+class _Group:
+    """A group's state and timers, as the machine is given them."""
+
+    def __init__(self, machine):
+        self.value, self.timers, self.now, self.machine = None, set(), 0, machine
+        machine.init(self)
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+
+    def getCurrentProcessingTimeInMs(self):  # noqa: N802
+        return self.now
+
+    def hear(self, *events):
+        return [(r.job_id, r.status, r.attempts, r.delay_ms) for r in self.machine.handleInputRows((0,), iter([Row(job_id=j, t=t, event=e, error=None) for j, t, e in events]), self)]
+
+    def ring(self):
+        return [(r.job_id, r.status, r.attempts) for r in self.machine.handleExpiredTimer((0,), self, None)]
+
+
+def test_jobs_of_a_group_share_a_state_and_go_their_own_ways():
+    group = _Group(jobs.JobMachine(10_000))
+    assert group.hear(("a", 1, "start"), ("a", 0, "upload"), ("b", 0, "upload"), (None, None, "upload"), ("x", 0, "start")) == [("a", "processing", 1, None), ("b", "queued", 0, None), (None, "queued", 0, None)]
+    group.now = 1000
+    assert group.hear(("a", 2, "fail"), ("b", 1, "start"), ("b", 2, "fail")) == [("a", "waiting", 1, 2000), ("b", "waiting", 1, 2000)] and group.timers == {3000}
+    group.now = 2000
+    assert group.hear(("b", 3, "start"), ("b", 4, "fail")) == [("b", "waiting", 2, 4000)] and group.timers == {3000, 6000}
+    group.now = 3000
+    assert group.ring() == [("a", "queued", 1)]  # b was started before its timer rang, and waits anew
+    group.now = 6000
+    assert group.ring() == [("b", "queued", 2)]
+    group.now = 10_000  # the job without an id lapses, as nothing was heard of it; the others don't
+    assert group.hear((None, 5, "start"), ("a", 5, "start"), ("a", 6, "finish")) == [("a", "done", 2, None)]
+    assert [x[0] for x in group.value[0]] == ["b"]
+    assert group.hear(("b", 7, "start"), ("b", 8, "finish")) == [("b", "done", 3, None)] and group.value is None
