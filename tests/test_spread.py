@@ -105,6 +105,28 @@ def test_search_of_many_terms_equals_a_scan(spark):
         assert got.get(t, set()) == {(i, -s) for s, i in want}, t
 
 
+@pytest.mark.parametrize("few", [1_000_000, 7])
+def test_search_writes_and_meets_no_more_than_its_terms_ask_for(spark, monkeypatch, few):
+    """Numbers share their short runs of digits with all others: by those each of n terms would meet some n / 100 nodes."""
+    rows = [(f"src/{i % 7}#{i:09}", "component", name, *[None] * 7) for i in range(400) for name in [f"Item#{i * 7919:09}" if i % 9 else None]]
+    graph, saved, save = Graph(spark.createDataFrame(rows, NODES), spark.createDataFrame([], EDGES)), [], Scratch.save
+    terms = [f"{i * 7919:09}" for i in range(200)] + ["a term that is longer than any name or id, of more than forty-seven letters", "item#", "src/3#000000003", "m#000007"]
+    monkeypatch.setattr(labels, "FEW_TERMS", few)
+    monkeypatch.setattr(labels.Scratch, "save", lambda self, df: (saved.append(save(self, df)), saved[-1])[1])
+    hits = labels.search_terms(graph, spark.createDataFrame([(t,) for t in terms], "term string")).collect()
+    got = {t: {(r["id"], r["score"]) for r in hits if r["term"] == t} for t in terms}
+
+    def score(key, name, t):
+        name = (name or "").lower()
+        return 100 if t in (name, key) else 80 if name.startswith(t) else 60 if t in name else 40 if t in key else 0
+
+    for t in terms:
+        want = sorted((-score(x[0], x[2], t), x[0]) for x in rows if score(x[0], x[2], t))[:10]
+        assert got[t] == {(i, -s) for s, i in want}, t
+    assert sum(df.count() for df in saved) <= 2 * len(terms)
+    assert labels.pieces(graph, list(labels.PIECES)).join(saved[-1].where("length(term) = 9"), "piece").count() <= 3 * len(terms)
+
+
 def test_dependents_of_many_targets_by_cycles(spark, monkeypatch):
     """Targets of one cycle are one start; counts are those of a walk a target, ends that are no nodes included."""
     _, _, graph = built(spark, 3)
